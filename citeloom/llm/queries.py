@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical, frequency, together
+from citeloom.llm import canonical, frequency, leaks, packing, together
 from citeloom.runtime import table
 
 #: field_name -> (table, array column, value)
@@ -86,6 +86,39 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return p6_terms(spark, root).filter("mark is not null").select("field_name", "val", "mark")
 
 
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+def p8_plan(spark: SparkSession, root: str) -> DataFrame:
+    """Every text of documents, measured in tokens, in a container of CAPACITY tokens."""
+    sizes = packing.token_counts(table(spark, root, "documents"), "doc_id", "text")
+    return packing.pack(sizes, CAPACITY).withColumnRenamed("key", "doc_id")
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    return packing.container_fill(p8_plan(spark, root), CAPACITY)
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    cases = leaks.leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+    return cases.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return p9_found(spark, root).select(F.col("doc_id").alias("key"), F.col("item_id").alias("item"))
+
+
+def p9_items(spark: SparkSession, root: str) -> DataFrame:
+    """The leaked items with the number of documents that carry them."""
+    return leaks.item_report(_leaks(spark, root)).withColumnRenamed("item", "item_id")
+
+
+def p9_kept(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that are left when the affected ones are removed."""
+    return leaks.without_leaks(table(spark, root, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", _leaks(spark, root))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 
