@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical, frequency, leaks, packing, together
+from citeloom.llm import canonical, frequency, leaks, packing, stuffing, together
 from citeloom.runtime import table
 
 #: field_name -> (table, array column, value)
@@ -119,6 +119,17 @@ def p9_kept(spark: SparkSession, root: str) -> DataFrame:
     return leaks.without_leaks(table(spark, root, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", _leaks(spark, root))
 
 
+def p10_measures(spark: SparkSession, root: str) -> DataFrame:
+    """The shares by which every page is judged."""
+    got = stuffing.page_measures(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    return got.select("doc_id", "n_word_chars", *[F.round(c, 6).alias(c) for c in ("repeated", "keywords", "outside", "stuffing")])
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    measured = stuffing.page_measures(table(spark, root, "documents"), "doc_id", "text")
+    return stuffing.stuffed_pages(measured).select(F.col("key").alias("doc_id"))
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 

@@ -8,16 +8,16 @@ import unicodedata
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсхуіјѕԁһӏвкмнтАЕОРСХУІЈЅВКМНТαεορυιν", "aeopcxyijsdhlbkmhtAEOPCXYIJSBKMHTaeopuiv")
-_TAGS = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
-_MARKS = re.compile(r"\[\^?\d[\d\s,;\u2013\u2014-]{0,30}\]|\((?:ibid|op\. ?cit|loc\. ?cit)\.?\)|[\u00b9\u00b2\u00b3\u2070-\u2079]+", re.I)
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-\u2010\u2011]\s*\n[>\s]*(?=[^\W\d_])")
+_TAGS = re.compile(r"</?[a-z][^<>]{0,300}>|<!--.{0,300}?-->", re.S)
+_MARKS = re.compile(r"\[\^?\d[\d\s,;\u2013\u2014-]{0,30}\]|\((?:ibid|op\. ?cit|loc\. ?cit)\.?\)|[\u00b9\u00b2\u00b3\u2070-\u2079]+")
+_BROKEN = re.compile(r"[-\u2010\u2011](?<=[^\W\d_].)\s*\n[>\s]*(?=[^\W\d_])")
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060\ufeff]")
 _WORDS = re.compile(r"[^\W_]+")
 _PLAIN = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 
 
 def visible(text: str) -> str:
-    """`text` without tags, entities, reference marks, invisible characters and word breaks at line ends, in one character form."""
+    """A text in lower case without tags, entities, reference marks, invisible characters and word breaks at line ends, in one character form."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -44,8 +44,11 @@ def folded(word: str) -> str:
 
 def words(text: str) -> list[str]:
     """The words of a text in order, in one case."""
-    text = visible(text).lower()
+    return words_of(visible(text.lower()))
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text that is `visible`."""
     if text.isascii():
         return text.translate(_PLAIN).split()
-    found = _WORDS.findall(unicodedata.normalize("NFC", text.casefold()))
-    return [w if w.isascii() else folded(w) for w in found]
+    return [w if w.isascii() else folded(w) for w in _WORDS.findall(unicodedata.normalize("NFC", text.casefold()))]
