@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.stats import ratio
 
+#: Works whose citers are counted by bits, at most, and citers from which a work is one of them.
+HUBS, HUB_CITERS = 14, 500
+
 
 def reverse_index(citations: DataFrame) -> DataFrame:
     """(doc_id, cited_by): the sorted citing documents of each cited one. For output; the indices below use the edges."""
@@ -21,33 +24,77 @@ def network(papers: DataFrame, citations: DataFrame) -> DataFrame:
     return got.select("doc_id", "year", F.coalesce("refs", none).alias("refs"), F.coalesce("cited_by", none).alias("cited_by"))
 
 
-def disruption_counts(papers: DataFrame, citations: DataFrame, focal: int) -> DataFrame:
-    """(doc_id, year, n_i, n_j, n_k, n_j5, shared, breadth, depth) of every document of the focal year.
+def union_sizes(counts: dict[int, int], bits: int) -> list[int]:
+    """For every mask of `bits` bits, how many of the counted masks share a bit with it."""
+    total, none = sum(counts.values()), [0] * (1 << bits)
+    for mask, n in counts.items():
+        none[mask] += n
+    for b in range(bits):  # none[m] becomes the number of masks within m
+        for m in range(1 << bits):
+            if m >> b & 1:
+                none[m] += none[m ^ 1 << b]
+    return [total - none[(1 << bits) - 1 ^ m] for m in range(1 << bits)]
+
+
+def disruption_counts(papers: DataFrame, citations: DataFrame, focal: int, hub_citers: int = HUB_CITERS) -> DataFrame:
+    """(doc_id, year, n_i, n_j, n_k, n_j5, shared, depth, breadth) of every document of the focal year.
 
     C cites the document; R, of the focal year or later, cites one of its references. J = C and R, I = C - J, K = R - J;
     shared sums the common references over C and n_j5 counts those of C with more than four. depth counts documents of C that cite
-    another of C, breadth the others. citations must be distinct. Edges of documents without a row in papers lack a year and count in C only.
-    The references of focal documents are taken first, so only their citers are joined; both halves meet in one full join.
+    another of C, breadth the others. citations must be distinct. Citers without a row in papers have no year and count in C only.
+
+    R is never formed for the works everybody cites: the HUBS most cited ones with `hub_citers` citers or more become bits, the later documents
+    are counted by the bits they cite (2 ** HUBS numbers), and only citers of the other references are joined, without those counted already.
     """
+    spark = citations.sparkSession
+    degree = citations.groupBy("cited").agg(F.count("*").alias("n")).filter(F.col("n") >= hub_citers)
+    hubs = [r[0] for r in degree.orderBy(F.desc("n"), "cited").limit(HUBS).select("cited").collect()]
+    bit = F.lit(0)
+    for k, hub in enumerate(hubs):
+        bit = F.when(F.col("cited") == hub, F.lit(1 << k)).otherwise(bit)
+    masks = citations.filter(F.col("cited").isin(hubs)).groupBy(F.col("citing").alias("c")).agg(F.bit_or(bit).alias("mask")) if hubs else None
+    late = papers.filter(F.col("year") >= focal).select(F.col("doc_id").alias("c"))
     mine = papers.filter(F.col("year") == focal).select("doc_id", "year")
-    focal_of = mine.select(F.col("doc_id").alias("f"))
-    c = citations.join(focal_of, citations["cited"] == F.col("f")).select("f", F.col("citing").alias("c"))
-    refs = citations.join(focal_of, citations["citing"] == F.col("f")).select("f", F.col("cited").alias("r"))
-    hop = refs.join(citations.select(F.col("cited").alias("r"), F.col("citing").alias("c")), "r").filter("c <> f").groupBy("f", "c").agg(F.count("*").alias("shared"))
-    late = papers.filter(F.col("year") >= focal).select(F.col("doc_id").alias("c"), F.lit(True).alias("late"))
-    hop = hop.join(late, "c", "left").withColumn("late", F.coalesce("late", F.lit(False)))
-    both = c.withColumn("in_c", F.lit(True)).join(hop, ["f", "c"], "full")
-    in_c, in_r = F.coalesce("in_c", F.lit(False)), F.coalesce("late", F.lit(False))
+    f = mine.select(F.col("doc_id").alias("f"))
+
+    # who cites the document, and how many references they share with it
+    c = citations.join(f, citations["cited"] == F.col("f")).select("f", F.col("citing").alias("c"))
+    refs = citations.join(f, citations["citing"] == F.col("f")).select("f", F.col("cited").alias("r"))
+    of_citers = c.join(citations.select(F.col("citing").alias("c"), F.col("cited").alias("r")), "c")
+    shared = of_citers.join(refs, ["f", "r"]).groupBy("f", "c").agg(F.count("*").alias("shared"))
+    known = c.join(shared, ["f", "c"], "left").join(late.withColumn("late", F.lit(True)), "c", "left")
     count = lambda x: F.sum(F.when(x, 1).otherwise(0))
-    main = both.groupBy("f").agg(
-        count(in_c & ~in_r).alias("n_i"), count(in_c & in_r).alias("n_j"), count(~in_c & in_r).alias("n_k"), count(in_c & (F.col("shared") > 4)).alias("n_j5"), F.sum(F.when(in_c, F.col("shared")).otherwise(0)).alias("shared")
+    main = known.groupBy("f").agg(
+        F.count("*").alias("n_c"), count((F.col("shared") > 0) & F.col("late")).alias("n_j"), count(F.col("shared") > 4).alias("n_j5"), F.sum(F.coalesce("shared", F.lit(0))).alias("shared")
+    )
+    deep = of_citers.join(c.select("f", F.col("c").alias("r")), ["f", "r"], "left_semi").groupBy("f").agg(F.countDistinct("c").alias("depth"))
+
+    # how many later documents cite one of its references
+    near = refs.filter(~F.col("r").isin(hubs)) if hubs else refs
+    hop = near.join(citations.select(F.col("cited").alias("r"), F.col("citing").alias("c")), "r").filter("c <> f").select("f", "c").distinct().join(late, "c", "left_semi")
+    if hubs:
+        own = masks.withColumnRenamed("c", "f").withColumnRenamed("mask", "own")
+        hop = hop.join(masks, "c", "left").join(own, "f", "left").filter((F.coalesce("mask", F.lit(0)).bitwiseAND(F.coalesce("own", F.lit(0)))) == 0)
+        counts = {r[0]: r[1] for r in masks.join(late, "c", "left_semi").groupBy("mask").agg(F.count("*")).collect()}  # at most 2 ** HUBS rows
+        sizes = spark.createDataFrame(list(enumerate(union_sizes(counts, len(hubs)))), "own int, n_hub long")
+        of_hubs = f.join(own, "f").join(F.broadcast(sizes), "own").select("f", (F.col("n_hub") - 1).alias("n_hub"))  # without the document itself
+    else:
+        of_hubs = f.select("f", F.lit(0).alias("n_hub"))
+    near_count = hop.groupBy("f").agg(F.count("*").alias("n_near"))
+
+    out = f.join(main, "f", "left").join(deep, "f", "left").join(near_count, "f", "left").join(of_hubs, "f", "left").join(mine.withColumnRenamed("doc_id", "f"), "f")
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0)).cast("long")
+    return out.select(
+        F.col("f").alias("doc_id"),
+        "year",
+        (zero("n_c") - zero("n_j")).alias("n_i"),
+        zero("n_j").alias("n_j"),
+        (zero("n_near") + zero("n_hub") - zero("n_j")).alias("n_k"),
+        zero("n_j5").alias("n_j5"),
+        zero("shared").alias("shared"),
+        zero("depth").alias("depth"),
+        (zero("n_c") - zero("depth")).alias("breadth"),
     )
-    cites = c.join(citations.select(F.col("citing").alias("c"), F.col("cited").alias("c2")), "c")
-    deep = cites.join(c.select("f", F.col("c").alias("c2")), ["f", "c2"], "left_semi").groupBy("f").agg(F.countDistinct("c").alias("depth"))
-    out = mine.join(main, mine["doc_id"] == main["f"], "left").drop("f").join(deep, F.col("doc_id") == F.col("f"), "left").drop("f")
-    counts = {n: F.coalesce(F.col(n), F.lit(0)).cast("long") for n in ("n_i", "n_j", "n_k", "n_j5", "shared", "depth")}
-    out = out.select("doc_id", "year", *[v.alias(k) for k, v in counts.items()])
-    return out.withColumn("breadth", F.col("n_i") + F.col("n_j") - F.col("depth"))
 
 
 def disruption_indices(counts: DataFrame) -> DataFrame:

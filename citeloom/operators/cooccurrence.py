@@ -9,15 +9,21 @@ from citeloom.functions.stats import NAN, negative_log, quantile
 from citeloom.model import MIN_ITEMS
 from citeloom.operators import pairs as P
 from citeloom.operators.ranking import ranked
+from citeloom.runtime import cut
 
 # ---- commonness: observed over expected
 
 
-def commonness_pairs(cooc: DataFrame) -> DataFrame:
-    """(year, i, j, w, s): s = w * N / (N_i * N_j) within each year, N the year's weight and N_i the item's, its diagonal counted once."""
-    ends = cooc.select("year", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("item"), "w")
-    margin = ends.groupBy("year", "item").agg(F.sum("w").alias("n"))
-    total = cooc.groupBy("year").agg(F.sum("w").alias("nt"))
+def commonness_pairs(cooc: DataFrame, margin: DataFrame | None = None, total: DataFrame | None = None) -> DataFrame:
+    """(year, i, j, w, s): s = w * N / (N_i * N_j) within each year, N the year's weight and N_i the item's, its diagonal counted once.
+
+    margin (year, item, n) and total (year, nt) are taken from the network itself unless given, as pairs.marginals and pairs.yearly_weight do without forming pairs.
+    """
+    if margin is None:
+        ends = cooc.select("year", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("item"), "w")
+        margin = ends.groupBy("year", "item").agg(F.sum("w").alias("n"))
+    if total is None:
+        total = cooc.groupBy("year").agg(F.sum("w").alias("nt"))
     return (
         cooc.join(F.broadcast(total), "year")  # one row per year
         .join(margin.select("year", F.col("item").alias("i"), F.col("n").alias("ni")), ["year", "i"])
@@ -28,10 +34,11 @@ def commonness_pairs(cooc: DataFrame) -> DataFrame:
 
 def commonness(items: DataFrame, min_items: int = MIN_ITEMS, density: bool = False) -> DataFrame:
     """(doc_id, year, novelty[, scores]): -ln of the 10 % quantile of the document's pair scores, for every year at once."""
-    pairs = P.doc_pairs(P.item_counts(items))
+    counts = P.item_counts(items)
+    pairs = P.doc_pairs(counts)
     aggs = [quantile("s", 0.1, "n").alias("q")] + ([P.score_array().alias("scores")] if density else [])
-    got = P.document_scores(pairs, commonness_pairs(P.cooccurrence(pairs)), P.scored_documents(items, min_items), aggs)
-    return got.withColumn("novelty", negative_log(F.col("q"))).drop("q")
+    scores = commonness_pairs(P.cooccurrence(pairs), P.marginals(counts), P.yearly_weight(counts))
+    return P.document_scores(pairs, scores, min_items, aggs).withColumn("novelty", negative_log(F.col("q"))).drop("q")
 
 
 # ---- new combinations that are reused, weighted by difficulty
@@ -80,7 +87,8 @@ def reuse_novelty(
     """
     counts = P.item_counts(items)
     pairs = P.doc_pairs(counts, weighted=False)
-    cooc = P.cooccurrence(pairs)
+    # read by four windows below, so it is written once instead of formed four times
+    cooc = cut(P.cooccurrence(pairs.filter(F.col("year") <= focal + window)))
     frequent = P.restricted_items(P.item_frequency(items, focal - 3, focal), percentile)
     documents = P.scored_documents(items.filter(F.col("year") == focal), min_items)
     scores = difficulty_pairs(cooc, focal, window, times, start)
@@ -132,7 +140,7 @@ def atypicality(items: DataFrame, samples: int = 20, seed: int = 0, min_items: i
     pairs = P.doc_pairs(P.item_counts(items))
     scores = atypicality_pairs(P.cooccurrence(pairs), sample_moments(shuffled_items(items, samples, seed), samples))
     aggs = [quantile("s", 0.5, "n").alias("conventionality"), quantile("s", 0.1, "n").alias("novelty")]
-    return P.document_scores(pairs, scores, P.scored_documents(items, min_items), aggs)
+    return P.document_scores(pairs, scores, min_items, aggs)
 
 
 # ---- combinations that cross communities
@@ -144,7 +152,7 @@ def crossing(items: DataFrame, focal: int, communities: DataFrame, min_items: in
     communities: (item, community STRING); an item without one is a community of its own. Pairs of equal items never cross.
     """
     mine = items.filter(F.col("year") == focal)
-    pairs = P.doc_pairs(P.item_counts(mine)).join(P.scored_documents(mine, min_items), ["doc_id", "year"], "left_semi")
+    pairs = P.doc_pairs(P.item_counts(mine)).filter(F.col("size") >= min_items).drop("size")
     for end in ("i", "j"):
         of = communities.select(F.col("item").alias(end), F.col("community").alias(f"c_{end}"))
         # marked, so that a lone item can't fall together with a community of the same name

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.ranking import ranked
+from citeloom.runtime import spread
 
 
 def item_counts(items: DataFrame) -> DataFrame:
@@ -13,15 +14,20 @@ def item_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "year", "item").agg(F.count("*").alias("n"))
 
 
+def item_bags(counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """([extra,] doc_id, year, bag, size): a document's items in order with their multiplicities, and its item occurrences."""
+    keys = [*extra, "doc_id", "year"]
+    return spread(counts, *keys[:-1]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("bag"), F.sum("n").alias("size"))
+
+
 def doc_pairs(counts: DataFrame, weighted: bool = True, self_loop: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_pairs from item_counts, by multiplicities: m_i * m_j, and m_i * (m_i - 1) / 2 on the diagonal.
+    """doc_pairs from item_counts, by multiplicities: m_i * m_j, and m_i * (m_i - 1) / 2 on the diagonal; `size` is the document's item occurrences.
 
     Unweighted, every pair of different items counts once and there is no diagonal. extra: further key columns (a sample number).
     A document's items come together once, hashed by document; the pairs are generated from there without a join.
     """
-    keys = [*extra, "doc_id", "year"]
-    bags = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("bag"))
-    first = bags.select(*keys, "bag", F.posexplode("bag").alias("at", "a"))
+    keys = [*extra, "doc_id", "year", "size"]
+    first = item_bags(counts, extra).select(*keys, "bag", F.posexplode("bag").alias("at", "a"))
     rest = first.select(*keys, "a", F.explode(F.slice("bag", F.col("at") + 1, F.size("bag"))).alias("b"))
     same = F.col("a.item") == F.col("b.item")
     if weighted:
@@ -32,6 +38,21 @@ def doc_pairs(counts: DataFrame, weighted: bool = True, self_loop: bool = True,
     return kept.select(*keys, F.col("a.item").alias("i"), F.col("b.item").alias("j"), n.alias("n")).filter("n > 0")
 
 
+def marginals(counts: DataFrame) -> DataFrame:
+    """(year, item, n) of the weighted network with loops: an item's weight with its diagonal counted once.
+
+    Summed per document as m * (size - m) + m * (m - 1) / 2, so no pair is formed.
+    """
+    each = item_bags(counts).select("year", "size", F.explode("bag").alias("a"))
+    part = F.col("a.n") * (F.col("size") - F.col("a.n")) + F.expr("a.n * (a.n - 1) div 2")
+    return each.select("year", F.col("a.item").alias("item"), part.alias("p")).groupBy("year", "item").agg(F.sum("p").alias("n")).filter("n > 0")
+
+
+def yearly_weight(counts: DataFrame) -> DataFrame:
+    """(year, nt): the weight of each year's weighted network with loops: size * (size - 1) / 2 summed over documents."""
+    return item_bags(counts).groupBy("year").agg(F.sum(F.expr("size * (size - 1) div 2")).alias("nt"))
+
+
 def cooccurrence(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """cooc from doc_pairs."""
     return pairs.groupBy(*extra, "year", "i", "j").agg(F.sum("n").alias("w"))
@@ -66,14 +87,14 @@ def scored_documents(items: DataFrame, min_items: int) -> DataFrame:
     return items.groupBy("doc_id", "year").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_items).select("doc_id", "year")
 
 
-def document_scores(pairs: DataFrame, scores: DataFrame, documents: DataFrame, aggregates: list[Column], by_year: bool = True) -> DataFrame:
-    """Joins every document pair to its pair score (0 where there is none) and aggregates per document.
+def document_scores(pairs: DataFrame, scores: DataFrame, min_items: int, aggregates: list[Column], by_year: bool = True) -> DataFrame:
+    """Joins the pairs of every document of `min_items` or more item occurrences to their scores (0 where there is none) and aggregates per document.
 
-    pairs: doc_pairs; scores: ([year,] i, j, s); documents: the (doc_id, year) to score.
+    pairs: doc_pairs; scores: ([year,] i, j, s). Both sides are products of an explosion that size estimates don't see, so neither is ever broadcast.
     """
     on = ["year", "i", "j"] if by_year else ["i", "j"]
-    kept = pairs.join(documents, ["doc_id", "year"], "left_semi")
-    return kept.join(scores.select(*on, "s"), on, "left").withColumn("s", F.coalesce("s", F.lit(0.0))).groupBy("doc_id", "year").agg(*aggregates)
+    kept = pairs.filter(F.col("size") >= min_items).drop("size")
+    return kept.join(scores.select(*on, "s").hint("merge"), on, "left").withColumn("s", F.coalesce("s", F.lit(0.0))).groupBy("doc_id", "year").agg(*aggregates)
 
 
 def only_ids(scores: DataFrame, ids: DataFrame | None) -> DataFrame:

@@ -120,7 +120,8 @@ def restricted_items(spark, root):
 
 
 def lee_pair_score(spark, root):
-    return rounded(cooccurrence.commonness_pairs(cooc(spark, root)), "s")
+    counts = P.item_counts(items(spark, root))
+    return rounded(cooccurrence.commonness_pairs(P.cooccurrence(P.doc_pairs(counts)), P.marginals(counts), P.yearly_weight(counts)), "s")
 
 
 def lee_commonness(spark, root):

@@ -31,3 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """A broadcast hint where the proven number of rows is at most `limit`; otherwise the plain frame, to be shuffled."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` hashed by `keys` into spark.sql.shuffle.partitions parts, none of which AQE joins: for steps whose output is many times their input."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -165,6 +165,23 @@ def test_disruption(network):
     assert citation.disruption_counts(*network, 77).count() == 0
 
 
+@pytest.mark.parametrize("hub_citers", [1, 3, 10**9])
+def test_disruption_against_sets(spark, hub_citers):
+    rng = np.random.default_rng(8)
+    year = {d: int(rng.integers(1, 6)) for d in range(60)}
+    edges = {(a, b) for a in range(60) for b in (rng.zipf(1.3, 12) % 60).tolist() if a != b} | {(100, 1), (100, 2), (3, 200)}
+    papers = spark.createDataFrame(list(year.items()), "doc_id long, year int")
+    got = {r.doc_id: r for r in citation.disruption_counts(papers, spark.createDataFrame(list(edges), "citing long, cited long"), 3, hub_citers).collect()}
+    refs = {d: {b for a, b in edges if a == d} for d in [*range(60), 100]}
+    for d in (x for x in year if year[x] == 3):
+        c = {a for a, b in edges if b == d}
+        r = {a for a, b in edges if b in refs[d] and a != d and year.get(a, 0) >= 3}
+        deep = {a for a in c if refs[a] & c}
+        want = (len(c - r), len(c & r), len(r - c), sum(len(refs[a] & refs[d]) > 4 for a in c), sum(len(refs[a] & refs[d]) for a in c), len(deep), len(c - deep))
+        assert tuple(got[d])[2:] == want, d
+    assert set(got) == {x for x in year if year[x] == 3}
+
+
 def test_network(network):
     got = {r.doc_id: (r.refs, r.cited_by) for r in citation.network(*network).collect()}
     assert got[3] == ([1, 2], [4, 5, 6, 9]) and got[1] == ([], [3, 4, 5, 8]) and len(got) == 9
