@@ -146,6 +146,39 @@ def number(value) -> float | None:
     return float(value) if abs(value) < 1e300 else None
 
 
+def _values(columns: dict, want: re.Pattern) -> Iterator[tuple]:
+    """(path, seq, parent_no, item_no, value) of the wanted columns; group 1 of the pattern is the member's array, group 2 the leaf's."""
+    for path, column in columns.items():
+        m = want.fullmatch(path)
+        if m is None:
+            continue
+        upto = path[: m.end(1)].count(REPEATED) if m.group(1) else 0
+        down = path[: m.end(2)].count(REPEATED) if m.group(2) else 0
+        at = places([x[0] for x in column], path.count(REPEATED))
+        for k, ((_, _, v), place) in enumerate(zip(column, at)):
+            if v is not None and not isinstance(v, bool):
+                yield path, k, place[upto - 1] if upto else 0, place[down - 1] if down else 0, as_text(v)
+
+
+def _numbers(columns: dict, want: re.Pattern) -> Iterator[tuple]:
+    """(path, output_no, value) of the wanted columns."""
+    base = 0
+    for path, column in columns.items():
+        if want.fullmatch(path):
+            for k, (_, _, v) in enumerate(column):
+                if (x := number(v)) is not None:
+                    yield path, base + k, x
+            base += len(column)
+
+
+def _value_path(member: str, leaf: str, inner: str) -> re.Pattern:
+    return re.compile(rf"(?:.*\.)?{re.escape(member)}(\[\])?\.{re.escape(leaf)}(\[\])?(?:\.{re.escape(inner)})?")
+
+
+def _number_path(member: str, leaf: str) -> re.Pattern:
+    return re.compile(rf"(?:.*\.)?{re.escape(member)}(?:\[\])?(?:\..*)?\.{re.escape(leaf)}")
+
+
 def repeated_values(df: DataFrame, rec: str, payload: str, member: str, leaf: str, inner: str = "tree") -> DataFrame:
     """(rec, path, seq, parent_no, item_no, value): the values `leaf` directly belonging to an entry of `member`, wherever that stands.
 
@@ -153,20 +186,12 @@ def repeated_values(df: DataFrame, rec: str, payload: str, member: str, leaf: st
     parent_no is the entry's place in its array and item_no the value's place in its own, both 0 for what stands alone and
     both counting null siblings; seq is the value's place in its column. Null values, and payloads that are not complete JSON, give no rows.
     """
-    want = re.compile(rf"(?:.*\.)?{re.escape(member)}(\[\])?\.{re.escape(leaf)}(\[\])?(?:\.{re.escape(inner)})?")
+    want = _value_path(member, leaf, inner)
 
     def rows(batches):
         for r, ok, value in _records(batches):
-            for path, column in shred(value).items() if ok else ():
-                m = want.fullmatch(path)
-                if m is None:
-                    continue
-                upto = path[: m.end(1)].count(REPEATED) if m.group(1) else 0
-                down = path[: m.end(2)].count(REPEATED) if m.group(2) else 0
-                at = places([x[0] for x in column], path.count(REPEATED))
-                for k, ((_, _, v), place) in enumerate(zip(column, at)):
-                    if v is not None and not isinstance(v, bool):
-                        yield r, path, k, place[upto - 1] if upto else 0, place[down - 1] if down else 0, as_text(v)
+            if ok:
+                yield from ((r, *x) for x in _values(shred(value), want))
 
     return _apply(df, rec, payload, rows, "rec long, path string, seq int, parent_no int, item_no int, value string")
 
@@ -176,21 +201,36 @@ def numbers_below(df: DataFrame, rec: str, payload: str, member: str, leaf: str)
 
     An output without the number, or with null, NaN or other text, keeps its place and gives no row.
     """
-    want = re.compile(rf"(?:.*\.)?{re.escape(member)}(?:\[\])?(?:\..*)?\.{re.escape(leaf)}")
+    want = _number_path(member, leaf)
 
     def rows(batches):
         for r, ok, value in _records(batches):
-            base = 0
-            for path, column in shred(value).items() if ok else ():
-                if want.fullmatch(path):
-                    for k, (_, _, v) in enumerate(column):
-                        if (x := number(v)) is not None:
-                            yield r, path, base + k, x
-                    base += len(column)
+            if ok:
+                yield from ((r, *x) for x in _numbers(shred(value), want))
 
     return _apply(df, rec, payload, rows, "rec long, path string, output_no int, value double")
 
 
+def branches(df: DataFrame, rec: str, payload: str, values: dict[str, tuple[str, str, str]], numbers: dict[str, tuple[str, str]]) -> DataFrame:
+    """(rec, branch, parent_no, item_no, value, num): several repeated_values and numbers_below in one pass, so every payload is shredded once.
+
+    values: {branch: (member, leaf, inner)} fills value; numbers: {branch: (member, leaf)} fills num, with the output's place in parent_no and item_no 0.
+    """
+    texts = {b: _value_path(*x) for b, x in values.items()}
+    floats = {b: _number_path(*x) for b, x in numbers.items()}
+
+    def rows(batches):
+        for r, ok, value in _records(batches):
+            if ok:
+                columns = shred(value)
+                for b, want in texts.items():
+                    yield from ((r, b, p, k, v, None) for _, _, p, k, v in _values(columns, want))
+                for b, want in floats.items():
+                    yield from ((r, b, p, 0, None, x) for _, p, x in _numbers(columns, want))
+
+    return _apply(df, rec, payload, rows, "rec long, branch string, parent_no int, item_no int, value string, num double")
+
+
 def record_rows(df: DataFrame, rec: str, payload: str, members: dict[str, str]) -> DataFrame:
     """(rec, state, <name> ...): one row per payload; state is 'complete', 'broken' or 'empty'; each name gets the first value of its member, as text.
 

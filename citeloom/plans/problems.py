@@ -111,11 +111,9 @@ def p7_levels(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    cat = p7_categories(spark, root).select("rec_id", F.lit("category").alias("branch"), F.col("entry_no").alias("pos1"), F.col("category_no").alias("pos2"), F.col("category").alias("item"))
-    di1 = p7_di1(spark, root).select(
-        "rec_id", F.lit("di1").alias("branch"), F.col("output_no").alias("pos1"), F.lit(0).alias("pos2"), F.round(F.col("di1") * 10000).cast("long").cast("string").alias("item")
-    )
-    return cat.unionByName(di1)
+    got = nested.branches(_records(spark, root), "rec_id", "payload", {"category": ("Mesh_year_category", "category", "tree")}, {"di1": ("disruptiveness", "DI1")})
+    item = F.coalesce("value", F.round(F.col("num") * 10000).cast("long").cast("string"))
+    return got.select("rec_id", "branch", F.col("parent_no").alias("pos1"), F.col("item_no").alias("pos2"), item.alias("item"))
 
 
 def queries() -> dict:
