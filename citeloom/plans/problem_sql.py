@@ -55,3 +55,31 @@ select 'journal', journal from j where n * 50 >= (select sum(n) from j)
 """
 
 ORACLES = {"p2_found": P2_FOUND, "p2_report": P2_REPORT, "p4_articles": P4_ARTICLES, "p4_journals": P4_JOURNALS, "p4_found": P4_FOUND}
+
+# another way to the same citations: they are recognised by their form instead of being what is left between separators
+_CITATION = r'''"(?:[^"]|"")*"|[A-Za-z][^;|"\r\n\t/]*?\. ?(?:1[5-9]|20)[0-9]{2}(?: [A-Z][a-z]{2}(?: [0-9]{1,2})?)?(?:;[0-9]+(?:\([0-9]+\))?:\w+(?:-\w+)?)?'''
+
+P5_FOUND = f"""
+with one as (select row_id, any_value(refcitation) as t from reference where refcitation is not null group by row_id),
+  found as (select row_id, list_filter(list_transform(regexp_extract_all(t, '{_CITATION}'), lambda x: case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end),
+    lambda x: regexp_matches(x, '^\\S.*\\.\\s*(1[5-9]|20)[0-9]{{2}}')) as l from one)
+select row_id, cast(generate_subscripts(l, 1) as int) as pos, unnest(l) as val from found where len(l) >= 2
+"""
+
+P7_FOUND = r"""
+with tree as (select rec_id, t.key, t.value, t.type, t.fullkey from (select rec_id, payload from result_records where json_valid(payload)) r, json_tree(r.payload) t),
+  mesh as (select rec_id, type, value from tree where key = 'Mesh_year_category' and type in ('ARRAY', 'OBJECT')),
+  entries as (
+    select rec_id, cast(e.key as int) as pos1, e.value as entry from mesh m, json_each(m.value) e where m.type = 'ARRAY' and e.type = 'OBJECT'
+    union all select rec_id, 0, value from mesh where type = 'OBJECT'),
+  cats as (select rec_id, pos1, json_extract(entry, '$.category') as c, json_type(entry, '$.category') as kind from entries),
+  codes as (
+    select rec_id, pos1, cast(e.key as int) as pos2, case e.type when 'OBJECT' then json_extract_string(e.value, '$.tree') when 'NULL' then null else json_extract_string(e.value, '$') end as item from cats c, json_each(c.c) e where c.kind = 'ARRAY'
+    union all select rec_id, pos1, 0, json_extract_string(c, '$') from cats where kind = 'VARCHAR'),
+  outs as (select rec_id, coalesce(try_cast(regexp_extract(fullkey, 'disruptiveness[^\[]*\[([0-9]+)\]', 1) as int), 0) as pos1, try_cast(json_extract_string(value, '$') as double) as x from tree where key = 'DI1' and contains(fullkey, 'disruptiveness') and type <> 'NULL')
+select rec_id, 'category' as branch, pos1, pos2, item from codes where item is not null
+union all
+select rec_id, 'di1', pos1, 0, cast(cast(round(x * 10000) as bigint) as varchar) from outs where x is not null and not isnan(x)
+"""
+
+ORACLES |= {"p5_found": P5_FOUND, "p7_found": P7_FOUND}
