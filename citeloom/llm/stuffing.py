@@ -8,6 +8,7 @@ the function words of four languages, or not. A segment is stuffing if it has no
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -92,7 +93,10 @@ class Automaton:
                 ends.append(last)
             self.ends.append(ends)
         self.longest, self.link, self.follow = longest, link, follow
-        self.order = sorted(range(1, len(longest)), key=longest.__getitem__)
+        by_size: list[list[int]] = [[] for _ in range(max(longest) + 1)]
+        for s in range(1, len(longest)):
+            by_size[longest[s]].append(s)
+        self.order = [s for states in by_size for s in states]
         for s in reversed(self.order):
             if link[s] > 0:
                 times[link[s]] += times[s]
@@ -105,13 +109,14 @@ def repeated_runs(codes: list[int], times: Counter) -> tuple[list[list[int]], li
     A word that occurs once is in no repeated run, and two neighbours that occur as such once are not in one together;
     so the automaton of these runs has all repeated runs of the page.
     """
-    pairs = Counter(zip(codes, codes[1:]))
+    many = len(codes)
+    pairs = Counter([a * many + b for a, b in zip(codes, codes[1:])])
     runs, starts, run, before = [], [], [], -1
     for k, c in enumerate(codes):
         if times[c] < 2:
             before = -1
             continue
-        if before < 0 or pairs[before, c] < 2:
+        if before < 0 or pairs[before * many + c] < 2:
             run = []
             runs.append(run)
             starts.append(k)
@@ -123,10 +128,11 @@ def repeated_runs(codes: list[int], times: Counter) -> tuple[list[list[int]], li
 def _mark(covered: bytearray, runs: list[list[int]], starts: list[int], am: Automaton, size_of: list[int]) -> None:
     """Marks for every place the longest suffix run with a size."""
     for start, ends in zip(starts, am.ends):
-        for k, s in enumerate(ends):
-            if size_of[s]:
-                z = start + k + 1
-                covered[z - size_of[s] : z] = b"\1" * size_of[s]
+        reach = 0  # words still covered by a run that ends further on
+        for k in range(len(ends) - 1, -1, -1):
+            reach = max(reach - 1, size_of[ends[k]])
+            if reach > 0:
+                covered[start + k] = 1
 
 
 def keywords(parts: list[list[str]], codes: list[int], content: list[bool], runs: list[list[int]], starts: list[int], am: Automaton) -> list[int]:
@@ -137,15 +143,19 @@ def keywords(parts: list[list[str]], codes: list[int], content: list[bool], runs
     often = [s for s in am.order if seen[s] >= KEYWORD_TIMES and longest[s] <= KEYWORD_WORDS and seen[s] * longest[s] >= KEYWORD_SHARE * n and all(seen[t] < seen[s] for t in am.follow[s].values())]
     if not often:
         return []
-    wanted = set(often)
+    near = [0] * len(longest)  # the nearest wanted state among a state and its suffixes; of those there are KEYWORD_WORDS at most
+    for s in often:
+        near[s] = s
+    for s in am.order:
+        near[s] = near[s] or near[max(0, link[s])]
     segment = [k for k, p in enumerate(parts) for _ in p]
     found: dict[int, list[int]] = {}
     for start, ends in zip(starts, am.ends):
         for k, s in enumerate(ends):
-            while s > 0:
-                if s in wanted:
-                    found.setdefault(s, []).append(start + k)
-                s = link[s]
+            s = near[s]
+            while s:
+                found.setdefault(s, []).append(start + k)
+                s = near[max(0, link[s])]
     size_of = [0] * len(longest)
     for s in often:
         at = found[s]
@@ -226,7 +236,11 @@ def page_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [measures(t) for t in pdf["text"]]
+            gc.disable()  # an automaton has many small parts but no cycles
+            try:
+                got = [measures(t) for t in pdf["text"]]
+            finally:
+                gc.enable()
             out = pd.DataFrame(got, columns=["n_word_chars", "repeated", "keywords", "outside", "stuffing"])
             out.insert(0, "key", pdf["key"].to_numpy())
             yield out
