@@ -43,9 +43,22 @@ def chebyshev(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x))
 
 
+def unit(a: Column) -> Column:
+    """`a` at length 1; NaN in every place if it is all zero."""
+    size = norm(a)
+    return F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size)))
+
+
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "euclidean": euclidean, "sqeuclidean": sqeuclidean, "cityblock": cityblock, "chebyshev": chebyshev}
 
 
+def prepared(of: str | Callable) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """(what to do with each vector once, the distance of two vectors so prepared). For the cosine every vector is brought to length 1 once."""
+    if of == "cosine":
+        return unit, (lambda a, b: 1 - dot(a, b))
+    return (lambda a: a), metric(of)
+
+
 def metric(of: str | Callable) -> Callable[[Column, Column], Column]:
     """A metric by name, or a Python function of two vectors, run in Arrow batches."""
     if isinstance(of, str):

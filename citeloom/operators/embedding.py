@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import distribution
-from citeloom.functions.vectors import metric
+from citeloom.functions.vectors import prepared
+from citeloom.runtime import spread
 
 
 def embedded(vec: Column) -> Column:
@@ -29,8 +30,8 @@ def pairwise_distances(rows: DataFrame, keys: list[str], order: str = "pos", vec
 
     The vectors of a key come together once and are paired from there; a key with one vector gives nothing.
     """
-    of = metric(distance)
-    bags = rows.filter(embedded(F.col(vec))).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, vec))).alias("bag")).filter(F.size("bag") > 1)
+    each, of = prepared(distance)
+    bags = spread(rows.filter(embedded(F.col(vec))).withColumn(vec, each(F.col(vec))), *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, vec))).alias("bag")).filter(F.size("bag") > 1)
     first = bags.select(*keys, "bag", F.posexplode("bag").alias("at", "a"))
     rest = first.select(*keys, "a", F.explode(F.slice("bag", F.col("at") + 1 + 1, F.size("bag"))).alias("b"))
     return rest.select(*keys, of(F.col(f"a.{vec}"), F.col(f"b.{vec}")).alias("d"))
@@ -96,8 +97,8 @@ def author_inter(authorship: DataFrame, vectors: DataFrame, focal: int, window:
     mine = _listed(authorship, past, focal)
     a, b = (mine.select("doc_id", "year", F.col("pos").alias(f"pos_{x}"), F.col("author_id").alias(f"author_{x}")) for x in "ab")
     pairs = a.join(b, ["doc_id", "year"]).filter("pos_a < pos_b").drop("pos_a", "pos_b")
-    works = [past.select(F.col("author_id").alias(f"author_{x}"), F.col("vec").alias(f"vec_{x}")) for x in "ab"]
-    of = metric(distance)
+    prepare, of = prepared(distance)
+    works = [past.select(F.col("author_id").alias(f"author_{x}"), prepare(F.col("vec")).alias(f"vec_{x}")) for x in "ab"]
     each = pairs.select("author_a", "author_b").distinct().join(works[0], "author_a").join(works[1], "author_b").select("author_a", "author_b", of(F.col("vec_a"), F.col("vec_b")).alias("d"))
     stats = each.groupBy("author_a", "author_b").agg(*distribution("d"))
     return pairs.join(stats, ["author_a", "author_b"])

@@ -13,7 +13,7 @@ from citeloom.runtime import table
 
 #: The focal year of queries that have one, the years of reuse after it, and the samples of a shuffle.
 FOCAL, WINDOW, SAMPLES = 2005, 3, 5
-#: The focal year, look-back and vector size of the order tables.
+#: The focal year, look-back of the order tables, and the size of word vectors.
 ORDER_FOCAL, ORDER_WINDOW, WORD_DIM = 1998, 5, 4
 
 # ---- canonical frames of the test tables

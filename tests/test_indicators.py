@@ -203,6 +203,9 @@ def test_metrics(spark):
     for name, value in want.items():
         assert df.select(vectors.metric(name)(F.col("a"), F.col("b"))).first()[0] == pytest.approx(value)
     assert math.isnan(df.select(vectors.cosine(F.col("a"), F.col("z"))).first()[0])
+    each, of = vectors.prepared("cosine")
+    got = df.select(of(each(F.col("a")), each(F.col("b"))), of(each(F.col("a")), each(F.col("z")))).first()
+    assert got[0] == pytest.approx(want["cosine"]) and math.isnan(got[1])
     own = vectors.metric(lambda p, q: float(p[0] - q[0]))
     assert df.select(own(F.col("a"), F.col("b"))).first()[0] == -1.0
     with pytest.raises(ValueError):
