@@ -44,9 +44,9 @@ def chebyshev(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """`a` at length 1; NaN in every place if it is all zero."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size)))
+    """`a` at length 1; NaN in every place if it is all zero. The length is bound once by an outer loop of one step."""
+    scaled = lambda size: F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size)))
+    return F.flatten(F.transform(F.array(norm(a)), scaled))
 
 
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "euclidean": euclidean, "sqeuclidean": sqeuclidean, "cityblock": cityblock, "chebyshev": chebyshev}
