@@ -81,6 +81,11 @@ def aliases(short: str, title: str, words: dict[str, str]) -> set[str]:
     return {x for x in out | {stripped(x) for x in out} if x}
 
 
+def lone_letters(path: str) -> frozenset[str]:
+    """Letters that stand alone, such as that of a series."""
+    return frozenset(w for w in path.split() if len(w) == 1 and w.isalpha())
+
+
 class Trie:
     """Entries by path. Nodes are dictionaries from a character to a node; the key '' holds the entries that end here."""
 
@@ -90,12 +95,14 @@ class Trie:
             raise ValueError(f"{len(entries)} entries; a list sent to every task may have {MAX_LIST}")
         words = short_words([(s, t) for _, s, t in entries if s and t], width)
         self.root: dict = {}
+        self.letters: dict[int, set[frozenset[str]]] = defaultdict(set)
         for key, short, title in entries:
             for path in aliases(short or title or "", title or short or "", words):
                 node = self.root
                 for c in path:
                     node = node.setdefault(c, {})
                 node.setdefault("", set()).add(key)
+                self.letters[key].add(lone_letters(path))
 
     def exact(self, path: str) -> set[int]:
         node = self.root
@@ -140,13 +147,16 @@ class Trie:
         return found
 
     def match(self, text: str) -> tuple[int, int, int]:
-        """(entry, distance, entries at that distance); entry -1 if none is within reach or the least distance is shared."""
+        """(entry, distance, entries at that distance); entry -1 if none is within reach or the least distance is shared.
+
+        Letters that stand alone must agree: Series C is no misspelt Series A.
+        """
         value = stripped(text)
         hits = self.exact(value) or self.exact(normal(text))
         if hits:
             return (min(hits) if len(hits) == 1 else -1), 0, len(hits)
         for edits in range(1, allowed(len(value)) + 1):
-            near = self.within(value, edits)
+            near = {k: d for k, d in self.within(value, edits).items() if lone_letters(value) in self.letters[k]}
             if near:
                 least = min(near.values())
                 best = [k for k, d in near.items() if d == least]

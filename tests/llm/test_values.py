@@ -47,7 +47,7 @@ def test_automaton_finds_all_within_reach(paths, value, edits):
     "typed, want",
     [(t, 1) for t in ("j exp neurograph", "Journal of Experimental Neurographics.", "in: The Journal of Experimental Neurographics [print]", "Jnl of Experimental Neurographics", "Experimental Neurographics, Journal of", "JOURNAL OF EXPERIMENTAL NEUROGRPAHCS", "(J. Exp. Neurögraph.)", "journal-of-experimental_neurographics, vol. 12", "Journal Experimental Neurographics 1989")]
     + [("Ann Scleronom B", 3), ("Annals of Scleronmics Series A", 2), ("Annals Scleronomics Series B", 3), ("Comput Osteomorph Commun", 4), ("Cryolithics &amp; Thalassonomics", 6)]
-    + [(t, -1) for t in ("Ann Scleronom C", "Journal of Experimental Neurocladology", "Book: Sira", "n/a", "???", "x" * 5000)],
+    + [(t, -1) for t in ("Ann Scleronom C", "Annals of Osteomorphics Series A", "Ann Osteomorph A", "Ann Scleronom", "Journal of Experimental Neurocladology", "Book: Sira", "n/a", "???", "x" * 5000)],
 )
 def test_match(typed, want):
     assert canonical.Trie(LIST).match(typed)[0] == want
