@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.text import visible, words_of
+from citeloom.llm.text import lines_of, visible
 
 #: Function words of English, German, French and Spanish. Words of menus and offers (here, all, more, now, top) are left out.
 FUNCTION_WORDS = frozenset(
@@ -195,7 +195,7 @@ def segments(text: str) -> list[list[str]]:
     text = visible(text).replace("\t", " ").replace("\u00a0", " ")
     for end in _ENDS if text.isascii() else _ENDS + _ENDS_BEYOND_ASCII:
         text = text.replace(end, "\n")
-    return [w for s in text.split("\n") if s and (w := words_of(s))]
+    return lines_of(text)
 
 
 def is_clause(tokens: list[str]) -> bool:

@@ -15,6 +15,8 @@ _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060\ufeff]")
 _WORDS = re.compile(r"[^\W_]+")
 _PLAIN = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 
+_PLAIN_LINES = {k: v for k, v in _PLAIN.items() if k != ord("\n")}
+
 
 def visible(text: str) -> str:
     """A text in lower case without tags, entities, reference marks, invisible characters and word breaks at line ends, in one character form."""
@@ -52,3 +54,10 @@ def words_of(text: str) -> list[str]:
     if text.isascii():
         return text.translate(_PLAIN).split()
     return [w if w.isascii() else folded(w) for w in _WORDS.findall(unicodedata.normalize("NFC", text.casefold()))]
+
+
+def lines_of(text: str) -> list[list[str]]:
+    """The words of each line of a text that is `visible`, without empty lines."""
+    if text.isascii():
+        return [w for line in text.translate(_PLAIN_LINES).split("\n") if (w := line.split())]
+    return [w for line in text.split("\n") if line and (w := words_of(line))]
