@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citeloom.functions.columns import let
+
 
 def _fold(a: Column, b: Column, term) -> Column:
     return F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x)
@@ -44,9 +46,8 @@ def chebyshev(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """`a` at length 1; NaN in every place if it is all zero. The length is bound once by an outer loop of one step."""
-    scaled = lambda size: F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size)))
-    return F.flatten(F.transform(F.array(norm(a)), scaled))
+    """`a` at length 1; NaN in every place if it is all zero."""
+    return let(norm(a), lambda size: F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size))))
 
 
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "euclidean": euclidean, "sqeuclidean": sqeuclidean, "cityblock": cityblock, "chebyshev": chebyshev}

@@ -1,7 +1,7 @@
 """Deeply nested records as flat tables (problem 7).
 
 A payload is shredded into columns, one per leaf path, each value with its repetition and definition level; the flat
-tables of every repeated ancestor are rebuilt from those level sequences alone. The payloads have no common schema,
+tables of every repeated ancestor are rebuilt from those level sequences alone. Records without a key are left out. The payloads have no common schema,
 so the paths of a record are found first and every leaf below a missing member then gets its null with the level
 down to which it is defined; thereby a value's place among its siblings always follows from the repetition levels.
 """
@@ -91,9 +91,10 @@ def places(reps: list[int], depth: int) -> list[tuple]:
 
 
 def as_text(value) -> str | None:
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value)
+    """A scalar as text; half of a surrogate pair, which no table can hold, becomes a question mark."""
+    if value is None:
+        return None
+    return (value if isinstance(value, str) else json.dumps(value)).encode("utf-8", "replace").decode()
 
 
 def _records(batches: Iterator[pd.DataFrame]):
@@ -116,7 +117,7 @@ def _framed(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> It
 
 def _apply(df: DataFrame, rec: str, payload: str, rows, schema: str) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
-    slim = df.select(df[rec].alias("rec"), df[payload].alias("payload"))
+    slim = df.select(df[rec].alias("rec"), df[payload].alias("payload")).filter("rec is not null")
     made = slim.mapInPandas(lambda batches: _framed(rows(batches), columns), schema)
     return made.withColumnRenamed("rec", rec)
 
@@ -129,7 +130,7 @@ def shredded_levels(df: DataFrame, rec: str, payload: str) -> DataFrame:
             if ok:
                 for path, column in shred(value).items():
                     for k, (rep, level, v) in enumerate(column):
-                        yield r, path, k, rep, level, as_text(v)
+                        yield r, as_text(path), k, rep, level, as_text(v)
 
     return _apply(df, rec, payload, rows, "rec long, " + LEVELS)
 
@@ -157,7 +158,7 @@ def _values(columns: dict, want: re.Pattern) -> Iterator[tuple]:
         at = places([x[0] for x in column], path.count(REPEATED))
         for k, ((_, _, v), place) in enumerate(zip(column, at)):
             if v is not None and not isinstance(v, bool):
-                yield path, k, place[upto - 1] if upto else 0, place[down - 1] if down else 0, as_text(v)
+                yield as_text(path), k, place[upto - 1] if upto else 0, place[down - 1] if down else 0, as_text(v)
 
 
 def _numbers(columns: dict, want: re.Pattern) -> Iterator[tuple]:
@@ -167,7 +168,7 @@ def _numbers(columns: dict, want: re.Pattern) -> Iterator[tuple]:
         if want.fullmatch(path):
             for k, (_, _, v) in enumerate(column):
                 if (x := number(v)) is not None:
-                    yield path, base + k, x
+                    yield as_text(path), base + k, x
             base += len(column)
 
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.columns import let
+
 #: Private-use characters that bracket a placeholder; where they occur in the text itself they are escaped first.
 OPEN, CLOSE, ESC = "\ue000", "\ue001", "\ue002"
 #: A double-quoted span; a doubled quote inside stands for one.
-QUOTED = '"(?:[^"]|"")*"'
+#: Possessive, so that spans of any length are matched without recursion.
+QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
 #: What separates values: bars, double slashes, tabs, line ends, list numbers, and semicolons that don't lead to a volume.
 SEPARATOR = r"[|\t\r\n\x0b\x0c\u0085\u2028\u2029]+|//+|;(?!\s*\d+\s*[(:;])(?!\d)|(?<![^\s;|/])(?:\[\d{1,3}\]|\(?\d{1,3}\))(?=\s)"
 #: A citation: a name, a full stop, a year.
@@ -36,24 +39,27 @@ def packed_values(text: Column, separator: str = SEPARATOR) -> Column:
     A value loses surrounding space and separators and, if it is one quoted span, its quotes; a doubled quote inside becomes one.
     Spans inside a longer value keep their quotes. An unclosed quote is an ordinary character. Null gives null; blank text gives an empty array.
     """
-    safe = protect(text)
-    spans = F.regexp_extract_all(safe, F.lit(f"({QUOTED})"), 1)
-    gaps = F.split(safe, QUOTED, -1)
-    marked = F.array_join(
-        F.transform(gaps, lambda g, i: F.when(i < F.size(gaps) - 1, F.concat(g, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(g)), ""
-    )
-    pieces = F.transform(F.split(marked, separator, -1), lambda p: F.regexp_replace(p, r"^[\s\u00a0;|]+|[\s\u00a0;|]+$", ""))
     whole = f"^{OPEN}(\\d+){CLOSE}$"
 
-    def restore(p: Column) -> Column:
-        only = F.regexp_extract(p, whole, 1)
-        span = F.get(spans, F.when(only != "", only).cast("int"))
-        bare = F.trim(F.replace(F.substring(span, F.lit(2), F.length(span) - 2), F.lit('""'), F.lit('"')))
-        cut = F.split(p, f"[{OPEN}{CLOSE}]", -1)  # odd places hold the numbers of spans
-        inner = F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, F.get(spans, x.cast("int"))).otherwise(x)), "")
-        return unprotect(F.when(only != "", bare).otherwise(F.when(p.contains(OPEN), inner).otherwise(p)))
+    def mark(gaps: Column) -> Column:
+        return F.array_join(F.transform(gaps, lambda g, i: F.when(i < F.size(gaps) - 1, F.concat(g, F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(g)), "")
+
+    def restore(p: Column, spans: Column) -> Column:
+        def by(only: Column) -> Column:
+            span = F.get(spans, F.when(only != "", only).cast("int"))
+            bare = F.trim(F.replace(F.substring(span, F.lit(2), F.length(span) - 2), F.lit('""'), F.lit('"')))
+            cut = F.split(p, f"[{OPEN}{CLOSE}]", -1)  # odd places hold the numbers of spans
+            inner = F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, F.get(spans, x.cast("int"))).otherwise(x)), "")
+            return unprotect(F.when(only != "", bare).otherwise(F.when(p.contains(OPEN), inner).otherwise(p)))
+
+        return let(F.regexp_extract(p, whole, 1), by)
+
+    def split(safe: Column) -> Column:
+        pieces = F.transform(F.split(let(F.split(safe, QUOTED, -1), mark), separator, -1), lambda p: F.regexp_replace(p, r"^[\s\u00a0;|]+|[\s\u00a0;|]+$", ""))
+        spans = F.regexp_extract_all(safe, F.lit(f"({QUOTED})"), 1)
+        return let(spans, lambda found: F.transform(pieces, lambda p: restore(p, found)))
 
-    return F.filter(F.transform(pieces, restore), lambda v: F.length(F.trim(v)) > 0)
+    return F.filter(let(protect(text), split), lambda v: F.length(F.trim(v)) > 0)
 
 
 def split_packed(df: DataFrame, key: str, text: str, pattern: str | None = None, at_least: int = 1, separator: str = SEPARATOR) -> DataFrame:

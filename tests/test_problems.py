@@ -105,6 +105,12 @@ def test_packed_values(spark, text, want):
     assert df.select(packed.packed_values(F.col("s"))).first()[0] == want
 
 
+@pytest.mark.parametrize("text, n", [('"' + "a" * 200_000 + '"; B. 1990', 2), ('"' + 'a""b' * 50_000 + '"; B. 1990', 2), ('"A. 1990"; ' * 20_000, 20_000), ('"' * 100_001, 1), ("; " * 100_000, 0)])
+def test_very_long_packed_texts(spark, text, n):
+    df = spark.createDataFrame([(text,)], "s string")
+    assert df.select(F.size(packed.packed_values(F.col("s")))).first()[0] == n
+
+
 def test_split_packed_rows(spark):
     df = spark.createDataFrame([(1, "A. 1990; note; B. 1991", "x"), (2, None, "y"), (3, "A. 1990", "z"), (4, "x;" * 40_000, "w")], "row_id long, t string, val string")
     assert rows(packed.split_packed(df, "row_id", "t", packed.CITATION, 2), "row_id", "pos", "val") == [(1, 1, "A. 1990"), (1, 2, "B. 1991")]
@@ -210,9 +216,10 @@ def test_levels_follow_the_paper(spark):
 def test_nested_edges(spark):
     deep = "[" * 100_000 + "]" * 100_000
     docs = [(1, None), (2, ""), (3, "{"), (4, "[]"), (5, "null"), (6, deep), (7, '{"Mesh_year_category": [null, {"category": [[], {"tree": "A"}, null, "B"]}], "disruptiveness": {"runs": [null, {"DI1": "1e-2"}, {"DI1": true}, {"DI1": "nan"}]}}')]
+    docs += [(None, "{}"), (8, '{"Mesh_year_category": {"category": "\\ud800x"}, "disruptiveness": {"DI1": 1e999, "x": {"DI1": ' + "9" * 400 + "}}}")]
     df = spark.createDataFrame(docs, "rec long, payload string")
     got = rows(nested.repeated_values(df, "rec", "payload", "Mesh_year_category", "category"), "rec", "parent_no", "item_no", "value")
-    assert got == [(7, 1, 1, "A"), (7, 1, 3, "B")]
+    assert got == [(7, 1, 1, "A"), (7, 1, 3, "B"), (8, 0, 0, "?x")]
     assert rows(nested.numbers_below(df, "rec", "payload", "disruptiveness", "DI1"), "rec", "output_no", "value") == [(7, 1, 0.01)]
     assert [r[1] for r in rows(nested.record_rows(df, "rec", "payload", {"pmid": "PMID"}), "rec", "state")][:5] == ["empty", "empty", "broken", "complete", "complete"]
     assert nested.shredded_levels(df.limit(0), "rec", "payload").count() == 0
