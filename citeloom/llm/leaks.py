@@ -197,11 +197,11 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     """(key, item): every document that carries `least` running words of an item, with at most one word in `one_in` changed, dropped or added.
 
     Letter case, punctuation, spacing, line breaks, character forms, markup and reference marks don't matter. Items are limited to MAX_ITEM_WORDS
-    words in all, which is checked. Null and empty texts on either side, and items below `least` words, give no rows; a key that occurs
+    words in all, which is checked. Null keys, null and empty texts on either side, and items below `least` words, give no rows; a key that occurs
     in several rows comes out once per row that carries the item.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.select(item_key, item_text).toLocalIterator()]))
+    shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.select(item_key, item_text).toLocalIterator() if r[0] is not None]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
@@ -225,7 +225,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
         if names:
             yield result()
 
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     return slim.mapInPandas(search, "key long, item long")
 
 

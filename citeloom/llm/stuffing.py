@@ -231,7 +231,7 @@ def measures(text: str) -> tuple[int, float, float, float, float]:
 def page_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_word_chars, repeated, keywords, outside, stuffing): the shares of each page, from its whole text.
 
-    Null texts give no row; a text without words has 0 everywhere.
+    Null texts and keys give no row; a text without words has 0 everywhere.
     """
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,7 +245,7 @@ def page_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
             out.insert(0, "key", pdf["key"].to_numpy())
             yield out
 
-    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     return slim.mapInPandas(measure, "key long, n_word_chars long, repeated double, keywords double, outside double, stuffing double")
 
 

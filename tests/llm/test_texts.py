@@ -152,14 +152,14 @@ def test_copies_are_found_and_phrases_are_not(spark, seed, monkeypatch):
         cut = rng.randrange(len(body) + 1)
         joined = " ".join(body[:cut]) + ". " + rng.choice([" ", ", ", "  "]).join(part).upper() + "; " + " ".join(body[cut:])
         docs.append((d, joined, 0))
-    docs += [(900, None, 0), (901, "", 0), (902, " ".join(passage(rng, 20_000)), 0)]
+    docs += [(None, "a b c", 0), (900, None, 0), (901, "", 0), (902, " ".join(passage(rng, 20_000)), 0)]
     docs_df = spark.createDataFrame(docs, "doc_id long, text string, item long")
-    items_df = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(50, None), (51, "short one")], "item_id long, text string")
+    items_df = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(50, None), (51, "short one"), (None, " ".join(items[0]))], "item_id long, text string")
     cases = leaks.leaked(docs_df, "doc_id", "text", items_df, "item_id", "text")
     got = {(r.key, r.item) for r in cases.collect()}
     assert got == want
     assert {r.item: r.n_docs for r in leaks.item_report(cases).collect()} == Counter(k for _, k in want)
-    assert leaks.without_leaks(docs_df, "doc_id", cases).count() == len(docs) - len({d for d, _ in want})
+    assert leaks.without_leaks(docs_df, "doc_id", cases).count() == len(docs) - len({d for d, _ in want})  # the one without a key stays
     assert leaks.leaked(docs_df.limit(0), "doc_id", "text", items_df, "item_id", "text").count() == 0
     assert leaks.leaked(docs_df, "doc_id", "text", items_df.limit(0), "item_id", "text").count() == 0
 
@@ -216,10 +216,10 @@ CLEAN = [
 
 
 def test_pages(spark):
-    rows = [(k, t) for k, t in enumerate(SPAM)] + [(100 + k, t) for k, t in enumerate(CLEAN)] + [(200, None), (201, ""), (202, "--- ***"), (203, "kit " * 50_000), (204, PROSE * 3000)]
+    rows = [(k, t) for k, t in enumerate(SPAM)] + [(100 + k, t) for k, t in enumerate(CLEAN)] + [(None, PROSE), (200, None), (201, ""), (202, "--- ***"), (203, "kit " * 50_000), (204, PROSE * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     measured = stuffing.page_measures(df, "doc_id", "text").cache()
-    assert measured.count() == len(rows) - 1
+    assert measured.count() == len(rows) - 2
     assert {r.key for r in stuffing.stuffed_pages(measured).collect()} == {*range(len(SPAM)), 203}
     assert measured.filter("key in (201, 202)").agg(F.max("stuffing")).first()[0] == 0
     assert stuffing.page_measures(df.limit(0), "doc_id", "text").count() == 0
