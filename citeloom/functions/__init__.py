@@ -1 +1 @@
-
+"""Expressions and statistics used by the operators."""

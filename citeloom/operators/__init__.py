@@ -1 +1 @@
-
+"""Operators on canonical frames and the general data-processing operators."""

@@ -62,52 +62,63 @@ def author_year_profile(authorship: DataFrame, vectors: DataFrame) -> DataFrame:
     return got.groupBy("author_id", "year").agg(F.count("*").alias("n"), F.transform(bag, lambda x: x["vec"]).alias("vecs"))
 
 
-def past_works(authorship: DataFrame, vectors: DataFrame, focal: int, window: int = 5) -> DataFrame:
-    """(author_id, work, vec): embedded documents of the authors of focal-year documents, from the `window` years before."""
-    wanted = authorship.filter(F.col("year") == focal).select("author_id").distinct()
-    before = authorship.filter(F.col("year").between(focal - window, focal - 1)).select("author_id", F.col("doc_id").alias("work")).distinct()
-    kept = before.join(wanted, "author_id", "left_semi")
-    return kept.join(vectors.filter(embedded(F.col("vec"))).select(F.col("doc_id").alias("work"), "vec"), "work").select("author_id", "work", "vec")
-
-
-def _listed(authorship: DataFrame, past: DataFrame, focal: int) -> DataFrame:
-    """(doc_id, year, pos, author_id, works) of focal documents' authors with past works, for documents that have two such authors, one with two works."""
-    works = past.groupBy("author_id").agg(F.count("*").alias("works"))
-    mine = authorship.filter(F.col("year") == focal).select("doc_id", "year", "pos", "author_id").join(works, "author_id")
-    fit = mine.groupBy("doc_id").agg(F.count("*").alias("a"), F.max("works").alias("m")).filter("a > 1 and m > 1").select("doc_id")
-    return mine.join(fit, "doc_id", "left_semi")
-
-
-def author_intra(authorship: DataFrame, vectors: DataFrame, focal: int, window: int = 5, distance: str | Callable = "cosine") -> DataFrame:
+def _focal(authorship: DataFrame, focal: int | None, ids: DataFrame | None) -> DataFrame:
+    """The authorship rows of the documents to score: of one year or of all, of all documents or of those in the first column of `ids`."""
+    mine = authorship if focal is None else authorship.filter(F.col("year") == focal)
+    if ids is not None:
+        mine = mine.join(ids.select(F.col(ids.columns[0]).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return mine.filter("year is not null").select("doc_id", "year", "pos", "author_id")
+
+
+def past_works(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, ids: DataFrame | None = None) -> DataFrame:
+    """(author_id, year, work, vec): for the authors of the documents to score, and each of these documents' years, their embedded documents
+    from the `window` years before. focal None takes every document's own year."""
+    wanted = _focal(authorship, focal, ids).select("author_id", "year").distinct()
+    before = authorship.select("author_id", F.col("doc_id").alias("work"), F.col("year").alias("_y")).distinct()
+    if focal is not None:
+        before = before.filter(F.col("_y").between(focal - window, focal - 1))
+    kept = before.join(wanted, "author_id").filter(F.col("_y").between(F.col("year") - window, F.col("year") - 1))
+    return kept.join(vectors.filter(embedded(F.col("vec"))).select(F.col("doc_id").alias("work"), "vec"), "work").select("author_id", "year", "work", "vec")
+
+
+def _listed(mine: DataFrame, past: DataFrame) -> DataFrame:
+    """(doc_id, year, pos, author_id, works) of authors with past works, for documents that have two such authors, one with two works."""
+    works = past.groupBy("author_id", "year").agg(F.count("*").alias("works"))
+    known = mine.join(works, ["author_id", "year"])
+    fit = known.groupBy("doc_id").agg(F.count("*").alias("a"), F.max("works").alias("m")).filter("a > 1 and m > 1").select("doc_id")
+    return known.join(fit, "doc_id", "left_semi")
+
+
+def author_intra(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, year, author_id, n, mean, sd, p100 .. p0): distances among each author's past works.
 
-    An author's distances are computed once, however many documents they wrote in the focal year.
+    An author's distances are computed once per year, however many documents they wrote in it. focal None scores all years in one job.
     """
-    past = past_works(authorship, vectors, focal, window)
-    stats = pairwise_distances(past, ["author_id"], order="work", distance=distance).groupBy("author_id").agg(*distribution("d"))
-    return _listed(authorship, past, focal).select("doc_id", "year", "author_id").join(stats, "author_id")
+    past = past_works(authorship, vectors, focal, window, ids)
+    stats = pairwise_distances(past, ["author_id", "year"], order="work", distance=distance).groupBy("author_id", "year").agg(*distribution("d"))
+    return _listed(_focal(authorship, focal, ids), past).select("doc_id", "year", "author_id").join(stats, ["author_id", "year"])
 
 
-def author_inter(authorship: DataFrame, vectors: DataFrame, focal: int, window: int = 5, distance: str | Callable = "cosine") -> DataFrame:
+def author_inter(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, year, author_a, author_b, n, mean, sd, p100 .. p0): distances of all past works of one author to all of another, a before b.
 
-    All pairs count, also where both have the same works. Each pair of authors is computed once for the whole focal year.
+    All pairs count, also where both have the same works. Each pair of authors is computed once per year. focal None scores all years in one job.
     """
-    past = past_works(authorship, vectors, focal, window)
-    mine = _listed(authorship, past, focal)
+    past = past_works(authorship, vectors, focal, window, ids)
+    mine = _listed(_focal(authorship, focal, ids), past)
     a, b = (mine.select("doc_id", "year", F.col("pos").alias(f"pos_{x}"), F.col("author_id").alias(f"author_{x}")) for x in "ab")
     pairs = a.join(b, ["doc_id", "year"]).filter("pos_a < pos_b").drop("pos_a", "pos_b")
     prepare, of = prepared(distance)
-    works = [past.select(F.col("author_id").alias(f"author_{x}"), prepare(F.col("vec")).alias(f"vec_{x}")) for x in "ab"]
-    each = pairs.select("author_a", "author_b").distinct().join(works[0], "author_a").join(works[1], "author_b").select("author_a", "author_b", of(F.col("vec_a"), F.col("vec_b")).alias("d"))
-    stats = each.groupBy("author_a", "author_b").agg(*distribution("d"))
-    return pairs.join(stats, ["author_a", "author_b"])
+    works = [past.select("year", F.col("author_id").alias(f"author_{x}"), prepare(F.col("vec")).alias(f"vec_{x}")) for x in "ab"]
+    keys = ["year", "author_a", "author_b"]
+    each = pairs.select(*keys).distinct().join(works[0], ["year", "author_a"]).join(works[1], ["year", "author_b"]).select(*keys, of(F.col("vec_a"), F.col("vec_b")).alias("d"))
+    return pairs.join(each.groupBy(*keys).agg(*distribution("d")), keys)
 
 
-def author_share_captured(authorship: DataFrame, vectors: DataFrame, focal: int, window: int = 5) -> DataFrame:
+def author_share_captured(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, ids: DataFrame | None = None) -> DataFrame:
     """(doc_id, year, share): authors with past works among all authors of the document."""
-    past = past_works(authorship, vectors, focal, window).select("author_id").distinct().withColumn("known", F.lit(1))
-    mine = authorship.filter(F.col("year") == focal).join(past, "author_id", "left")
+    past = past_works(authorship, vectors, focal, window, ids).select("author_id", "year").distinct().withColumn("known", F.lit(1))
+    mine = _focal(authorship, focal, ids).join(past, ["author_id", "year"], "left")
     return mine.groupBy("doc_id", "year").agg((F.count("known") / F.count("*")).alias("share"))
 
 

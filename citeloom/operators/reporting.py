@@ -41,6 +41,13 @@ def list_sizes(df: DataFrame, array: str, by: list[str]) -> DataFrame:
     return got.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg("_n").alias("mean"), F.var_pop("_n").alias("variance"))
 
 
+def list_size_density(df: DataFrame, array: str) -> DataFrame:
+    """(size, n_docs): how many documents have an array of each size, below the 99th percentile of sizes. Null arrays are left out."""
+    sizes = df.filter(F.col(array).isNotNull()).select(F.size(array).alias("size"))
+    limit = sizes.agg(F.percentile("size", F.lit(0.99)))
+    return sizes.filter(F.col("size") < limit.scalar()).groupBy("size").agg(F.count("*").alias("n_docs"))
+
+
 def field_availability(df: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
     """(by, n_docs, n_<field> ...): how many documents have each field."""
     return df.groupBy(*by).agg(F.count("*").alias("n_docs"), *[F.count(f).alias(f"n_{f}") for f in fields])

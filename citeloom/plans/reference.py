@@ -291,6 +291,12 @@ def author_share_captured(spark, root):
     return rounded(embedding.author_share_captured(authorship(spark, root), vectors(spark, root), ORDER_FOCAL, ORDER_WINDOW), "share")
 
 
+def author_intra_all_years(spark, root):
+    """The mean distance among every author's past works for the documents of every year, in one job."""
+    got = embedding.author_intra(authorship(spark, root), vectors(spark, root), None, ORDER_WINDOW)
+    return got.groupBy("year").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_distances"), F.round(F.avg("mean"), 6).alias("mean"))
+
+
 # ---- keywords and texts
 
 
@@ -374,6 +380,24 @@ def items_per_paper_by_year(spark, root):
     return rounded(reporting.list_sizes(_mesh(spark, root), "mesh_year_category", ["year"]), "mean", "variance")
 
 
+def refs_per_paper_density(spark, root):
+    return reporting.list_size_density(citation_network(spark, root), "refs")
+
+
+def items_per_paper_density(spark, root):
+    return reporting.list_size_density(_mesh(spark, root), "mesh_year_category")
+
+
+def embedding_trend(spark, root):
+    """The yearly mean of the documents' 10th percentile of distances among references."""
+    return rounded(reporting.trend(embedding.reference_novelty(_embedded(spark, root, "title_embedding")), "p10"), "mean")
+
+
+def scores_long(spark, root):
+    """The frame behind distribution plots: one row per document and indicator."""
+    return rounded(_scores(spark, root), "score")
+
+
 def field_availability(spark, root):
     return reporting.field_availability(_texts(spark, root), ["title", "abstract"], ["year"])
 

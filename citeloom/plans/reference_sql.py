@@ -208,4 +208,15 @@ ORACLES = {
     "score_distribution": f"with {_SCORES} select indicator, variable, count(*) as n, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as sd, round(min(score), 6) as least, round(max(score), 6) as most from fine group by indicator, variable",
     "indicator_correlation": f"with {_SCORES} select year, a, b, count(*) as n, {_R} from twos group by year, a, b",
     "indicator_correlation_pooled": f"with {_SCORES} select a, b, count(*) as n, {_R} from twos group by a, b",
+    "author_intra_all_years": f"""with {_AUTHORS}, past as (select distinct f.author_id, f.year, a.doc_id as work, v.vec from (select distinct author_id, year from auth) f
+        join auth a on a.author_id = f.author_id and a.year between f.year - {ORDER_WINDOW} and f.year - 1 join vec v on v.doc_id = a.doc_id),
+      works as (select author_id, year, count(*) as works from past group by all),
+      mine as (select a.doc_id, a.year, a.author_id, w.works from auth a join works w on w.author_id = a.author_id and w.year = a.year),
+      fit as (select doc_id from mine group by doc_id having count(*) > 1 and max(works) > 1),
+      s as (select x.author_id, x.year, count(*) as n, avg({_cosine('x.vec', 'y.vec')}) as mean from past x join past y on x.author_id = y.author_id and x.year = y.year and x.work < y.work group by all)
+      select m.year, count(*) as n_rows, cast(sum(s.n) as bigint) as n_distances, round(avg(s.mean), 6) as mean from mine m join s on s.author_id = m.author_id and s.year = m.year where m.doc_id in (select doc_id from fit) group by m.year""",
+    "refs_per_paper_density": f"with {_NET}, r as (select p.doc_id, count(e.cited) as size from papers p left join edges e on e.citing = p.doc_id group by p.doc_id) select cast(size as int) as size, count(*) as n_docs from r where size < (select quantile_cont(size, 0.99) from r) group by size",
+    "items_per_paper_density": f"with {_MESH}, r as (select len(l) as size from recs where l is not null) select cast(size as int) as size, count(*) as n_docs from r where size < (select quantile_cont(size, 0.99) from r) group by size",
+    "embedding_trend": f"with {_refs('title_embedding')}, p as (select a.doc_id, a.year, {_cosine('a.vec', 'b.vec')} as d from v a join v b on a.doc_id = b.doc_id and a.pos < b.pos), q as (select doc_id, year, case when bool_or(isnan(d)) then 'nan'::double else quantile_cont(d, 0.1) end as p10 from p group by doc_id, year) select year, count(*) as n, round(avg(p10), 6) as mean from q where not isnan(p10) group by year",
+    "scores_long": f"with {_SCORES} select doc_id, year, indicator, variable, round(score, 6) as score from scores",
 }

@@ -1 +1 @@
-
+"""Empty on purpose: no operator here depends on the order of arrival. Late and redelivered rows are handled by the batch operators."""

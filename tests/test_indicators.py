@@ -252,6 +252,11 @@ def test_authors(spark):
     assert inter[0].mean == pytest.approx(np.mean(cos)) and sum(c < 1e-9 for c in cos) == 3
     assert table(embedding.author_share_captured(a, v, 5, 3), "doc_id", "share") == {100: pytest.approx(2 / 3), 101: 1.0, 60: 1.0}
     assert table(embedding.author_share_captured(a, v, 5, 4), "doc_id", "share")[100] == 1.0
+    # every year in one job, or only the documents of a list, gives the same rows
+    every = {(r.doc_id, r.author_id): r.n for r in embedding.author_intra(a, v, None, 3).collect()}
+    assert every == {(100, 1): 6, (100, 2): 3}
+    listed = spark.createDataFrame([("100",), ("12",)], "id string")
+    assert embedding.author_inter(a, v, None, 3, ids=listed).count() == 1 and embedding.author_intra(a, v, 5, 3, ids=listed.limit(0)).count() == 0
     assert table(embedding.author_papers(a.unionByName(spark.createDataFrame([(1, 1, 0, 0)], a.schema))), "author_id", "doc_list")[2] == [11, 12, 13, 60, 100]
     profile = table(embedding.author_year_profile(a, v), "author_id", "year", "vecs")
     assert profile[2, 4] == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
@@ -306,6 +311,7 @@ def test_reports(spark):
     assert rows(reporting.doc_counts({"d": docs}), "collection", "n_docs") == [("d", 3)]
     assert rows(reporting.doc_counts_by_year({"d": docs}), "year", "n_docs") == [(1, 2)]
     assert rows(reporting.field_availability(docs, ["title", "abstract"], []), "n_docs", "n_title", "n_abstract") == [(3, 2, 1)]
+    assert rows(reporting.list_size_density(lists, "doc_list"), "size", "n_docs") == [(1, 67), (2, 67)]  # the percentile is 3
     assert rows(reporting.list_sizes(spark.createDataFrame([(1, [1, 2]), (1, []), (1, None)], "year int, x array<int>"), "x", ["year"]), "n_docs", "mean", "variance") == [(2, 1.0, 1.0)]
 
 
