@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from citeloom.runtime import widen
+
 #: Marks a repeated step in a path.
 REPEATED = "[]"
 LEVELS = "path string, seq int, rep int, def int, value string"
@@ -118,7 +120,7 @@ def _framed(rows: Iterator[tuple], columns: list[str], size: int = 20_000) -> It
 def _apply(df: DataFrame, rec: str, payload: str, rows, schema: str) -> DataFrame:
     columns = [c.split()[0] for c in schema.split(", ")]
     slim = df.select(df[rec].alias("rec"), df[payload].alias("payload")).filter("rec is not null")
-    made = slim.mapInPandas(lambda batches: _framed(rows(batches), columns), schema)
+    made = widen(slim, "rec").mapInPandas(lambda batches: _framed(rows(batches), columns), schema)
     return made.withColumnRenamed("rec", rec)
 
 

@@ -36,3 +36,9 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFr
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` hashed by `keys` into spark.sql.shuffle.partitions parts, none of which AQE joins: for steps whose output is many times their input."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by `key` if it has fewer partitions than there are cores: for heavy work per row on small files. Wider frames stay as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
