@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.text import words
+from citeloom.runtime import widen
 
 #: Words of a verbatim match from which a copy is followed. A copy of 20 words with 3 edits has a run of 5 at least.
 SEED = 4
@@ -65,7 +66,8 @@ def keys(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places in suffix order, distinct keys, first place of each key and the end)."""
+    """(places in the order of their first SEED words, distinct keys, first place of each key and the end). What follows the first words is
+    compared when a match is extended, so deeper order isn't needed."""
     places = seeds(flat)
     key = keys(flat, places)
     order = np.lexsort((key["b"], key["a"]))
@@ -226,7 +228,7 @@ def leaked(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
             yield result()
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    return slim.mapInPandas(search, "key long, item long")
+    return widen(slim, "key").mapInPandas(search, "key long, item long")
 
 
 def item_report(cases_: DataFrame) -> DataFrame:

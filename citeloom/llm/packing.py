@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.runtime import cut
+from citeloom.runtime import cut, widen
 
 #: Open windows of a partition; partitions whose leftovers are merged by one task.
 WINDOWS, FAN_IN = 64, 32
@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABUL
             yield pd.DataFrame({"key": pdf["key"], "n_tokens": [len(encode(t)) for t in pdf["text"]]})
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    return slim.mapInPandas(measure, "key long, n_tokens long")
+    return widen(slim, "key").mapInPandas(measure, "key long, n_tokens long")
 
 
 class Packer:

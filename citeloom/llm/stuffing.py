@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.text import lines_of, visible
+from citeloom.runtime import widen
 
 #: Function words of English, German, French and Spanish. Words of menus and offers (here, all, more, now, top) are left out.
 FUNCTION_WORDS = frozenset(
@@ -246,7 +247,7 @@ def page_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield out
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    return slim.mapInPandas(measure, "key long, n_word_chars long, repeated double, keywords double, outside double, stuffing double")
+    return widen(slim, "key").mapInPandas(measure, "key long, n_word_chars long, repeated double, keywords double, outside double, stuffing double")
 
 
 def stuffed_pages(measured: DataFrame, most: float = 0.5) -> DataFrame:
