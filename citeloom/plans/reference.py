@@ -121,7 +121,8 @@ def restricted_items(spark, root):
 
 def lee_pair_score(spark, root):
     counts = P.item_counts(items(spark, root))
-    return rounded(cooccurrence.commonness_pairs(P.cooccurrence(P.doc_pairs(counts)), P.marginals(counts), P.yearly_weight(counts)), "s")
+    got = cooccurrence.commonness_pairs(P.cooccurrence(P.doc_pairs(counts)), P.marginals(counts), P.yearly_weight(counts))
+    return got.withColumn("s", F.round("s", 9))  # plain fractions: six places would often cut at a half
 
 
 def lee_commonness(spark, root):
@@ -130,7 +131,7 @@ def lee_commonness(spark, root):
 
 def lee_density(spark, root):
     got = cooccurrence.commonness(items(spark, root), density=True)
-    return rounded(got, "novelty").withColumn("scores", F.transform("scores", lambda x: F.round(x, 6)))
+    return rounded(got, "novelty").withColumn("scores", F.transform("scores", lambda x: F.round(x, 9)))
 
 
 def list_ids_filter(spark, root):

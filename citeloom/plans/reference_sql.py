@@ -19,7 +19,7 @@ _LEE = f"""{_WEIGHTED}, ends as (select year, i as item, w from cooc union all s
   score as (select c.year, c.i, c.j, c.w, cast(c.w as double) * cast(t.nt as double) / (cast(a.n as double) * cast(b.n as double)) as s from cooc c join total t on c.year = t.year join margin a on c.year = a.year and c.i = a.item
     join margin b on c.year = b.year and c.j = b.item), {_ENOUGH},
   spread as (select d.doc_id, d.year, s.s, unnest(range(d.n)) as k from dp d join score s on d.year = s.year and d.i = s.i and d.j = s.j where d.doc_id in (select doc_id from enough)),
-  lee as (select doc_id, year, -ln(quantile_cont(s, 0.1)) as novelty, list_sort(list(round(s, 6))) as scores from spread group by doc_id, year)"""
+  lee as (select doc_id, year, -ln(quantile_cont(s, 0.1)) as novelty, list_sort(list(round(s, 9))) as scores from spread group by doc_id, year)"""
 
 _WANG = f"""{_UNWEIGHTED},
   fresh as (select i, j from cooc c where year = {FOCAL} and not exists (select 1 from cooc p where p.year < {FOCAL} and p.i = c.i and p.j = c.j)),
@@ -145,7 +145,7 @@ ORACLES = {
     "item_index": f"with {_ITEMS} select item, row_number() over (order by item) - 1 as idx from (select distinct item from items)",
     "item_frequency": f"with {_ITEMS}, {_FREQUENCY} select * from freq",
     "restricted_items": f"with {_ITEMS}, {_FREQUENCY} select * from often",
-    "lee_pair_score": f"with {_LEE} select year, i, j, w, round(s, 6) as s from score",
+    "lee_pair_score": f"with {_LEE} select year, i, j, w, round(s, 9) as s from score",
     "lee_commonness": f"with {_LEE} select doc_id, year, round(novelty, 6) as novelty from lee",
     "lee_density": f"with {_LEE} select doc_id, year, round(novelty, 6) as novelty, scores from lee",
     "list_ids_filter": f"with {_LEE} select doc_id, year, round(novelty, 6) as novelty from lee where doc_id in (select id from refs_embedding)",

@@ -19,7 +19,7 @@ def views(root: str) -> duckdb.DuckDBPyConnection:
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     if isinstance(v, dict):
