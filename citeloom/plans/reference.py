@@ -12,7 +12,7 @@ from citeloom.operators import pairs as P
 from citeloom.runtime import table
 
 #: The focal year of queries that have one, the years of reuse after it, and the samples of a shuffle.
-FOCAL, WINDOW, SAMPLES = 2005, 3, 5
+FOCAL, WINDOW, SAMPLES = 2005, 3, 20
 #: The focal year, look-back of the order tables, and the size of word vectors.
 ORDER_FOCAL, ORDER_WINDOW, WORD_DIM = 1998, 5, 4
 
