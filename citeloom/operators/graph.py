@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.runtime import cut
 
-#: Edges up to which the whole graph is handled by one task (about 100 bytes each); larger graphs are handled by joins.
+#: Edges beyond which a warning says that Louvain holds the whole graph in the memory of one task. The result is the same on either side.
 ONE_TASK_EDGES = 2_000_000
 
 
@@ -76,10 +77,10 @@ def louvain(edges: dict[tuple, float], resolution: float = 1.0) -> dict:
 
 
 def _by_joins(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(item, community): label propagation by weight, for graphs beyond one task. A different algorithm, chosen for its bounded state.
+    """(item, community): label propagation by weight. A different algorithm with bounded state, only for callers who name it.
 
     In every round half of the nodes (by hash, in turns) take the label with the most weight among their neighbours, ties to the
-    smallest; it ends when a pair of rounds changes nothing or after `rounds`.
+    smallest; it ends when a pair of rounds changes nothing. Labels that still change after `rounds` are an error.
     """
     both = cut(edges.filter("i <> j").select(F.col("i").alias("item"), F.col("j").alias("other"), "w").unionByName(edges.filter("i <> j").select(F.col("j").alias("item"), F.col("i").alias("other"), "w")))
     nodes = edges.select(F.explode(F.array("i", "j")).alias("item")).distinct()
@@ -92,8 +93,8 @@ def _by_joins(edges: DataFrame, rounds: int = 20) -> DataFrame:
         still = 0 if labels_.filter("moved").limit(1).count() else still + 1
         labels = labels_.select("item", "community")
         if still >= 2:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def _louvain_frame(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,14 +107,15 @@ ALGORITHMS: dict[str, Callable[[DataFrame], DataFrame]] = {"propagation": _by_jo
 
 
 def communities(edges: DataFrame, algorithm: str = "louvain") -> DataFrame:
-    """(item STRING, community STRING) of the nodes of (i, j, w). 'louvain' works on graphs of at most ONE_TASK_EDGES edges, which is counted;
-    larger graphs get 'propagation'. An unknown name is an error. Nodes without edges don't appear: callers treat them as alone."""
+    """(item STRING, community STRING) of the nodes of (i, j, w). 'louvain' is Louvain at every size, in the memory of one task; beyond
+    ONE_TASK_EDGES edges, which are counted, a warning says so. 'propagation' is another algorithm, by joins. An unknown name is an error.
+    Nodes without edges don't appear: callers treat them as alone."""
     edges = edges.groupBy("i", "j").agg(F.sum("w").alias("w"))
     if algorithm == "louvain":
         edges = cut(edges)
-        if edges.count() <= ONE_TASK_EDGES:
-            return edges.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(_louvain_frame, "item string, community string")
-        return _by_joins(edges)
+        if (many := edges.count()) > ONE_TASK_EDGES:
+            warnings.warn(f"Louvain on {many} edges in the memory of one task", stacklevel=2)
+        return edges.withColumn("g", F.lit(1)).groupBy("g").applyInPandas(_louvain_frame, "item string, community string")
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no community algorithm {algorithm}; known are louvain, {', '.join(sorted(ALGORITHMS))}")
     return ALGORITHMS[algorithm](edges)

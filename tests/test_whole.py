@@ -2,7 +2,9 @@
 
 import inspect
 
-from citeloom.operators import cooccurrence
+import pytest
+
+from citeloom.operators import cooccurrence, graph
 from citeloom.plans import reference
 
 
@@ -10,3 +12,14 @@ def test_shuffles_draw_the_operators_samples(spark, root):
     wanted = inspect.signature(cooccurrence.atypicality).parameters["samples"].default
     assert wanted == 20
     assert {r.k for r in reference.uzzi_shuffle(spark, root).select("k").distinct().collect()} == set(range(1, wanted + 1))
+
+
+def test_communities_are_the_same_at_every_size(spark, monkeypatch):
+    df = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}", 1) for k in range(29)], "i string, j string, w long")
+    small = {r.item: r.community for r in graph.communities(df).collect()}
+    monkeypatch.setattr(graph, "ONE_TASK_EDGES", 3)
+    with pytest.warns(UserWarning, match="29 edges"):
+        large = {r.item: r.community for r in graph.communities(df).collect()}
+    assert small == large and len(set(small.values())) > 1
+    with pytest.raises(RuntimeError):
+        graph._by_joins(df, rounds=1)
