@@ -3,8 +3,8 @@
 A shard is a run of documents of one task. Its words become numbers, 0 for words of no test item, and the suffixes that can match
 (their first SEED words all occur in test items) are sorted: a sparse suffix array, since other suffixes begin no match. Every suffix of
 every item is then looked up by binary search, which gives the places of all verbatim matches of SEED words or more, and comparing
-onwards gives their full length. From each match the copy is followed in both directions over changed, dropped and added words, and a
-stretch of enough running words with few enough edits makes a case. No text leaves its task but the (document, item) cases.
+onwards gives their full length. Around each match item and document are aligned with the least changed, dropped and added words, wherever
+these lie, and a stretch of enough running words with few enough edits makes a case. No text leaves its task but the (document, item) cases.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from citeloom.runtime import widen
 SEED = 4
 #: Words of a shard; words of all items together at most, as the items go to every task.
 SHARD, MAX_ITEM_WORDS = 400_000, 20_000_000
-#: Words by which an item and its copy may drift apart at one place.
-GAP = 4
 
 
 class Items:
@@ -114,59 +112,28 @@ def verbatim(shard: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, n
     return p, q, length
 
 
-def _follow(item: list[int], doc, i: int, j: int, step: int, stop: int) -> list[tuple[int, int]]:
-    """Steps (words of the item, edits) from the pair (i, j) on: equal words, else the least edits after which two words are equal again."""
-    out, n, m, bad = [], len(item), len(doc), 0
-    while 0 <= i < n and 0 <= j < m:
-        if item[i] == doc[j]:
-            out.append((1, 0))
-            i, j, bad = i + step, j + step, 0
-            continue
-        best = None
-        for cost in range(1, GAP + 1):
-            for a in range(cost + 1):
-                for b in {cost, a} if a < cost else range(cost + 1):
-                    x, y = i + step * a, j + step * b
-                    if max(a, b) != cost or not (0 <= x < n and 0 <= y < m) or item[x] != doc[y]:
-                        continue
-                    x2, y2 = x + step, y + step
-                    if 0 <= x2 < n and 0 <= y2 < m:
-                        if item[x2] == doc[y2] and (best is None or abs(a - b) < abs(best[0] - best[1])):
-                            best = (a, b)
-                    elif best is None and not 0 <= x2 < n:  # the last word of the item
-                        best = (a, b)
-            if best:
-                break
-        if best is None:
-            break
-        a, b = best
-        bad += max(a, b)
-        if bad > stop:
-            break
-        out += [(1, 1)] * a + [(0, 1)] * max(0, b - a) if a <= b else [(1, 1)] * a
-        i, j = i + step * a, j + step * b
-    return out
-
-
-def carried(item: list[int], doc, i: int, j: int, length: int, least: int, one_in: int) -> int:
-    """The most running words of the item that the copy around the match (i, j, length) carries with at most one edit in `one_in` words."""
-    left = _follow(item, doc, i - 1, j - 1, -1, GAP)
-    right = _follow(item, doc, i + length, j + length, 1, GAP)
-    steps = left[::-1] + [(1, 0)] * length + right
-    # longest stretch with edits * one_in <= words that begins and ends with an equal word
-    best = 0
-    value = np.cumsum([0] + [w - one_in * e for w, e in steps])
-    count = np.cumsum([0] + [w for w, _ in steps])
-    ends = [k + 1 for k, s in enumerate(steps) if s == (1, 0)]
-    starts = [k for k, s in enumerate(steps) if s == (1, 0)]
-    for s in starts:
-        for e in reversed(ends):
-            if e <= s or count[e] - count[s] <= best:
-                break
-            if value[e] >= value[s]:
-                best = int(count[e] - count[s])
-                break
-    return best
+def carries(item: np.ndarray, doc: np.ndarray, least: int, one_in: int) -> bool:
+    """Whether the document has a copy of `least` running words of the item or more with at most one edit in `one_in` words: the least edits of
+    every stretch of the item that begins and ends with an equal word against any stretch of the document."""
+    n, m = len(item), len(doc)
+    if n < least:
+        return False
+    far = 2 * (n + m)
+    edits = np.full((n, m + 1), far, np.int32)  # by first word of the stretch and end in the document
+    at = np.arange(m + 1, dtype=np.int32)
+    for k in range(n):
+        same = doc == item[k]
+        places = np.flatnonzero(same)
+        if k + 1 >= least and len(places):
+            room = k + 1 - np.arange(k + 2 - least)  # words of each stretch that ends here
+            if (edits[: k + 2 - least, places] * one_in <= room[:, None]).any():
+                return True
+        old = edits[:k]
+        new = old + 1
+        np.minimum(new[:, 1:], old[:, :-1] + ~same, out=new[:, 1:])
+        edits[:k] = np.minimum.accumulate(new - at, axis=1) + at
+        edits[k] = np.minimum.accumulate(np.where(np.r_[False, same], 0, far) - at) + at
+    return False
 
 
 def cases(shard: np.ndarray, bounds: list[int], items: Items, least: int, one_in: int) -> set[tuple[int, int]]:
@@ -178,18 +145,28 @@ def cases(shard: np.ndarray, bounds: list[int], items: Items, least: int, one_in
     for d, o, i, j, n in zip(doc.tolist(), owner.tolist(), p.tolist(), q.tolist(), length.tolist()):
         groups[d, o].append((n, i, j))
     found = set()
+    # cut at the gap in its middle, at most a sixth of it, a copy of 3 * least words leaves two of `least` or more, one of them within the limit
+    reach = 3 * least
+    drift = reach // one_in
     for (d, o), seeds_ in groups.items():
-        item, body, tried = items.codes[o], None, set()
+        if max(seeds_)[0] >= least:
+            found.add((d, o))
+            continue
+        item, body = np.array(items.codes[o]), shard[bounds[d] : bounds[d + 1]]
+        searched: list[tuple[int, int, int, int]] = []
         for n, i, j in sorted(seeds_, reverse=True):
             i, j = i - int(items.start[o]), j - bounds[d]
-            if (j - i) // GAP in tried:  # on a diagonal already followed
+            # a stretch of `reach` words or more has a shorter one, so no copy needs to be followed further
+            a, b = max(0, i - reach), min(len(item), i + n + reach)
+            c, e = max(0, j - (i - a) - drift), min(len(body), j + (b - i) + drift)
+            if any(a >= a_ and b <= b_ and c >= c_ and e <= e_ for a_, b_, c_, e_ in searched):
                 continue
-            if n >= least:
-                found.add((d, o))
-                break
-            if body is None:
-                body = shard[bounds[d] : bounds[d + 1]].tolist()
-            if carried(item, body, i, j, n, least, one_in) >= least:
+            searched.append((a, b, c, e))
+            piece, place = item[a:b], body[c:e]
+            # an edit takes away at most two of the neighbouring pairs of words of a copy, so that many must be there
+            here = {*zip(place[:-1].tolist(), place[1:].tolist())}
+            both = sum(pair in here for pair in zip(piece[:-1].tolist(), piece[1:].tolist()))
+            if both >= least - 1 - 2 * (least // one_in) and carries(piece, place, least, one_in):
                 found.add((d, o))
                 break
     return found

@@ -1,0 +1,50 @@
+"""Copies and stuffing that shorter searches miss."""
+
+import random
+
+import numpy as np
+import pytest
+
+from citeloom.llm import leaks, text
+
+
+def leak(item, copy):
+    made = leaks.Items([(0, " ".join(item))])
+    body = [made.vocabulary.get(w, 0) for w in ["x"] * 9 + copy + ["y"] * 9] + [0]
+    return leaks.cases(np.array(body, np.int64), [0, len(body)], made, 20, 6) == {(0, 0)}
+
+
+I36, I38 = [f"w{k}" for k in range(36)], [f"w{k}" for k in range(38)]
+
+
+@pytest.mark.parametrize(
+    "item, copy, want",
+    [
+        (I36, I36[:15] + I36[20:], True),  # five words dropped
+        (I38, I38[:19] + ["z"] * 5 + I38[19:], True),  # five added
+        (I38, I38[:19] + ["z"] * 6 + I38[19:], True),
+        (I38, I38[:19] + ["z"] * 7 + I38[19:], False),
+        (I36, I36[:8] + ["z", I36[9], "z"] + I36[11:20], True),  # two changed words around a kept one
+        (I36, I36[:19], False),
+        (I36, I36[:19] + ["z"] * 17, False),  # a copy ends with an equal word
+    ],
+)
+def test_edits_may_lie_together(item, copy, want):
+    assert leak(item, copy) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_copies_at_the_limit(seed):
+    rng = random.Random(seed)
+    for _ in range(100):
+        item = [f"w{k}" for k in range(rng.randint(20, 400))]
+        copy, keep = list(item), {0, len(item) - 1}
+        for at in sorted(rng.sample(range(1, len(item) - 1), len(item) // 6), reverse=True):
+            if at not in keep:
+                copy[at : at + 1] = rng.choice([["z"], [], [copy[at], "z"]])
+        assert leak(item, copy)
+
+
+def test_long_markup_is_no_words():
+    assert text.words(f'one <span style="{"color: red; " * 60}">two</span> <!-- {"note " * 200} --> three') == ["one", "two", "three"]
+    assert text.words("a <b " + "so on " * 100 + "> c").count("so") == 100
