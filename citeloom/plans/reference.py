@@ -259,15 +259,23 @@ def pairwise_distance_percentiles(spark, root):
     return both[0].unionByName(both[1])
 
 
-def pairwise_distance_metrics(spark, root):
-    """The mean distance of every document's references by each metric."""
-    rows, out = _embedded(spark, root, "title_embedding"), None
+def _distance_metrics(spark, root, field):
+    rows, out = _embedded(spark, root, field), None
     for name in sorted(METRICS):
         one = embedding.pairwise_distances(rows, ["doc_id"], distance=name).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean")).withColumn("metric", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def pairwise_distance_metrics(spark, root):
+    """The mean distance of every document's references by each metric, of titles."""
+    return _distance_metrics(spark, root, "title_embedding")
+
+
+def pairwise_distance_metrics_abstract(spark, root):
+    return _distance_metrics(spark, root, "abstract_embedding")
+
+
 # ---- authors
 
 
@@ -315,12 +323,20 @@ def mesh_tree_prefix(spark, root):
     return each.select("doc_id", "pos", keywords.tree_prefixes(longer).alias("prefixes"))
 
 
-def text_centroid(spark, root):
-    texts = _texts(spark, root).select("doc_id", F.col("title").alias("text"))
+def _centroid(spark, root, field):
+    texts = _texts(spark, root).select("doc_id", F.col(field).alias("text"))
     got = embedding.text_centroid(texts, word_vectors(texts), WORD_DIM)
     return got.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
 
 
+def text_centroid(spark, root):
+    return _centroid(spark, root, "title")
+
+
+def text_centroid_abstract(spark, root):
+    return _centroid(spark, root, "abstract")
+
+
 # ---- cleaning
 
 
@@ -389,9 +405,17 @@ def items_per_paper_density(spark, root):
     return reporting.list_size_density(_mesh(spark, root), "mesh_year_category")
 
 
+def _distance_trend(spark, root, field):
+    return rounded(reporting.trend(embedding.reference_novelty(_embedded(spark, root, field)), "p10"), "mean")
+
+
 def embedding_trend(spark, root):
-    """The yearly mean of the documents' 10th percentile of distances among references."""
-    return rounded(reporting.trend(embedding.reference_novelty(_embedded(spark, root, "title_embedding")), "p10"), "mean")
+    """The yearly mean of the documents' 10th percentile of distances among references, of titles."""
+    return _distance_trend(spark, root, "title_embedding")
+
+
+def embedding_trend_abstract(spark, root):
+    return _distance_trend(spark, root, "abstract_embedding")
 
 
 def scores_long(spark, root):

@@ -220,3 +220,9 @@ ORACLES = {
     "embedding_trend": f"with {_refs('title_embedding')}, p as (select a.doc_id, a.year, {_cosine('a.vec', 'b.vec')} as d from v a join v b on a.doc_id = b.doc_id and a.pos < b.pos), q as (select doc_id, year, case when bool_or(isnan(d)) then 'nan'::double else quantile_cont(d, 0.1) end as p10 from p group by doc_id, year) select year, count(*) as n, round(avg(p10), 6) as mean from q where not isnan(p10) group by year",
     "scores_long": f"with {_SCORES} select doc_id, year, indicator, variable, round(score, 6) as score from scores",
 }
+
+#: The same over abstracts.
+ORACLES |= {
+    "text_centroid_abstract": ORACLES["text_centroid"].replace("lower(title)", "lower(abstract)").replace("where title", "where abstract"),
+    **{f"{n}_abstract": ORACLES[n].replace("title_embedding", "abstract_embedding") for n in ("pairwise_distance_metrics", "embedding_trend")},
+}

@@ -23,3 +23,9 @@ def test_communities_are_the_same_at_every_size(spark, monkeypatch):
     assert small == large and len(set(small.values())) > 1
     with pytest.raises(RuntimeError):
         graph._by_joins(df, rounds=1)
+
+
+def test_abstracts_are_embedded(spark, root):
+    texts = reference._texts(spark, root)
+    got = {r.doc_id for r in reference.queries()["text_centroid_abstract"](spark, root).select("doc_id").collect()}
+    assert got and got == {r.doc_id for r in texts.filter("abstract rlike '[A-Za-z0-9]'").select("doc_id").collect()}
