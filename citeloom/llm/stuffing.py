@@ -1,7 +1,7 @@
 """Keyword-stuffed and link-list pages (problem 10), by each page's suffix automaton and its clause structure.
 
-The automaton of a page's words has a state for every maximal repeated run of words, with the number of its occurrences. Short runs of
-content words that recur so often that they make up a good part of the page are its keywords; the characters they cover are
+The automaton of a page's words has a state for every maximal repeated run of words, with the number of its occurrences. Runs of
+content words that recur within segments are its keywords, however many share the page; the characters they cover are
 measured. Apart from that every segment of the page (a sentence, a line, an item between bars) either has the structure of a clause, by
 the function words of four languages, or not. A segment is stuffing if it has no such structure, or if keywords cover much of it.
 """
@@ -33,9 +33,9 @@ FUNCTION_WORDS = frozenset(
 )
 #: A segment with clause structure has this many words and different function words at least, and this share of function words.
 CLAUSE_WORDS, CLAUSE_KINDS, CLAUSE_SHARE = 4, 2, 0.12
-#: A keyword has at most this many words, recurs this often, makes up this share of the page's words and comes this often in the
-#: segments that have it; a segment of which it covers the last share is stuffing.
-KEYWORD_WORDS, KEYWORD_TIMES, KEYWORD_SHARE, KEYWORD_PER_SEGMENT, COVERED = 3, 4, 0.15, 1.4, 0.25
+#: A keyword recurs this often and comes this often in the segments that have it; a segment of which all keywords together cover the
+#: last share is stuffing. Up to SHORT words it may overlap itself.
+KEYWORD_TIMES, KEYWORD_PER_SEGMENT, COVERED, SHORT = 4, 1.4, 0.25, 3
 
 _BLOCKS = re.compile(r"</?(?:p|br|li|ul|ol|div|tr|td|th|table|h\d|hr|section|nav|a|dt|dd)\b[^<>]{0,300}>")
 #: What ends a segment, beside line ends.
@@ -137,14 +137,16 @@ def _mark(covered: bytearray, runs: list[list[int]], starts: list[int], am: Auto
 
 
 def keywords(parts: list[list[str]], codes: list[int], content: list[bool], runs: list[list[int]], starts: list[int], am: Automaton) -> list[int]:
-    """The keyword runs: short maximal repeats with a content word that make up a good part of the page and recur within segments, not
+    """The keyword runs: maximal repeats of any length within a segment, with a content word, that recur within segments, not
     once in each as the phrases of a template do. One number per state: the size of the longest keyword that ends its run, or 0."""
     longest, link, seen, n = am.longest, am.link, am.times, len(codes)
     # a state's longest run can't go on to the left; it is maximal if none of its followers occurs as often
-    often = [s for s in am.order if seen[s] >= KEYWORD_TIMES and longest[s] <= KEYWORD_WORDS and seen[s] * longest[s] >= KEYWORD_SHARE * n and all(seen[t] < seen[s] for t in am.follow[s].values())]
+    # one that is longer than a segment is no keyword; one that overlaps itself has a shorter one that recurs as often
+    most = max(map(len, parts))
+    often = [s for s in am.order if seen[s] >= KEYWORD_TIMES and longest[s] <= most and (longest[s] <= SHORT or seen[s] * longest[s] <= n) and all(seen[t] < seen[s] for t in am.follow[s].values())]
     if not often:
         return []
-    near = [0] * len(longest)  # the nearest wanted state among a state and its suffixes; of those there are KEYWORD_WORDS at most
+    near = [0] * len(longest)  # the nearest wanted state among a state and its suffixes
     for s in often:
         near[s] = s
     for s in am.order:

@@ -1,11 +1,12 @@
 """Copies and stuffing that shorter searches miss."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
-from citeloom.llm import leaks, text
+from citeloom.llm import leaks, stuffing, text
 
 
 def leak(item, copy):
@@ -48,3 +49,34 @@ def test_copies_at_the_limit(seed):
 def test_long_markup_is_no_words():
     assert text.words(f'one <span style="{"color: red; " * 60}">two</span> <!-- {"note " * 200} --> three') == ["one", "two", "three"]
     assert text.words("a <b " + "so on " * 100 + "> c").count("so") == 100
+
+
+def dressed(*phrases):
+    """Two clauses for each phrase, which names it twice, in words that no other sentence has."""
+    return " ".join(f"We sold {p} in the q{k}a and the {p} was q{k}b. The {p} of q{k}c is not {p} for q{k}d." for k, p in enumerate(phrases))
+
+
+PLAIN = " ".join(f"We measured the p{k} of the s{k} in winter and the t{k} was not u{k}." for k in range(9))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        dressed(*["cheap blue garden kit deals"] * 6),  # a phrase of five words that always recurs whole
+        dressed(*["alphakit", "bravokit", "charliekit", "deltakit", "echokit", "foxtrotkit", "golfkit"]),  # none has 15 % of the page
+        dressed(*["alphakit", "bravokit", "charliekit", "deltakit"] * 5) + " " + PLAIN,  # beside other text
+    ],
+)
+def test_keywords_count_together_at_any_length(page):
+    assert stuffing.measures(page)[4] > 0.5
+
+
+def test_plain_text_is_no_stuffing():
+    assert stuffing.measures(PLAIN)[4] == 0 and stuffing.measures(PLAIN * 20)[4] == 0
+
+
+def test_long_repeats_stay_cheap():
+    began = time.process_time()
+    for page in ("the kit " * 30_000, "we sell a blue kit in the shop of the town " * 5_000, PLAIN * 300):
+        stuffing.measures(page)
+    assert time.process_time() - began < 60
