@@ -10,7 +10,7 @@ import unicodedata
 LOOKALIKES = str.maketrans("аеорсхуіјѕԁһӏвкмнтАЕОРСХУІЈЅВКМНТαεορυιν", "aeopcxyijsdhlbkmhtAEOPCXYIJSBKMHTaeopuiv")
 #: Longer tags need an attribute, so that prose between two signs stays; longer comments end before the next one begins.
 _TAGS = re.compile(r"</?[a-z][^<>]{0,300}>|<[a-z][a-z0-9]*\s[^<>=]*=[^<>]*>|<!--.{0,300}?-->|<!--(?:(?!<!--).)*?-->", re.S)
-_MARKS = re.compile(r"\[\^?\d[\d\s,;\u2013\u2014-]{0,30}\]|\((?:ibid|op\. ?cit|loc\. ?cit)\.?\)|[\u00b9\u00b2\u00b3\u2070-\u2079]+")
+_MARKS = re.compile(r"\[\^?\d[\d\s,;\u2013\u2014-]*\]|\((?:ibid|op\. ?cit|loc\. ?cit)\.?\)|[\u00b9\u00b2\u00b3\u2070-\u2079]+")
 _BROKEN = re.compile(r"[-\u2010\u2011](?<=[^\W\d_].)\s*\n[>\s]*(?=[^\W\d_])")
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060\ufeff]")
 _WORDS = re.compile(r"[^\W_]+")

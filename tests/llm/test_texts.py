@@ -96,20 +96,29 @@ def passage(rng, n):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=25), min_size=1, max_size=3), st.lists(st.integers(0, 4), max_size=60))
-def test_verbatim_matches_are_all_maximal_ones(items, shard):
+def test_longest_matches_and_their_places(items, shard):
     made = leaks.Items([(k, " ".join(f"w{x}" for x in codes)) for k, codes in enumerate(items)])
     flat = np.array([made.vocabulary.get(f"w{x}", 0) for x in shard] + [0], np.int64)
-    got = {tuple(map(int, x)) for x in zip(*leaks.verbatim(flat, made))}
-    want = set()
+    p, array, lo, hi, size = leaks.longest(flat, made)
     f = made.flat
-    for p in range(len(f)):
-        for q in range(len(flat)):
-            n = 0
-            while p + n < len(f) and q + n < len(flat) and f[p + n] == flat[q + n] > 0:
-                n += 1
-            if n >= leaks.SEED and not (p and q and f[p - 1] == flat[q - 1] > 0):
-                want.add((p, q, n))
-    assert got == want
+
+    def same(p, q):
+        n = 0
+        while f[p + n] == flat[q + n] > 0:
+            n += 1
+        return n
+
+    want = {i: max(n) for i in range(len(f)) if (n := [same(i, q) for q in range(len(flat))]) and max(n) >= made.seed}
+    assert dict(zip(p.tolist(), size.tolist())) == want
+    for i, s, e in zip(p.tolist(), lo.tolist(), hi.tolist()):
+        assert {*array[s:e].tolist()} == {q for q in range(len(flat)) if same(i, q) >= made.seed}
+    suffix = [flat[q : q + np.flatnonzero(flat[q:] == 0)[0]].tolist() for q in array.tolist()]
+    assert suffix == sorted(suffix)
+    for least in (5, 6):
+        a, b = (leaks.bound(made, p, flat, array, lo, hi, least, after) for after in (False, True))
+        for i, s, e in zip(p.tolist(), a.tolist(), b.tolist()):
+            if want[i] >= least:
+                assert {*array[s:e].tolist()} == {q for q in range(len(flat)) if same(i, q) >= least}
 
 
 def altered(rng, words_, one_in):

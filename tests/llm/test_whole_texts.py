@@ -46,6 +46,75 @@ def test_copies_at_the_limit(seed):
         assert leak(item, copy)
 
 
+@pytest.mark.parametrize("size, edits", [(30, 5), (36, 6), (42, 7)])
+@pytest.mark.parametrize("kind", ["changed", "dropped", "added"])
+def test_clustered_edits(size, edits, kind):
+    item = [f"w{k}" for k in range(size)]
+    at = (size - edits) // 2
+    copy = {"changed": item[:at] + ["z"] * edits + item[at + edits :], "dropped": item[:at] + item[at + edits :], "added": item[:at] + ["z"] * edits + item[at:]}[kind]
+    assert leak(item, copy)
+    if kind == "added":
+        assert not leak(item, item[: size // 2] + ["z"] * (edits + 1) + item[size // 2 :]) or size // 2 >= 20
+
+
+def plain_distance_rule(item, doc, least, one_in):
+    """By every stretch of the item on its own: the least edits against any stretch of the document."""
+    for s in range(len(item) - least + 1):
+        row = np.zeros(len(doc) + 1, int)
+        for k in range(s, len(item)):
+            new = row + 1
+            new[1:] = np.minimum(new[1:], row[:-1] + (doc != item[k]))
+            for j in range(1, len(new)):
+                new[j] = min(new[j], new[j - 1] + 1)
+            row = new
+            if k - s + 1 >= least and row.min() * one_in <= k - s + 1:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alignment_equals_plain_edit_distance(seed):
+    rng = np.random.default_rng(seed)
+    hits = 0
+    for _ in range(60):
+        item = rng.integers(1, 30, rng.integers(6, 26))
+        doc = np.r_[rng.integers(1, 30, 4), item.copy(), rng.integers(1, 30, 4)]
+        for _ in range(rng.integers(0, 7)):
+            at = rng.integers(4, len(doc) - 4)
+            doc = [np.r_[doc[:at], 99, doc[at + 1 :]], np.delete(doc, at), np.insert(doc, at, 99)][rng.integers(3)]
+        want = plain_distance_rule(item, doc, 8, 4)
+        hits += want
+        assert leaks.carries(item, doc, 8, 4) == want
+    assert 5 < hits < 55
+
+
+def test_templates_do_not_multiply(spark):
+    """2 000 items that begin alike against documents that are full of that beginning."""
+    template = "which of the following is the best answer to this".split()
+    items = leaks.Items([(k, template + [f"own{k}x{j}" for j in range(25)]) for k in range(2000)])
+    code = items.vocabulary.get
+    docs = [template * 1000, template + [f"own7x{j}" for j in range(25)], template + ["other"] * 30]
+    flat = np.array([c for d in docs for c in [*(code(w, 0) for w in d), 0]], np.int64)
+    began = time.process_time()
+    got = leaks.cases(flat, [0, *np.cumsum([len(d) + 1 for d in docs]).tolist()], items, 20, 6)
+    assert got == {(1, 7)} and time.process_time() - began < 20
+
+
+def test_items_in_several_passes(spark, monkeypatch):
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(900)}" for _ in range(3000)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(f"v{k}" for k in range(60))), (3, "too short"), (4, None)], "item_id long, text string")
+    docs = [(k, " ".join(["x"] * 5 + long[s : s + 30] + ["y"] * 5)) for k, s in enumerate(range(0, 2970, 11))] + [(900, " ".join(f"v{k}" for k in range(20, 45)))]
+    monkeypatch.setattr(leaks, "PASS_WORDS", 400)
+    assert len(list(leaks.item_passes([(1, " ".join(long))], 80, 400))) > 5
+    got = {(r.key, r.item) for r in leaks.leaked(spark.createDataFrame(docs, "key long, text string"), "key", "text", items, "item_id", "text").collect()}
+    assert got == {(k, 1) for k in range(270)} | {(900, 2)}
+
+
+def test_long_reference_marks_are_no_words():
+    assert text.words("one [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15-99, 100] two") == ["one", "two"]
+
+
 def test_long_markup_is_no_words():
     assert text.words(f'one <span style="{"color: red; " * 60}">two</span> <!-- {"note " * 200} --> three') == ["one", "two", "three"]
     assert text.words("a <b " + "so on " * 100 + "> c").count("so") == 100
