@@ -121,7 +121,7 @@ def p9_kept(spark: SparkSession, root: str) -> DataFrame:
 
 def p10_measures(spark: SparkSession, root: str) -> DataFrame:
     """The shares by which every page is judged."""
-    got = stuffing.page_measures(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+    got = stuffing.page_measures(table(spark, root, "documents"), "doc_id", "text", repeats=True).withColumnRenamed("key", "doc_id")
     return got.select("doc_id", "n_word_chars", *[F.round(c, 6).alias(c) for c in ("repeated", "keywords", "outside", "stuffing")])
 
 

@@ -3,7 +3,8 @@
 The automaton of a page's words has a state for every maximal repeated run of words, with the number of its occurrences. Runs of
 content words that recur within segments are its keywords, however many share the page; the characters they cover are
 measured. Apart from that every segment of the page (a sentence, a line, an item between bars) either has the structure of a clause, by
-the function words of four languages, or not. A segment is stuffing if it has no such structure, or if keywords cover much of it.
+its function words, or not. A page of which more than half shows none may be in another language than theirs; there what ends as a sentence
+is judged by the page's own small and recurring words. A segment is stuffing if it has no such structure, or if keywords cover much of it.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from __future__ import annotations
 import gc
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from itertools import compress
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.text import lines_of, visible
+from citeloom.llm.text import lines_of, visible, words_of
 from citeloom.runtime import widen
 
 #: Function words of English, German, French and Spanish. Words of menus and offers (here, all, more, now, top) are left out.
@@ -37,10 +38,17 @@ CLAUSE_WORDS, CLAUSE_KINDS, CLAUSE_SHARE = 4, 2, 0.12
 #: last share is stuffing. Up to SHORT words it may overlap itself.
 KEYWORD_TIMES, KEYWORD_PER_SEGMENT, COVERED, SHORT = 4, 1.4, 0.25, 3
 
-_BLOCKS = re.compile(r"</?(?:p|br|li|ul|ol|div|tr|td|th|table|h\d|hr|section|nav|a|dt|dd)\b[^<>]{0,300}>")
+#: In a language without function words here, a sentence of these many words and at most one comma in so many is a clause by the words
+#: of up to SMALL letters, and those below the mean length that recur in its sentences, in the same kinds and share as above.
+SENTENCE_WORDS, SENTENCE_COMMA, SMALL = (5, 60), 4, 3
+ENDED = "\ue000"
+
+_BLOCKS = re.compile(r"</?(?:p|br|li|ul|ol|div|tr|td|th|table|h\d|hr|section|nav|a|dt|dd)\b[^<>]*>")
 #: What ends a segment, beside line ends.
-_ENDS = (". ", "? ", "! ", '." ', '?" ', '!" ', ".) ", "?) ", "!) ", "|", " - ", " -- ", " / ", " > ", " >> ", " => ", " * ", " ~ ", " # ")
-_ENDS_BEYOND_ASCII = ("\u2022", "\u00b7", "\u00bb", "\u203a", " \u2013 ", " \u2014 ", "\u3002", ".\u201d ", "?\u201d ", "!\u201d ")
+_STOPS = (". ", "? ", "! ", '." ', '?" ', '!" ', ".) ", "?) ", "!) ")
+_STOPS_BEYOND_ASCII = ("\u3002", "\u061f ", "\u0964", ".\u201d ", "?\u201d ", "!\u201d ")
+_ENDS = ("|", " - ", " -- ", " / ", " > ", " >> ", " => ", " * ", " ~ ", " # ")
+_ENDS_BEYOND_ASCII = ("\u2022", "\u00b7", "\u00bb", "\u203a", " \u2013 ", " \u2014 ")
 
 
 class Automaton:
@@ -104,20 +112,22 @@ class Automaton:
         self.times = times
 
 
-def repeated_runs(codes: list[int], times: Counter) -> tuple[list[list[int]], list[int]]:
-    """The runs between which no repeated run of words reaches, and where each begins.
+def repeated_runs(codes: list[int], times: Counter, least: int = 2) -> tuple[list[list[int]], list[int]]:
+    """The runs between which no run of words that occurs `least` times reaches, and where each begins.
 
-    A word that occurs once is in no repeated run, and two neighbours that occur as such once are not in one together;
-    so the automaton of these runs has all repeated runs of the page.
+    A word that occurs less often is in none, and two neighbours that occur as such less often are not in one together;
+    so the automaton of these runs has all runs of the page that occur so often.
     """
     many = len(codes)
+    if max(times.values(), default=0) < least:
+        return [], []
     pairs = Counter([a * many + b for a, b in zip(codes, codes[1:])])
     runs, starts, run, before = [], [], [], -1
     for k, c in enumerate(codes):
-        if times[c] < 2:
+        if times[c] < least:
             before = -1
             continue
-        if before < 0 or pairs[before * many + c] < 2:
+        if before < 0 or pairs[before * many + c] < least:
             run = []
             runs.append(run)
             starts.append(k)
@@ -170,86 +180,137 @@ def keywords(parts: list[list[str]], codes: list[int], content: list[bool], runs
     return size_of
 
 
-def coverage(parts: list[list[str]]) -> tuple[bytearray, bytearray]:
-    """For each word of a page in segments: whether a maximal repeated run of two words or more covers it, and whether a keyword does."""
+def _codes(parts: list[list[str]]) -> tuple[list[int], dict[str, int]]:
     number: dict[str, int] = {}
-    codes = [number.setdefault(t, len(number)) for p in parts for t in p]
-    repeated, keyed = bytearray(len(codes)), bytearray(len(codes))
+    return [number.setdefault(t, len(number)) for p in parts for t in p], number
+
+
+def repeat_coverage(parts: list[list[str]]) -> bytearray:
+    """For each word of a page in segments: whether a maximal repeated run of two words or more covers it."""
+    codes, _ = _codes(parts)
+    repeated = bytearray(len(codes))
     runs, starts = repeated_runs(codes, Counter(codes))
     if runs:
         am = Automaton(runs)
-        longest, link, seen = am.longest, am.link, am.times
-        rep = [0] * len(longest)
+        size_of = [0] * len(am.longest)
         for s in am.order:
-            rep[s] = longest[s] if seen[s] > 1 and longest[s] > 1 else rep[link[s]]
-        _mark(repeated, runs, starts, am, rep)
+            size_of[s] = am.longest[s] if am.times[s] > 1 and am.longest[s] > 1 else size_of[am.link[s]]
+        _mark(repeated, runs, starts, am, size_of)
+    return repeated
+
+
+def keyword_coverage(parts: list[list[str]]) -> bytearray:
+    """For each word of a page in segments: whether a keyword covers it."""
+    codes, number = _codes(parts)
+    keyed = bytearray(len(codes))
+    runs, starts = repeated_runs(codes, Counter(codes), KEYWORD_TIMES)
+    if runs:
+        am = Automaton(runs)
         content = [t not in FUNCTION_WORDS and not t.isdigit() for t in number]
         size_of = keywords(parts, codes, content, runs, starts, am)
         if size_of:
             _mark(keyed, runs, starts, am, size_of)
-    return repeated, keyed
+    return keyed
 
 
-def segments(text: str) -> list[list[str]]:
-    """The words of each segment of a page, without empty segments."""
+def _cut(text: str, stop: str) -> str:
     text = text.lower()
     if "<" in text:
         text = _BLOCKS.sub("\n", text)
     text = visible(text).replace("\t", " ").replace("\u00a0", " ")
-    for end in _ENDS if text.isascii() else _ENDS + _ENDS_BEYOND_ASCII:
+    plain = text.isascii()
+    for end in _STOPS if plain else _STOPS + _STOPS_BEYOND_ASCII:
+        text = text.replace(end, stop)
+    for end in _ENDS if plain else _ENDS + _ENDS_BEYOND_ASCII:
         text = text.replace(end, "\n")
-    return lines_of(text)
+    return text
 
 
-def is_clause(tokens: list[str]) -> bool:
+def segments(text: str) -> list[list[str]]:
+    """The words of each segment of a page, without empty segments."""
+    return lines_of(_cut(text, "\n"))
+
+
+def sentences(text: str, parts: list[list[str]]) -> list[bool]:
+    """For each of its segments whether it reads as a sentence by its form and by the small and the recurring words of the page alone."""
+    lines = [line for line in _cut(text, ENDED + "\n").split("\n") if words_of(line)]
+    formed = [
+        (ENDED in line or line.rstrip().endswith((".", "?", "!")))
+        and SENTENCE_WORDS[0] <= len(p) <= SENTENCE_WORDS[1]
+        and SENTENCE_COMMA * sum(map(line.count, ",\u3001\u060c")) <= len(p)
+        and 2 * len(set(p)) > len(p)
+        for line, p in zip(lines, parts)
+    ]
+    own = list({tuple(p): p for p, f in zip(parts, formed) if f}.values())  # a sentence said again shows nothing new
+    many = sum(map(len, own))
+    mean = sum(len(t) for p in own for t in p) / max(1, many)
+    seen = Counter(t for p in own for t in set(p[1:]))
+    closed = {t for t, n in seen.items() if not any(c.isdigit() for c in t) and (1 < n and len(t) <= mean or mean > SMALL >= len(t))}
+    return [f and is_clause(p, closed) for f, p in zip(formed, parts)]
+
+
+def is_clause(tokens: list[str], closed: Set[str] = FUNCTION_WORDS) -> bool:
     """Whether a segment has the structure of a clause."""
     if len(tokens) < CLAUSE_WORDS:
         return False
-    found = [t for t in tokens if t in FUNCTION_WORDS]
+    found = [t for t in tokens if t in closed]
     return len(found) >= CLAUSE_SHARE * len(tokens) and len(set(found)) >= CLAUSE_KINDS
 
 
-def measures(text: str) -> tuple[int, float, float, float, float]:
-    """(characters in words, and of these the shares: covered by repeated runs, covered by keywords, outside clauses, stuffing)."""
+def measures(text: str) -> tuple[int, float, float, float]:
+    """(characters in words, and of these the shares: covered by keywords, outside clauses, stuffing)."""
     parts = segments(text)
     sizes = [len(t) for p in parts for t in p]
     total = sum(sizes)
     if not total:
-        return 0, 0.0, 0.0, 0.0, 0.0
-    repeated, keyed = coverage(parts)
+        return 0, 0.0, 0.0, 0.0
+    clauses = [is_clause(p) for p in parts]
+    by_part = [sum(map(len, p)) for p in parts]
+    if 2 * sum(n for n, c in zip(by_part, clauses) if not c) > total:
+        clauses = [a or b for a, b in zip(clauses, sentences(text, parts))]
+    keyed = keyword_coverage(parts)
     has_keywords = 1 in keyed
     bare = stuffed = at = 0
-    for p in parts:
+    for p, size, clause in zip(parts, by_part, clauses):
         end = at + len(p)
-        size = sum(sizes[at:end])
-        if not is_clause(p):
+        if not clause:
             bare += size
             stuffed += size
         elif has_keywords and sum(compress(sizes[at:end], keyed[at:end])) >= COVERED * size:
             stuffed += size
         at = end
-    return total, sum(compress(sizes, repeated)) / total, sum(compress(sizes, keyed)) / total, bare / total, stuffed / total
+    return total, sum(compress(sizes, keyed)) / total, bare / total, stuffed / total
+
+
+def repeated_share(text: str) -> float:
+    """The share of the characters in words that maximal repeated runs cover."""
+    parts = segments(text)
+    sizes = [len(t) for p in parts for t in p]
+    return sum(compress(sizes, repeat_coverage(parts))) / max(1, sum(sizes))
 
 
-def page_measures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_word_chars, repeated, keywords, outside, stuffing): the shares of each page, from its whole text.
+def page_measures(docs: DataFrame, key: str, text: str, repeats: bool = False) -> DataFrame:
+    """(key, n_word_chars, keywords, outside, stuffing[, repeated]): the shares of each page, from its whole text.
 
-    Null texts and keys give no row; a text without words has 0 everywhere.
+    Null texts and keys give no row; a text without words has 0 everywhere. repeats: also the share that any repeated runs cover.
     """
+    names = ["n_word_chars", "keywords", "outside", "stuffing"]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             gc.disable()  # an automaton has many small parts but no cycles
             try:
-                got = [measures(t) for t in pdf["text"]]
+                out = pd.DataFrame([measures(t) for t in pdf["text"]], columns=names)
+                if repeats:
+                    out["repeated"] = [repeated_share(t) for t in pdf["text"]]
             finally:
                 gc.enable()
-            out = pd.DataFrame(got, columns=["n_word_chars", "repeated", "keywords", "outside", "stuffing"])
             out.insert(0, "key", pdf["key"].to_numpy())
             yield out
 
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    return widen(slim, "key").mapInPandas(measure, "key long, n_word_chars long, repeated double, keywords double, outside double, stuffing double")
+    schema = "key long, n_word_chars long, keywords double, outside double, stuffing double" + (", repeated double" if repeats else "")
+    return widen(slim, "key").mapInPandas(measure, schema)
 
 
 def stuffed_pages(measured: DataFrame, most: float = 0.5) -> DataFrame:

@@ -13,7 +13,9 @@ _TAGS = re.compile(r"</?[a-z][^<>]{0,300}>|<[a-z][a-z0-9]*\s[^<>=]*=[^<>]*>|<!--
 _MARKS = re.compile(r"\[\^?\d[\d\s,;\u2013\u2014-]*\]|\((?:ibid|op\. ?cit|loc\. ?cit)\.?\)|[\u00b9\u00b2\u00b3\u2070-\u2079]+")
 _BROKEN = re.compile(r"[-\u2010\u2011](?<=[^\W\d_].)\s*\n[>\s]*(?=[^\W\d_])")
 _UNSEEN = re.compile("[\u00ad\u034f\u200b-\u200f\u2060\ufeff]")
-_WORDS = re.compile(r"[^\W_]+")
+#: Scripts written without spaces: every character is a word.
+_SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORDS = re.compile(rf"[^\W_{_SPACELESS}]+|(?!_)(?=\w)[{_SPACELESS}]")
 _PLAIN = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 
 _PLAIN_LINES = {k: v for k, v in _PLAIN.items() if k != ord("\n")}

@@ -195,7 +195,7 @@ def test_automaton_counts_every_run(codes):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abc"), min_size=1, max_size=30))
 def test_repeat_coverage(tokens):
-    repeated, _ = stuffing.coverage([tokens])
+    repeated = stuffing.repeat_coverage([tokens])
     want = [0] * len(tokens)
     for i in range(len(tokens) - 1):
         for j in range(i + 2, len(tokens) + 1):
