@@ -9,8 +9,10 @@ down to which it is defined; thereby a value's place among its siblings always f
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,60 +24,140 @@ REPEATED = "[]"
 LEVELS = "path string, seq int, rep int, def int, value string"
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_PLAIN = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def loads(text: str):
+    """json.loads for payloads nested too deep for it: what is open is kept in a list instead of in calls."""
+    open_: list = []  # of [container, key of the member that is being read]
+    space = lambda k: _SPACE.match(text, k).end()
+    at = space(0)
+
+    def key(k: int) -> tuple[str, int]:
+        if text[k : k + 1] != '"':
+            raise ValueError(f"no name at {k}")
+        name, k = scanstring(text, k + 1)
+        k = space(k)
+        if text[k : k + 1] != ":":
+            raise ValueError(f"no colon at {k}")
+        return name, space(k + 1)
+
+    while True:
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            value, inside = ({} if c == "{" else []), space(at + 1)
+            if text[inside : inside + 1] == ("}" if c == "{" else "]"):
+                at = inside + 1
+            else:
+                name, at = key(inside) if c == "{" else (None, inside)
+                open_.append([value, name])
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+        else:
+            m = _PLAIN.match(text, at)
+            if m is None:
+                raise ValueError(f"no value at {at}")
+            value, at = json.loads(m.group()), m.end()
+        while True:  # the value is complete; so may be what holds it
+            at = space(at)
+            if not open_:
+                if at < len(text):
+                    raise ValueError(f"more at {at}")
+                return value
+            holder, name = open_[-1]
+            if name is None:
+                holder.append(value)
+            else:
+                holder[name] = value
+            c = text[at : at + 1]
+            if c == ",":
+                at = space(at + 1)
+                if name is not None:
+                    open_[-1][1], at = key(at)
+                break
+            if c != ("]" if name is None else "}"):
+                raise ValueError(f"no end at {at}")
+            value, at = open_.pop()[0], at + 1
+
+
 def parse(payload: str | None):
-    """(True, value) of a payload that is complete JSON, else (False, None). Null, blank, cut-off and too deep payloads are not."""
+    """(True, value) of a payload that is complete JSON, however deep, else (False, None). Null, blank and cut-off payloads are not."""
     if payload is None or not payload.strip():
         return False, None
+    payload = payload.lstrip("\ufeff")
     try:
-        return True, json.loads(payload.lstrip("\ufeff"))
-    except (ValueError, RecursionError):
+        try:
+            return True, json.loads(payload)
+        except RecursionError:
+            return True, loads(payload)
+    except ValueError:
         return False, None
 
 
-def _paths(value, node: dict) -> None:
-    """Adds to `node` every branch that `value` shows: '' a scalar, '[]' the elements of an array, other keys the members."""
-    if isinstance(value, dict):
-        for name, member in value.items():
-            _paths(member, node.setdefault("." + name, {}))
-    elif isinstance(value, list):
-        below = node.setdefault(REPEATED, {})
-        for member in value:
-            _paths(member, below)
-    elif value is not None:
-        node[""] = {}
+class Branch:
+    """A place in the tree of a record's paths: its steps ('.' and a member's name, '[]' an array's elements, '' a scalar) and, for a scalar, its column."""
 
+    __slots__ = ("steps", "column")
 
-def _nulls(node: dict, path: str, rep: int, level: int, out: dict) -> None:
-    for step, below in node.items():
-        if step == "":
-            out.setdefault(path, []).append((rep, level, None))
-        else:
-            _nulls(below, path + step, rep, level, out)
-
-
-def _shred(value, node: dict, path: str, rep: int, depth: int, level: int, out: dict) -> None:
-    for step, below in node.items():
-        if step == "":
-            scalar = None if isinstance(value, (dict, list)) else value
-            out.setdefault(path, []).append((rep, level + (scalar is not None), scalar))
-        elif step == REPEATED:
-            if isinstance(value, list) and value:
-                for k, member in enumerate(value):
-                    _shred(member, below, path + REPEATED, rep if k == 0 else depth + 1, depth + 1, level + 1, out)
-            else:
-                _nulls(below, path + REPEATED, rep, level, out)
-        elif isinstance(value, dict) and step[1:] in value and value[step[1:]] is not None:
-            _shred(value[step[1:]], below, path + step, rep, depth, level + 1, out)
-        else:
-            _nulls(below, path + step, rep, level, out)
+    def __init__(self):
+        self.steps: dict[str, Branch] = {}
+        self.column: list[tuple] = []
+
+    def step(self, name: str) -> Branch:
+        if name not in self.steps:
+            self.steps[name] = Branch()
+        return self.steps[name]
+
+
+def tree(value) -> Branch:
+    """All the paths that a record shows. What is still to be seen is kept in a list, so that depth costs no calls."""
+    root = Branch()
+    todo = [(value, root)]
+    while todo:
+        value, at = todo.pop()
+        if isinstance(value, dict):
+            todo += [(member, at.step("." + name)) for name, member in value.items()][::-1]
+        elif isinstance(value, list):
+            below = at.step(REPEATED)
+            todo += [(member, below) for member in reversed(value)]
+        elif value is not None:
+            at.step("")
+    return root
+
+
+_MISSING = object()
 
 
 def shred(value) -> dict[str, list[tuple]]:
     """{leaf path: [(repetition level, definition level, value or None), ...]} of one parsed record."""
-    tree: dict = {}
-    _paths(value, tree)
+    root = tree(value)
+    todo = [(value, root, 0, 0, 0)]
+    while todo:
+        value, at, rep, depth, level = todo.pop()
+        for step, below in at.steps.items():
+            if step == "":
+                scalar = None if value is _MISSING or isinstance(value, (dict, list)) else value
+                below.column.append((rep, level + (scalar is not None), scalar))
+            elif step == REPEATED and isinstance(value, list) and value:
+                first = [(value[0], below, rep, depth + 1, level + 1)]
+                todo += [(member, below, depth + 1, depth + 1, level + 1) for member in value[:0:-1]] + first
+            elif isinstance(value, dict) and step != REPEATED and value.get(step[1:]) is not None:
+                todo.append((value[step[1:]], below, rep, depth, level + 1))
+            else:
+                todo.append((_MISSING, below, rep, depth, level))
     out: dict = {}
-    _shred(value, tree, "", 0, 0, 0, out)
+    paths: list = [(root, None)]  # with the steps to it, the last one first
+    while paths:
+        at, steps = paths.pop()
+        if at.column:
+            path = []
+            while steps:
+                path.append(steps[0])
+                steps = steps[1]
+            out["".join(reversed(path))] = at.column
+        paths += [(below, (step, steps)) for step, below in reversed(at.steps.items())]
     return out
 
 
@@ -146,7 +228,11 @@ def number(value) -> float | None:
         value = float(value) if _NUMBER.fullmatch(value) else None
     if value is None or isinstance(value, bool) or not isinstance(value, (int, float)):
         return None
-    return float(value) if abs(value) < 1e300 else None
+    try:
+        value = float(value)
+    except OverflowError:  # a whole number beyond all doubles
+        return None
+    return value if math.isfinite(value) else None
 
 
 def _values(columns: dict, want: re.Pattern) -> Iterator[tuple]:
@@ -175,11 +261,11 @@ def _numbers(columns: dict, want: re.Pattern) -> Iterator[tuple]:
 
 
 def _value_path(member: str, leaf: str, inner: str) -> re.Pattern:
-    return re.compile(rf"(?:.*\.)?{re.escape(member)}(\[\])?\.{re.escape(leaf)}(\[\])?(?:\.{re.escape(inner)})?")
+    return re.compile(rf"(?s)(?:.*\.)?{re.escape(member)}(\[\])?\.{re.escape(leaf)}(\[\])?(?:\.{re.escape(inner)})?")
 
 
 def _number_path(member: str, leaf: str) -> re.Pattern:
-    return re.compile(rf"(?:.*\.)?{re.escape(member)}(?:\[\])?(?:\..*)?\.{re.escape(leaf)}")
+    return re.compile(rf"(?s)(?:.*\.)?{re.escape(member)}(?:\[\])?(?:\..*)?\.{re.escape(leaf)}")
 
 
 def repeated_values(df: DataFrame, rec: str, payload: str, member: str, leaf: str, inner: str = "tree") -> DataFrame:
@@ -257,7 +343,7 @@ def record_rows(df: DataFrame, rec: str, payload: str, members: dict[str, str])
 
 def entry_rows(df: DataFrame, rec: str, payload: str, member: str, fields: dict[str, str]) -> DataFrame:
     """(rec, parent_no, <name> ...): one row per non-null entry of `member`, tied to its record; each name gets the entry's own scalar field as text."""
-    want = re.compile(rf"((?:.*\.)?{re.escape(member)}(\[\])?)\.([^.\[\]]+)")
+    want = re.compile(rf"(?s)((?:.*\.)?{re.escape(member)}(\[\])?)\.([^.\[\]]+)")
 
     def rows(batches):
         for r, ok, value in _records(batches):

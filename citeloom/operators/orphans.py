@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.bloom import bloom_filter, might_contain
+from citeloom.functions.bloom import bloom_filters, might_contain
+from citeloom.runtime import cut
 
 #: Words of record_state that mean the record is gone.
 GONE_STATES = ("deleted", "withdrawn")
+#: Parents whose states are sent to all tasks (about 50 bytes each), and the share of all references from which an id's are not shuffled.
+SMALL, HOT_SHARE = 500_000, 1000
 
 
 def whole_number_id(text: Column) -> Column:
@@ -50,35 +53,44 @@ def parent_states(articles: DataFrame, extra: DataFrame | None = None) -> DataFr
     )
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, expected_parents: int) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, small: int = SMALL, hot_share: int = HOT_SHARE) -> DataFrame:
     """(src, id, year, ref_id, kind): one row per orphan (src, id, ref_id).
 
     refs: src, id, year, ref_id, ingested_at; any number of deliveries of a reference, which count once.
     parents: as parent_states gives. kind: 'missing' without a parent, else 'deleted' if the parent is gone,
-    else 'late' if the parent first came after the reference. Rows with a null ref_id name nothing and are left out;
-    a null year gives -1; a null moment of either side is never late; empty inputs give no rows
+    else 'late' if the parent first came after the reference. Rows with a null ref_id name nothing and are left out; the year is the least of the
+    deliveries that are orphans, a null year gives -1; a null moment of either side is never late; empty inputs give no rows
     (without parents every reference is missing).
 
-    The references are reduced by (src, id, ref_id) first, which also breaks up any hot ref_id as far as repeats go;
-    the exact join leaves the rest of a hot ref_id to AQE's skew splitting, since the parent side has one row a key.
+    References outside the filter are missing at once. The others meet the parents' states where they are read, if these are at most `small` rows of
+    three numbers; else they are shuffled by ref_id, but those of an id with at least one in `hot_share` of all references are not: its state
+    (there are at most `hot_share` such ids) is sent to them. A reference is late if any of its deliveries came before the parent, so deliveries
+    that show no orphan are dropped before anything is grouped, and only orphans are shuffled to count once.
     """
-    probe = bloom_filter(parents, "ref_id", expected_parents)
-    once = (
-        refs.filter("ref_id is not null")
-        .withColumn("maybe", might_contain(probe, F.col("ref_id")))
-        .groupBy("src", "id", "ref_id")
-        .agg(F.min("year").alias("year"), F.min("ingested_at").alias("seen"), F.max("maybe").alias("maybe"))
-        .withColumn("year", F.coalesce("year", F.lit(-1)))
-    )
-    sure = once.filter(~F.col("maybe")).withColumn("kind", F.lit("missing"))
+    parents = cut(parents.select("ref_id", "first_seen", "gone"))
+    many = parents.count()
+    rows = refs.filter("ref_id is not null").select("src", "id", "year", "ref_id", "ingested_at")
+    rows = rows.withColumn("maybe", might_contain(parents, bloom_filters(parents, "ref_id", many), F.col("ref_id")))
     kind = (
         F.when(F.col("gone").isNull(), "missing")
         .when(F.col("gone"), "deleted")
-        .when(F.col("first_seen") > F.col("seen"), "late")
+        .when(F.col("first_seen") > F.col("ingested_at"), "late")
     )
-    checked = once.filter("maybe").join(parents, "ref_id", "left").withColumn("kind", kind).filter("kind is not null")
-    cols = ["src", "id", "year", "ref_id", "kind"]
-    return sure.select(*cols).unionByName(checked.select(*cols))
+    slim = ["src", "id", "year", "ref_id", "kind"]
+    state = parents.withColumnRenamed("ref_id", "_id")
+    found = F.col("maybe") & (F.col("ref_id") == F.col("_id"))
+    if many <= small:
+        judged = rows.join(F.broadcast(state), found, "left").withColumn("kind", kind).select(*slim)
+    else:
+        rows = cut(rows)
+        counts = rows.filter("maybe").groupBy("ref_id").agg(F.count("*").alias("n")).filter(F.col("n") * hot_share >= rows.count())
+        hot = [r[0] for r in counts.select("ref_id").collect()]
+        checked = rows.filter("maybe").filter(~F.col("ref_id").isin(hot)).join(state.hint("merge"), found, "left")
+        often = rows.filter("maybe").filter(F.col("ref_id").isin(hot)).join(F.broadcast(state.filter(F.col("_id").isin(hot))), found, "left")
+        sure = rows.filter("not maybe").withColumn("kind", F.lit("missing")).select(*slim)
+        judged = checked.unionByName(often).withColumn("kind", kind).select(*slim).unionByName(sure)
+    once = judged.filter("kind is not null").groupBy("src", "id", "ref_id", "kind").agg(F.min("year").alias("year"))
+    return once.select("src", "id", F.coalesce("year", F.lit(-1)).alias("year"), "ref_id", "kind")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

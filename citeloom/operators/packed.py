@@ -17,7 +17,7 @@ OPEN, CLOSE, ESC = "\ue000", "\ue001", "\ue002"
 #: Possessive, so that spans of any length are matched without recursion.
 QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
 #: What separates values: bars, double slashes, tabs, line ends, list numbers, and semicolons that don't lead to a volume.
-SEPARATOR = r"[|\t\r\n\x0b\x0c\u0085\u2028\u2029]+|//+|;(?!\s*\d+\s*[(:;])(?!\d)|(?<![^\s;|/])(?:\[\d{1,3}\]|\(?\d{1,3}\))(?=\s)"
+SEPARATOR = r"[|\t\r\n\x0b\x0c\u0085\u2028\u2029]+|//+|;(?!\s*\d+\s*[(:;])(?!\d)|(?<![^\s;|/])(?:\[\d+\]|\(?\d+\))(?=\s)"
 #: A citation: a name, a full stop, a year.
 CITATION = r"^\S.*\.\s*(?:1[5-9]|20)\d{2}(?!\d)"
 

@@ -26,7 +26,7 @@ def _references(spark: SparkSession, root: str) -> DataFrame:
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     articles, core = table(spark, root, "articles"), table(spark, root, "core_articles")
     parents = orphans.parent_states(articles.select("id", "record_state", "deleted_at", "ingested_at"), core.select("id", "ingested_at"))
-    return orphans.find_orphans(_references(spark, root), parents, articles.count() + core.count())
+    return orphans.find_orphans(_references(spark, root), parents)
 
 
 def p2_report(spark: SparkSession, root: str) -> DataFrame:
@@ -41,10 +41,16 @@ def _entries(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "ref_journals").select("id", "year", "cr_year_category.journal").dropDuplicates(["id"])
 
 
+def _cited_and_years(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """(id, citing) of every element of cited_by, and (citing, citing_year) of every known record."""
+    chunks = _chunks(spark, root)
+    years = chunks.groupBy("id").agg(F.min("year").alias("citing_year")).withColumnRenamed("id", "citing")
+    return chunks.select("id", F.explode("cited_by").alias("citing")), years
+
+
 def p4_articles(spark: SparkSession, root: str) -> DataFrame:
     """Per cited article: elements of cited_by, how many of them are known records, and the first, last and mean year of those."""
-    years = _chunks(spark, root).groupBy("id").agg(F.min("year").alias("citing_year")).withColumnRenamed("id", "citing")
-    cited = _chunks(spark, root).select("id", F.explode("cited_by").alias("citing"))
+    cited, years = _cited_and_years(spark, root)
     # pre-aggregated by (citing, id), so the join on the citing article carries no hot key and the roll-up by id adds partial sums
     got = skew.eager_join_aggregate(
         cited, years, on=["citing"], by=["id"], right_sums={"year": F.col("citing_year").cast("long")}, right_extremes={"year": F.col("citing_year")}, how="left"
@@ -63,12 +69,9 @@ def p4_journals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    """Keys holding at least 2 % of all rows, by the same operator: chunk sizes weigh a row, so cited_by is not exploded."""
-    chunks = _chunks(spark, root)
-    ids = chunks.select("id", F.lit(1).alias("one"), F.when(F.col("cited_by").isNotNull(), F.size("cited_by")).otherwise(0).alias("n"))
-    known = chunks.groupBy("id").agg(F.count("*").alias("chunks")).select("id")
-    cited = skew.eager_join_aggregate(ids, known, on=["id"], by=["id"], left_weight=F.col("n"), how="left")
-    by_article = skew.heavy_keys(cited, "id", "n_rows", 0.02).filter("n_rows > 0").select(F.lit("cited_by").alias("field_name"), F.col("id").cast("string").alias("key_val"))
+    """Keys holding at least 2 % of all rows, from the rolled-up counts of the same joins as in p4_articles and p4_journals."""
+    cited = skew.eager_join_aggregate(*_cited_and_years(spark, root), on=["citing"], by=["id"], how="left")
+    by_article = skew.heavy_keys(cited, "id", "n_rows", 0.02).select(F.lit("cited_by").alias("field_name"), F.col("id").cast("string").alias("key_val"))
     by_journal = skew.heavy_keys(p4_journals(spark, root), "journal", "n_entries", 0.02).select(F.lit("journal").alias("field_name"), F.col("journal").alias("key_val"))
     return by_article.unionByName(by_journal)
 
@@ -110,10 +113,16 @@ def p7_levels(spark: SparkSession, root: str) -> DataFrame:
     return nested.shredded_levels(_records(spark, root), "rec_id", "payload")
 
 
+def disruption_items(records: DataFrame) -> DataFrame:
+    """(rec_id, branch, pos1, pos2, item): category codes, and DI1 values in ten-thousandths as whole-number text."""
+    got = nested.branches(records, "rec_id", "payload", {"category": ("Mesh_year_category", "category", "tree")}, {"di1": ("disruptiveness", "DI1")})
+    scaled = F.round(F.col("num") * 10000)
+    whole = F.when(F.abs(scaled) < 9e18, scaled.try_cast("long").cast("string")).otherwise(F.format_string("%.0f", scaled))
+    return got.select("rec_id", "branch", F.col("parent_no").alias("pos1"), F.col("item_no").alias("pos2"), F.coalesce("value", F.when(F.col("num").isNotNull(), whole)).alias("item"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    got = nested.branches(_records(spark, root), "rec_id", "payload", {"category": ("Mesh_year_category", "category", "tree")}, {"di1": ("disruptiveness", "DI1")})
-    item = F.coalesce("value", F.round(F.col("num") * 10000).cast("long").cast("string"))
-    return got.select("rec_id", "branch", F.col("parent_no").alias("pos1"), F.col("item_no").alias("pos2"), item.alias("item"))
+    return disruption_items(_records(spark, root))
 
 
 def queries() -> dict:

@@ -14,10 +14,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Only where the session has none (tests on one machine) is one made."""
+    """The shared folder of spark.checkpoint.dir. Where the session names none, one is made if it runs on one machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="citeloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -39,6 +41,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def widen(df: DataFrame, key: str) -> DataFrame:
-    """`df` dealt out by `key` if it has fewer partitions than there are cores: for heavy work per row on small files. Wider frames stay as they are, unshuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """`df` dealt out by `key` if it is a scan of fewer parts than there are cores: for heavy work per row on small files.
+
+    Spark cuts files into parts of the open cost or more, so the parts follow from the size and nothing runs to count them.
+    Wider scans, and frames that aren't plain scans of files, stay as they are, unshuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return df
+    conf = spark._jsparkSession.sessionState().conf()
+    part = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
+    return df.repartition(cores, key) if int(str(plan.stats().sizeInBytes())) < cores * part else df

@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from citeloom.functions import bloom
 from citeloom.operators import nested, orphans, packed, skew
 from citeloom.plans import problems
 
@@ -45,24 +46,43 @@ def test_orphan_kinds(spark):
         [("s", 10, 2000, r, T(2)) for r in (1, 2, 3, 4, 5, 6, 7, 99, None)] + [("s", 10, 2000, 5, T(3)), ("s", 11, None, 99, T(2)), ("s", 12, 2001, 5, T(9)), ("s", 12, 2001, 99, None)],
         "src string, id long, year int, ref_id long, ingested_at timestamp",
     )
-    got = rows(orphans.find_orphans(refs, par, 7), "id", "year", "ref_id", "kind")
+    got = rows(orphans.find_orphans(refs, par), "id", "year", "ref_id", "kind")
     assert got == [(10, 2000, 2, "deleted"), (10, 2000, 3, "deleted"), (10, 2000, 5, "late"), (10, 2000, 99, "missing"), (11, -1, 99, "missing"), (12, 2001, 99, "missing")]
-    report = rows(orphans.orphan_report(orphans.find_orphans(refs, par, 7)), "src", "year", "kind", "n_refs", "n_records")
+    report = rows(orphans.orphan_report(orphans.find_orphans(refs, par)), "src", "year", "kind", "n_refs", "n_records")
     assert ("s", 2000, "deleted", 2, 1) in report
 
 
 def test_orphans_of_empty_tables(spark):
     none = parents(spark, [])
     refs = spark.createDataFrame([("s", 1, 2000, 5, T(1))], "src string, id long, year int, ref_id long, ingested_at timestamp")
-    assert rows(orphans.find_orphans(refs, none, 0), "ref_id", "kind") == [(5, "missing")]
-    assert orphans.find_orphans(refs.limit(0), none, 0).count() == 0
+    assert rows(orphans.find_orphans(refs, none), "ref_id", "kind") == [(5, "missing")]
+    assert orphans.find_orphans(refs.limit(0), none).count() == 0
 
 
-def test_a_full_bloom_filter_changes_nothing(spark, monkeypatch):
-    par = parents(spark, [(i, None, None, T(1)) for i in range(0, 4000, 2)])
-    refs = spark.range(4000).select(F.lit("s").alias("src"), F.col("id"), F.lit(1).alias("year"), F.col("id").alias("ref_id"), F.lit(T(2)).alias("ingested_at"))
-    monkeypatch.setattr(orphans, "bloom_filter", lambda df, key, n: __import__("citeloom.functions.bloom", fromlist=["x"]).bloom_filter(df, key, n, max_bits=1024))
-    assert orphans.find_orphans(refs, par, 2000).count() == 2000
+@pytest.mark.parametrize("bits, filters", [(1 << 26, 8), (1024, 8), (1024, 1)])
+@pytest.mark.parametrize("small", [500_000, 10])
+def test_orphans_by_any_filter_and_join(spark, monkeypatch, bits, filters, small):
+    par = parents(spark, [(i, "deleted" if i % 10 == 0 else None, None, T(3)) for i in range(0, 4000, 2)])
+    refs = spark.range(8000).select(
+        F.lit("s").alias("src"), F.col("id"), F.lit(1).alias("year"), F.when(F.col("id") < 4000, F.col("id")).otherwise(F.pmod("id", F.lit(5))).alias("ref_id"), F.lit(T(3)).alias("ingested_at")
+    )
+    refs = refs.unionByName(refs.filter("id % 3 = 0").withColumn("ingested_at", F.lit(T(1))))
+    monkeypatch.setattr(orphans, "bloom_filters", lambda df, key, n: bloom.bloom_filters(df, key, n, bits, filters))
+    got = rows(orphans.find_orphans(refs, par, small, 8), "id", "year", "ref_id", "kind")
+    want = []
+    for k in range(8000):
+        ref = k if k < 4000 else k % 5
+        kind = "missing" if ref % 2 else "deleted" if ref % 10 == 0 else "late" if k % 3 == 0 else None
+        want += [(k, 1, ref, kind)] if kind else []
+    assert got == want
+
+
+def test_bloom_filters_hold_every_key(spark):
+    df = spark.range(0, 20000, 2)
+    made = bloom.bloom_filters(df, "id", 10000, max_bits=1 << 14)
+    assert len(made) == 7
+    probed = spark.range(20000).withColumn("maybe", bloom.might_contain(df, made, F.col("id")))
+    assert probed.filter("id % 2 = 0 and not maybe").count() == 0 and probed.filter("id % 2 = 1 and maybe").count() < 300
 
 
 def test_eager_aggregate_equals_plain_join(spark):
@@ -213,6 +233,29 @@ def test_levels_follow_the_paper(spark):
     assert [(r, v) for r, _, v in got[".Name[].Language[].Country"]] == [(0, "us"), (2, None), (1, None), (1, "gb")]
 
 
+def test_any_depth(spark):
+    n = 20_000
+    deep = '{"a":' * n + '{"disruptiveness": [{"DI1": 0.5}, {"DI1": 1e305}], "x": [1, "\\u00e9", -2.5e3, true, null, [], {}]}' + "}" * n
+    broken = [deep[:-1], deep + "}", deep.replace("true", "truth"), "[" * n + "1," + "]" * n, '{"a":' * n, '{"a" 1}' * n, "{1:" * n]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate([deep, deep[:60_000].replace('{"a":', "[") + "]" * 12_000, *broken])], "rec long, payload string")
+    assert rows(nested.numbers_below(df, "rec", "payload", "disruptiveness", "DI1"), "rec", "output_no", "value") == [(0, 0, 0.5), (0, 1, 1e305)]
+    assert [r[0] for r in rows(nested.record_rows(df, "rec", "payload", {}), "state")].count("complete") == 2
+    for text in ('{"a": [1, {"b": "c\\n"}, null], "d": {}}', " [ ] ", "3.5", '"x"', "-Infinity", '{"a": 1, "a": 2}'):
+        assert nested.loads(text) == json.loads(text)
+    for text in ("", "{", "[1,]", '{"a": 1,}', "{]", "[1 2]", "01", "nul", '{"a"}', "[1]]", '"x'):
+        with pytest.raises(ValueError):
+            nested.loads(text)
+        with pytest.raises(ValueError):
+            json.loads(text)
+    huge = spark.createDataFrame([(1, '{"disruptiveness": {"DI1": 1e303}}'), (2, '{"disruptiveness": {"DI1": 1e15}}')], "rec_id long, payload string")
+    assert rows(problems.disruption_items(huge), "rec_id", "item") == [(1, "1" + "0" * 307), (2, "1" + "0" * 19)]
+
+
+def test_list_numbers_of_any_length(spark):
+    df = spark.createDataFrame([(1, "1000) J A. 1999;1:2 1001) J B. 2000;2:3")], "row_id long, t string")
+    assert [r[1] for r in rows(packed.split_packed(df, "row_id", "t", packed.CITATION, 2), "pos", "val")] == ["J A. 1999;1:2", "J B. 2000;2:3"]
+
+
 def test_nested_edges(spark):
     deep = "[" * 100_000 + "]" * 100_000
     docs = [(1, None), (2, ""), (3, "{"), (4, "[]"), (5, "null"), (6, deep), (7, '{"Mesh_year_category": [null, {"category": [[], {"tree": "A"}, null, "B"]}], "disruptiveness": {"runs": [null, {"DI1": "1e-2"}, {"DI1": true}, {"DI1": "nan"}]}}')]
