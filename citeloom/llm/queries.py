@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import canonical, frequency, leaks, packing, stuffing, together
-from citeloom.runtime import table
+from citeloom.runtime import broadcast_if_small, table
 
 #: field_name -> (table, array column, value)
 FIELDS = {"journal": ("ref_journals", "cr_year_category", "journal"), "descui": ("mesh_terms", "mesh_year_category", "descui")}
@@ -31,15 +31,15 @@ def _entries(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, root: str) -> list[tuple[int, str, str]]:
-    """The journal list; its length is checked before it is sent to the tasks."""
-    rows = table(spark, root, "wos_jcr").select("jcr_id", "title20", "journal_title").limit(canonical.MAX_LIST + 1).collect()
-    return [tuple(r) for r in rows]
+    """The journal list."""
+    return [tuple(r) for r in table(spark, root, "wos_jcr").select("jcr_id", "title20", "journal_title").toLocalIterator()]
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    listed = table(spark, root, "wos_jcr").select(F.col("title20").alias("value"))
-    typed = _entries(spark, root).join(F.broadcast(listed), "value", "left_anti")
-    found = canonical.canonical_values(typed, "value", _listed(spark, root))
+    listed = _listed(spark, root)
+    stored = table(spark, root, "wos_jcr").select(F.col("title20").alias("value"))
+    typed = _entries(spark, root).join(broadcast_if_small(stored, len(listed)), "value", "left_anti")
+    found = canonical.canonical_values(typed, "value", listed)
     return typed.join(found, "value").select("id", "pos", F.col("entry").alias("jcr_id"))
 
 
@@ -50,6 +50,11 @@ def p1_values(spark: SparkSession, root: str) -> DataFrame:
     return entries.groupBy("value").agg(F.count("*").alias("n_entries")).join(found, "value").select("value", F.col("entry").alias("jcr_id"), "distance", "tied", "n_entries")
 
 
+def p1_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """Every journal of the list within the distance that the length of a typed value allows."""
+    return canonical.canonical_candidates(_entries(spark, root), "value", _listed(spark, root)).withColumnRenamed("entry", "jcr_id")
+
+
 def p1_unmatched(spark: SparkSession, root: str) -> DataFrame:
     """The report of values that mean no journal of the list."""
     return p1_values(spark, root).filter("jcr_id = -1").select("value", "tied", "n_entries")

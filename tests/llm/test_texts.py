@@ -234,6 +234,6 @@ def test_pages(spark):
     assert stuffing.page_measures(df.limit(0), "doc_id", "text").count() == 0
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p1_values", "p1_unmatched", "p8_plan", "p8_fill", "p9_found", "p9_items", "p9_kept", "p10_found", "p10_measures"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_values", "p1_candidates", "p1_unmatched", "p8_plan", "p8_fill", "p9_found", "p9_items", "p9_kept", "p10_found", "p10_measures"])
 def test_queries_run(spark, root, name):
     queries.queries()[name](spark, root).collect()

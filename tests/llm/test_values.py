@@ -33,14 +33,57 @@ def distance(a: str, b: str) -> int:
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=6, unique=True), st.text("abcd", min_size=1, max_size=8), st.integers(0, 3))
 def test_automaton_finds_all_within_reach(paths, value, edits):
+    trie = bare_trie(dict(enumerate(paths)))
+    want = {k: distance(value, p) for k, p in enumerate(paths)}
+    assert trie.within([value, "", value * 20], edits)[0] == {k: d for k, d in want.items() if d <= edits}
+    assert {k for k, p in enumerate(paths) if p == value} == trie.exact(value)
+
+
+def bare_trie(paths):
+    """A trie of these very paths."""
     trie = canonical.Trie([])
-    for k, p in enumerate(paths):
+    trie.root, trie._after = {}, {}
+    for k, p in paths.items():
         node = trie.root
         for c in p:
-            node = node.setdefault(c, {})
+            node = node.setdefault(c, [{}])[0]
         node.setdefault("", set()).add(k)
-    want = {k: distance(value, p) for k, p in enumerate(paths)}
-    assert trie.within(value, edits) == {k: d for k, d in want.items() if d <= edits}
+    trie._flatten()
+    return trie
+
+
+def test_walks_in_small_parts(monkeypatch):
+    trie, texts = canonical.Trie(LIST), ["Annals of Scleronmics", "Jnl of Exp Neurographics", "zzz", "Annals of Osteomorphics A" * 9]
+    want = trie.candidates(texts)
+    monkeypatch.setattr(canonical, "STATES", 7)
+    assert trie.candidates(texts) == want
+
+
+@pytest.mark.parametrize("value", ["Journal of Exp and Computational Chronolithics", "J Experimental and Comput Chronolith", "Jnl of Experimental Comput Chronolithics", "Exp Computational Chronolith J of"])
+def test_any_mixture_of_long_and_short_words(value):
+    listed = LIST + [(8, "J EXP COMPUT CHRONO", "Journal of Experimental and Computational Chronolithics"), (9, "CHRONOLITH LETT", "Chronolithics Letters"), (10, "EXP COMPUT LETT", "Experimental Computational Letters")]
+    assert canonical.nearest(canonical.Trie(listed).candidates([value])[0])[0] == 8
+
+
+def test_all_entries_within_reach(spark):
+    """Against the plain edit table over every path of every entry."""
+    df = spark.createDataFrame([(v,) for v in ("annals of scleronomics series a", "Ann Scleronom", "Annals of Osteomorphic", "j exp neurograpj", "zzz", None)], "value string")
+    got = {(r.value, r.entry): r.distance for r in canonical.canonical_candidates(df, "value", LIST).collect()}
+    assert got == {("annals of scleronomics series a", 2): 0, ("Annals of Osteomorphic", 7): 1, ("j exp neurograpj", 1): 1}
+    several = [(1, "ALPHA METR", "Alpha Metrics"), (2, "ALPHA METRIC", "Alpha Matrics"), (3, "BETA", "Beta")]
+    near = canonical.canonical_candidates(spark.createDataFrame([("Alpha Metrics",)], "value string"), "value", several).collect()
+    assert {(r.entry, r.distance) for r in near} == {(1, 0), (2, 1)}
+
+
+def test_long_lists_go_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([("Annals of Scleronmics Series A", 1), ("Alpha Metrics", 2), ("Alpha Mtrics", 2), ("zzz", 3), ("ann osteomorph", 4)], "value string, n int")
+    listed = LIST + [(8, "ALPHA METR", "Alpha Metrics"), (9, "ALPHA MTR", "Alpha Mutrics")]
+    want = sorted(map(tuple, canonical.canonical_values(df, "value", listed).collect()))
+    near = sorted(map(tuple, canonical.canonical_candidates(df, "value", listed).collect()))
+    monkeypatch.setattr(canonical, "PART", 2)
+    assert sorted(map(tuple, canonical.canonical_values(df, "value", listed).collect())) == want
+    assert sorted(map(tuple, canonical.canonical_candidates(df, "value", listed).collect())) == near
+    assert dict((v, (e, t)) for v, e, _, t in want)["Alpha Mtrics"] == (-1, 2)
 
 
 @pytest.mark.parametrize(
@@ -50,7 +93,7 @@ def test_automaton_finds_all_within_reach(paths, value, edits):
     + [(t, -1) for t in ("Ann Scleronom C", "Annals of Osteomorphics Series A", "Ann Osteomorph A", "Ann Scleronom", "Journal of Experimental Neurocladology", "Book: Sira", "n/a", "???", "x" * 5000)],
 )
 def test_match(typed, want):
-    assert canonical.Trie(LIST).match(typed)[0] == want
+    assert canonical.nearest(canonical.Trie(LIST).candidates([typed])[0])[0] == want
 
 
 def test_canonical_values_of_odd_tables(spark):
@@ -59,8 +102,6 @@ def test_canonical_values_of_odd_tables(spark):
     assert got == {"ann osteomorph": (7, 0, 1), "zzz": (-1, -1, 0)}
     assert {r.entry for r in canonical.canonical_values(df, "value", []).collect()} == {-1}
     assert canonical.canonical_values(df.limit(0), "value", LIST).count() == 0
-    with pytest.raises(ValueError):
-        canonical.Trie(((i, "", "") for i in range(canonical.MAX_LIST + 1)))
 
 
 def test_p1_recovers_known_titles(spark):
