@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder, for loops: its size is that of its files, where a checkpoint keeps the estimate of its plan,
+    which grows with every turn."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """A broadcast hint where the proven number of rows is at most `limit`; otherwise the plain frame, to be shuffled."""
     return F.broadcast(df) if rows <= limit else df
