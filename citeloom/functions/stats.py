@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.functions.columns import let
+
 #: The percentiles of a distance distribution.
 PERCENTILES = (100, 99, 95, 90, 80, 50, 20, 10, 5, 1, 0)
 NAN = float("nan")
@@ -29,6 +31,33 @@ def distribution(value: str) -> list[Column]:
     return out + [F.when(bad, F.lit(NAN)).otherwise(all_[k]).alias(f"p{p}") for k, p in enumerate(PERCENTILES)]
 
 
+def array_distribution(values: Column) -> list[Column]:
+    """What `distribution` gives, of an array in one row, without rows of its own: n, mean, sd and the array of percentiles."""
+    ordered = F.array_sort(values)
+    n = F.size(values)
+    bad = F.exists(values, F.isnan)
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    mean = total / n
+    square = let(mean, lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
+    ok = lambda c: F.when(bad, F.lit(NAN)).otherwise(c)
+
+    def at(sorted_: Column, p: int) -> Column:
+        place = F.lit(p / 100.0) * (n - 1)
+        low = F.floor(place).cast("int")
+        a = F.get(sorted_, low)
+        return a + (place - low) * (F.coalesce(F.get(sorted_, low + 1), a) - a)
+
+    quantiles = let(ordered, lambda s: F.array(*[at(s, p) for p in PERCENTILES]))
+    return [n.cast("long"), ok(mean), ok(F.sqrt(square / n)), F.when(bad, F.array_repeat(F.lit(NAN), len(PERCENTILES))).otherwise(quantiles)]
+
+
+def with_distribution(df: DataFrame, values: str) -> DataFrame:
+    """`df` with the columns of `distribution` of an array column; an empty array gives null."""
+    keep = [F.col(c) for c in df.columns]
+    got = df.withColumn("_any", F.size(values) > 0).select(*keep, *[F.when(F.col("_any"), c).alias(name) for c, name in zip(array_distribution(F.col(values)), ("n", "mean", "sd", "_q"))])
+    return got.select(*keep, "n", "mean", "sd", *[F.get("_q", F.lit(k)).alias(f"p{p}") for k, p in enumerate(PERCENTILES)])
+
+
 def negative_log(c: Column) -> Column:
     """-ln(x), +Inf at 0 where Spark's ln gives null."""
     return F.when(c == 0, F.lit(float("inf"))).otherwise(-F.log(c))

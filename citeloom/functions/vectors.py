@@ -45,12 +45,46 @@ def chebyshev(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, x))
 
 
+def minkowski(a: Column, b: Column, p: float = 2) -> Column:
+    return F.pow(_fold(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p)))), F.lit(1 / p))
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """The cosine distance of the vectors less their means; NaN where one doesn't vary."""
+    centred = lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred(a), lambda x: let(centred(b), lambda y: cosine(x, y)))
+
+
+def canberra(a: Column, b: Column) -> Column:
+    """Differences over sums of sizes; two zeros add nothing."""
+    return _fold(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(0.0)).otherwise(F.try_divide(F.abs(x - y), F.abs(x) + F.abs(y))))
+
+
+def braycurtis(a: Column, b: Column) -> Column:
+    """The sum of differences over that of sums; NaN where these are 0."""
+    below = _fold(a, b, lambda x, y: F.abs(x + y))
+    return F.when(below == 0, F.lit(float("nan"))).otherwise(F.try_divide(cityblock(a, b), below))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """The share of places that differ."""
+    return _fold(a, b, lambda x, y: F.when(x != y, 1.0).otherwise(0.0)) / F.size(a)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """The share of places that differ among those where one is not 0; 0 where both are all zero."""
+    used = _fold(a, b, lambda x, y: F.when((x != 0) | (y != 0), 1.0).otherwise(0.0))
+    return F.when(used == 0, F.lit(0.0)).otherwise(F.try_divide(_fold(a, b, lambda x, y: F.when(x != y, 1.0).otherwise(0.0)), used))
+
+
 def unit(a: Column) -> Column:
     """`a` at length 1; NaN in every place if it is all zero."""
     return let(norm(a), lambda size: F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size))))
 
 
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "euclidean": euclidean, "sqeuclidean": sqeuclidean, "cityblock": cityblock, "chebyshev": chebyshev}
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    f.__name__: f for f in (cosine, euclidean, sqeuclidean, cityblock, chebyshev, minkowski, correlation, canberra, braycurtis, hamming, jaccard)
+}
 
 
 def prepared(of: str | Callable) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:

@@ -9,7 +9,7 @@ from citeloom.functions.stats import NAN, negative_log, quantile
 from citeloom.model import MIN_ITEMS
 from citeloom.operators import pairs as P
 from citeloom.operators.ranking import ranked
-from citeloom.runtime import cut
+from citeloom.runtime import broadcast_if_fits, cut, stored
 
 # ---- commonness: observed over expected
 
@@ -24,6 +24,7 @@ def commonness_pairs(cooc: DataFrame, margin: DataFrame | None = None, total: Da
         margin = ends.groupBy("year", "item").agg(F.sum("w").alias("n"))
     if total is None:
         total = cooc.groupBy("year").agg(F.sum("w").alias("nt"))
+    margin = broadcast_if_fits(stored(margin))
     return (
         cooc.join(F.broadcast(total), "year")  # one row per year
         .join(margin.select("year", F.col("item").alias("i"), F.col("n").alias("ni")), ["year", "i"])
@@ -34,10 +35,10 @@ def commonness_pairs(cooc: DataFrame, margin: DataFrame | None = None, total: Da
 
 def commonness(items: DataFrame, min_items: int = MIN_ITEMS, density: bool = False) -> DataFrame:
     """(doc_id, year, novelty[, scores]): -ln of the 10 % quantile of the document's pair scores, for every year at once."""
-    counts = P.item_counts(items)
-    pairs = P.doc_pairs(counts)
+    bags = stored(P.item_bags(P.item_counts(items)))  # read for pairs, marginals and weights
+    pairs = P.doc_pairs(None, bags=bags)
     aggs = [quantile("s", 0.1, "n").alias("q")] + ([P.score_array().alias("scores")] if density else [])
-    scores = commonness_pairs(P.cooccurrence(pairs), P.marginals(counts), P.yearly_weight(counts))
+    scores = commonness_pairs(P.cooccurrence(pairs), P.marginals(None, bags), P.yearly_weight(None, bags))
     return P.document_scores(pairs, scores, min_items, aggs).withColumn("novelty", negative_log(F.col("q"))).drop("q")
 
 
@@ -79,7 +80,7 @@ def difficulty_pairs(cooc: DataFrame, focal: int, window: int, times: int = 1, s
 
 
 def reuse_novelty(
-    items: DataFrame, focal: int, window: int, times: int = 1, start: int | None = None, percentile: float = 50, min_items: int = MIN_ITEMS, density: bool = False
+    items: DataFrame, focal: int, window: int, times: int = 1, start: int | None = None, percentile: float = 50, min_items: int = MIN_ITEMS, density: bool = False, orthogonal_as_zero: bool = True
 ) -> DataFrame:
     """(doc_id, year, novelty[, scores]): the sum of difficulty_pairs over a focal document's distinct pairs of frequent items.
 
@@ -91,7 +92,7 @@ def reuse_novelty(
     cooc = cut(P.cooccurrence(pairs.filter(F.col("year") <= focal + window)))
     frequent = P.restricted_items(P.item_frequency(items, focal - 3, focal), percentile)
     documents = P.scored_documents(items.filter(F.col("year") == focal), min_items)
-    scores = difficulty_pairs(cooc, focal, window, times, start)
+    scores = difficulty_pairs(cooc, focal, window, times, start, orthogonal_as_zero)
     for end in ("i", "j"):
         scores = scores.join(frequent.select(F.col("item").alias(end)), end, "left_semi")
     mine = pairs.filter(F.col("year") == focal).join(scores, ["i", "j"])
@@ -135,19 +136,19 @@ def atypicality_pairs(cooc: DataFrame, moments: DataFrame) -> DataFrame:
     return got.select("year", "i", "j", F.when(F.col("sd") > 0, (F.col("w") - F.col("mean")) / F.col("sd")).otherwise(F.lit(NAN)).alias("s"))
 
 
-def atypicality(items: DataFrame, samples: int = 20, seed: int = 0, min_items: int = MIN_ITEMS) -> DataFrame:
-    """(doc_id, year, conventionality, novelty): median and 10 % quantile of the document's z-scores; one NaN makes both NaN."""
+def atypicality(items: DataFrame, samples: int = 20, seed: int = 0, min_items: int = MIN_ITEMS, density: bool = False) -> DataFrame:
+    """(doc_id, year, conventionality, novelty[, scores]): median and 10 % quantile of the document's z-scores; one NaN makes both NaN."""
     pairs = P.doc_pairs(P.item_counts(items))
     scores = atypicality_pairs(P.cooccurrence(pairs), sample_moments(shuffled_items(items, samples, seed), samples))
-    aggs = [quantile("s", 0.5, "n").alias("conventionality"), quantile("s", 0.1, "n").alias("novelty")]
+    aggs = [quantile("s", 0.5, "n").alias("conventionality"), quantile("s", 0.1, "n").alias("novelty")] + ([P.score_array().alias("scores")] if density else [])
     return P.document_scores(pairs, scores, min_items, aggs)
 
 
 # ---- combinations that cross communities
 
 
-def crossing(items: DataFrame, focal: int, communities: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
-    """(doc_id, year, novelty): the share of a focal document's pairs whose items lie in different communities.
+def crossing(items: DataFrame, focal: int, communities: DataFrame, min_items: int = MIN_ITEMS, density: bool = False) -> DataFrame:
+    """(doc_id, year, novelty[, scores]): the share of a focal document's pairs whose items lie in different communities.
 
     communities: (item, community STRING); an item without one is a community of its own. Pairs of equal items never cross.
     """
@@ -157,5 +158,6 @@ def crossing(items: DataFrame, focal: int, communities: DataFrame, min_items: in
         of = communities.select(F.col("item").alias(end), F.col("community").alias(f"c_{end}"))
         # marked, so that a lone item can't fall together with a community of the same name
         pairs = pairs.join(of, end, "left").withColumn(f"c_{end}", F.coalesce(F.concat(F.lit("c:"), f"c_{end}"), F.concat(F.lit("i:"), end)))
-    cross = F.when(F.col("c_i") != F.col("c_j"), F.col("n")).otherwise(0)
-    return pairs.groupBy("doc_id", "year").agg((F.sum(cross) / F.sum("n")).alias("novelty"))
+    pairs = pairs.withColumn("s", F.when(F.col("c_i") != F.col("c_j"), 1.0).otherwise(0.0))
+    extra = [P.score_array().alias("scores")] if density else []
+    return pairs.groupBy("doc_id", "year").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("novelty"), *extra)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.stats import distribution
+from citeloom.functions.stats import distribution, with_distribution
 from citeloom.functions.vectors import prepared
-from citeloom.runtime import spread
+from citeloom.runtime import broadcast_if_fits, spread, stored
 
 
 def embedded(vec: Column) -> Column:
@@ -49,10 +50,23 @@ def reference_novelty(rows: DataFrame, distance: str | Callable = "cosine", dens
 # ---- authors
 
 
+def entity_documents(rows: DataFrame, entity: str, none: object = None) -> DataFrame:
+    """(<entity>, doc_list): the sorted documents of each value of a column; null, and the value `none`, stand for no entity."""
+    kept = rows.filter(F.col(entity).isNotNull())
+    if none is not None:
+        kept = kept.filter(F.col(entity) != F.lit(none))
+    return kept.select(entity, "doc_id").distinct().groupBy(entity).agg(F.array_sort(F.collect_list("doc_id")).alias("doc_list"))
+
+
 def author_papers(authorship: DataFrame) -> DataFrame:
     """(author_id, doc_list): the sorted documents of each author; the sentinel 0 is no author."""
-    kept = authorship.filter(F.col("author_id") != 0).select("author_id", "doc_id").distinct()
-    return kept.groupBy("author_id").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_list"))
+    return entity_documents(authorship, "author_id", 0)
+
+
+def entity_slice(lists: DataFrame, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """The entities of entity_documents in order, without the first `skip`, at most `limit` of them: for work in portions."""
+    ordered = lists.orderBy(lists.columns[0]).offset(skip)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def author_year_profile(authorship: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -89,30 +103,49 @@ def _listed(mine: DataFrame, past: DataFrame) -> DataFrame:
     return known.join(fit, "doc_id", "left_semi")
 
 
-def author_intra(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None) -> DataFrame:
-    """(doc_id, year, author_id, n, mean, sd, p100 .. p0): distances among each author's past works.
+def author_intra(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None, density: bool = False) -> DataFrame:
+    """(doc_id, year, author_id, n, mean, sd, p100 .. p0[, scores]): distances among each author's past works.
 
     An author's distances are computed once per year, however many documents they wrote in it. focal None scores all years in one job.
     """
     past = past_works(authorship, vectors, focal, window, ids)
-    stats = pairwise_distances(past, ["author_id", "year"], order="work", distance=distance).groupBy("author_id", "year").agg(*distribution("d"))
+    extra = [F.array_sort(F.collect_list("d")).alias("scores")] if density else []
+    stats = pairwise_distances(past, ["author_id", "year"], order="work", distance=distance).groupBy("author_id", "year").agg(*distribution("d"), *extra)
     return _listed(_focal(authorship, focal, ids), past).select("doc_id", "year", "author_id").join(stats, ["author_id", "year"])
 
 
-def author_inter(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None) -> DataFrame:
-    """(doc_id, year, author_a, author_b, n, mean, sd, p100 .. p0): distances of all past works of one author to all of another, a before b.
+def author_inter(
+    authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None, density: bool = False, equal_once: bool = False
+) -> DataFrame:
+    """(doc_id, year, author_a, author_b, n, mean, sd, p100 .. p0[, scores]): distances of all past works of one author to all of another, a before b.
 
-    All pairs count, also where both have the same works. Each pair of authors is computed once per year. focal None scores all years in one job.
+    All pairs count, also where both have the same works; with equal_once, such authors are compared as within one list, each pair of works once, and
+    a list of one work gives no row. Each pair of authors is computed once per year, in one row from the two lists of vectors. focal None scores all
+    years in one job.
     """
     past = past_works(authorship, vectors, focal, window, ids)
     mine = _listed(_focal(authorship, focal, ids), past)
     a, b = (mine.select("doc_id", "year", F.col("pos").alias(f"pos_{x}"), F.col("author_id").alias(f"author_{x}")) for x in "ab")
     pairs = a.join(b, ["doc_id", "year"]).filter("pos_a < pos_b").drop("pos_a", "pos_b")
     prepare, of = prepared(distance)
-    works = [past.select("year", F.col("author_id").alias(f"author_{x}"), prepare(F.col("vec")).alias(f"vec_{x}")) for x in "ab"]
+    bags = past.withColumn("vec", prepare(F.col("vec"))).groupBy("author_id", "year").agg(F.array_sort(F.collect_list(F.struct("work", "vec"))).alias("bag"))
+    named = [bags.select("year", F.col("author_id").alias(f"author_{x}"), F.col("bag").alias(f"bag_{x}")) for x in "ab"]
     keys = ["year", "author_a", "author_b"]
-    each = pairs.select(*keys).distinct().join(works[0], ["year", "author_a"]).join(works[1], ["year", "author_b"]).select(*keys, of(F.col("vec_a"), F.col("vec_b")).alias("d"))
-    return pairs.join(each.groupBy(*keys).agg(*distribution("d")), keys)
+    each = pairs.select(*keys).distinct().join(named[0], ["year", "author_a"]).join(named[1], ["year", "author_b"])
+    if callable(distance):  # runs in batches of rows, so every two works are one
+        flat = each.select(*keys, F.posexplode("bag_a").alias("k", "x"), "bag_a", "bag_b").select(*keys, "k", "x", "bag_a", "bag_b", F.posexplode("bag_b").alias("l", "y"))
+        if equal_once:
+            flat = flat.filter("bag_a.work <> bag_b.work or k < l")
+        each = flat.select(*keys, of(F.col("x.vec"), F.col("y.vec")).alias("d")).groupBy(*keys).agg(F.collect_list("d").alias("d"))
+    else:
+        every = F.flatten(F.transform("bag_a", lambda x: F.transform("bag_b", lambda y: of(x["vec"], y["vec"]))))
+        if equal_once:
+            rest = F.flatten(F.transform("bag_a", lambda x, k: F.transform(F.slice("bag_b", k + 2, F.size("bag_b")), lambda y: of(x["vec"], y["vec"]))))
+            every = F.when(F.col("bag_a.work") == F.col("bag_b.work"), rest).otherwise(every)
+        each = each.select(*keys, every.alias("d"))
+    got = with_distribution(each.filter(F.size("d") > 0), "d")
+    got = got.withColumn("scores", F.array_sort("d")).drop("d") if density else got.drop("d")
+    return pairs.join(got, keys)
 
 
 def author_share_captured(authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, ids: DataFrame | None = None) -> DataFrame:
@@ -130,13 +163,38 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
 
 
-def text_centroid(texts: DataFrame, word_vectors: DataFrame, dim: int) -> DataFrame:
-    """(doc_id, n_tokens, vec): the sum of the words' vectors over the number of all words. Words without a vector add nothing but count.
+def text_centroid(texts: DataFrame, word_vectors: DataFrame, dim: int, keys: tuple[str, ...] = ("doc_id",), salts: int = 16) -> DataFrame:
+    """(keys, n_tokens, vec): the sum of the words' vectors over the number of all words. Words without a vector add nothing but count.
 
-    texts: doc_id, text; word_vectors: word, vec of `dim` numbers. Null, empty and wordless texts are absent. Words are counted per document before the join.
+    texts: keys, text; word_vectors: word, vec of `dim` numbers. Null, empty and wordless texts are absent. The word vectors are counted: up to 32 MB of
+    them go to every task, so that texts are read once and only sums are shuffled. Beyond that words are counted per text and joined by word, in `salts`
+    parts a word, as a few words are most of every text.
     """
-    each = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    got = each.join(word_vectors.select("word", "vec"), "word", "left")
+    known = stored(word_vectors.select("word", "vec"))
+    fitting = broadcast_if_fits(known)
+    each = texts.select(*keys, F.explode(tokens(F.col("text"))).alias("word"))
+    if fitting is not known:
+        got = each.join(fitting, "word", "left").withColumn("n", F.lit(1))
+    else:
+        each = each.groupBy(*keys, "word").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+        got = each.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["word", "salt"], "left")
     sums = [F.coalesce(F.sum(F.col("n") * F.get("vec", F.lit(k))), F.lit(0.0)).alias(f"_{k}") for k in range(dim)]
-    out = got.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), *sums)
-    return out.select("doc_id", "n_tokens", F.array(*[F.col(f"_{k}") / F.col("n_tokens") for k in range(dim)]).alias("vec"))
+    out = got.groupBy(*keys).agg(F.sum("n").cast("long").alias("n_tokens"), *sums)
+    return out.select(*keys, "n_tokens", F.array(*[F.col(f"_{k}") / F.col("n_tokens") for k in range(dim)]).alias("vec"))
+
+
+def article_embeddings(articles: DataFrame, fields: tuple[str, ...], embed: DataFrame | Callable, dim: int) -> DataFrame:
+    """(doc_id, entity, vec): the vector of each of several texts of a document, such as its title and its abstract, in one job.
+
+    embed: a table of word vectors, for text_centroid, or any function of a batch of texts (pandas Series) that gives one vector for each, which is
+    called in Arrow batches. Null texts, and for word vectors wordless ones, are absent.
+    """
+    texts = articles.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("entity"), F.col(f).alias("text")) for f in fields])).alias("t")).select("doc_id", "t.*").filter("text is not null")
+    if isinstance(embed, DataFrame):
+        return text_centroid(texts, embed, dim, ("doc_id", "entity")).drop("n_tokens")
+
+    @F.pandas_udf("array<double>")
+    def call(batch: pd.Series) -> pd.Series:
+        return pd.Series([list(map(float, v)) for v in embed(batch)])
+
+    return texts.select("doc_id", "entity", call("text").alias("vec"))

@@ -141,8 +141,9 @@ def shred(value) -> dict[str, list[tuple]]:
                 scalar = None if value is _MISSING or isinstance(value, (dict, list)) else value
                 below.column.append((rep, level + (scalar is not None), scalar))
             elif step == REPEATED and isinstance(value, list) and value:
-                first = [(value[0], below, rep, depth + 1, level + 1)]
-                todo += [(member, below, depth + 1, depth + 1, level + 1) for member in value[:0:-1]] + first
+                # an element's place is a level, and so is an object or array in it: [null], [{}] and [] differ
+                of = lambda member: level + 1 + isinstance(member, (dict, list))
+                todo += [(member, below, depth + 1, depth + 1, of(member)) for member in value[:0:-1]] + [(value[0], below, rep, depth + 1, of(value[0]))]
             elif isinstance(value, dict) and step != REPEATED and value.get(step[1:]) is not None:
                 todo.append((value[step[1:]], below, rep, depth, level + 1))
             else:
@@ -353,7 +354,7 @@ def entry_rows(df: DataFrame, rec: str, payload: str, member: str, fields: dict[
                 if m is None:
                     continue
                 upto = m.group(1).count(REPEATED) if m.group(2) else 0
-                base = m.group(1).count(".") + m.group(1).count(REPEATED)
+                base = m.group(1).count(".") + 2 * m.group(1).count(REPEATED)
                 for (_, level, v), place in zip(column, places([x[0] for x in column], path.count(REPEATED))):
                     if level >= base:  # the entry itself is there
                         e = entries.setdefault((m.group(1), place[:upto]), {})

@@ -20,14 +20,14 @@ def item_bags(counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return spread(counts, *keys[:-1]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("item", "n"))).alias("bag"), F.sum("n").alias("size"))
 
 
-def doc_pairs(counts: DataFrame, weighted: bool = True, self_loop: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
+def doc_pairs(counts: DataFrame | None, weighted: bool = True, self_loop: bool = True, extra: tuple[str, ...] = (), bags: DataFrame | None = None) -> DataFrame:
     """doc_pairs from item_counts, by multiplicities: m_i * m_j, and m_i * (m_i - 1) / 2 on the diagonal; `size` is the document's item occurrences.
 
     Unweighted, every pair of different items counts once and there is no diagonal. extra: further key columns (a sample number).
-    A document's items come together once, hashed by document; the pairs are generated from there without a join.
+    A document's items come together once, hashed by document; the pairs are generated from there without a join. bags: item_bags, if they are there already.
     """
     keys = [*extra, "doc_id", "year", "size"]
-    first = item_bags(counts, extra).select(*keys, "bag", F.posexplode("bag").alias("at", "a"))
+    first = (item_bags(counts, extra) if bags is None else bags).select(*keys, "bag", F.posexplode("bag").alias("at", "a"))
     rest = first.select(*keys, "a", F.explode(F.slice("bag", F.col("at") + 1, F.size("bag"))).alias("b"))
     same = F.col("a.item") == F.col("b.item")
     if weighted:
@@ -38,19 +38,19 @@ def doc_pairs(counts: DataFrame, weighted: bool = True, self_loop: bool = True,
     return kept.select(*keys, F.col("a.item").alias("i"), F.col("b.item").alias("j"), n.alias("n")).filter("n > 0")
 
 
-def marginals(counts: DataFrame) -> DataFrame:
+def marginals(counts: DataFrame | None, bags: DataFrame | None = None) -> DataFrame:
     """(year, item, n) of the weighted network with loops: an item's weight with its diagonal counted once.
 
     Summed per document as m * (size - m) + m * (m - 1) / 2, so no pair is formed.
     """
-    each = item_bags(counts).select("year", "size", F.explode("bag").alias("a"))
+    each = (item_bags(counts) if bags is None else bags).select("year", "size", F.explode("bag").alias("a"))
     part = F.col("a.n") * (F.col("size") - F.col("a.n")) + F.expr("a.n * (a.n - 1) div 2")
     return each.select("year", F.col("a.item").alias("item"), part.alias("p")).groupBy("year", "item").agg(F.sum("p").alias("n")).filter("n > 0")
 
 
-def yearly_weight(counts: DataFrame) -> DataFrame:
+def yearly_weight(counts: DataFrame | None, bags: DataFrame | None = None) -> DataFrame:
     """(year, nt): the weight of each year's weighted network with loops: size * (size - 1) / 2 summed over documents."""
-    return item_bags(counts).groupBy("year").agg(F.sum(F.expr("size * (size - 1) div 2")).alias("nt"))
+    return (item_bags(counts) if bags is None else bags).groupBy("year").agg(F.sum(F.expr("size * (size - 1) div 2")).alias("nt"))
 
 
 def cooccurrence(pairs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -82,6 +82,14 @@ def restricted_items(frequency: DataFrame, percentile: float = 50) -> DataFrame:
     return frequency.filter(F.col("n") >= limit.scalar())
 
 
+def restricted_items_by_year(items: DataFrame, percentile: float = 50, back: int = 3) -> DataFrame:
+    """(year, item): for every year the restricted_items of the `back` years before, all years in one job, for a sink by year. Years without items before are absent."""
+    ahead = items.select("item", F.explode(F.sequence(F.col("year") + 1, F.col("year") + back)).alias("year"))
+    frequency = ahead.groupBy("year", "item").agg(F.count("*").alias("n"))
+    limit = frequency.groupBy("year").agg(F.percentile("n", F.lit(percentile / 100.0)).alias("p"))
+    return frequency.join(F.broadcast(limit), "year").filter(F.col("n") >= F.col("p")).select("year", "item")  # one row per year
+
+
 def scored_documents(items: DataFrame, min_items: int) -> DataFrame:
     """(doc_id, year) of documents with enough item occurrences."""
     return items.groupBy("doc_id", "year").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_items).select("doc_id", "year")

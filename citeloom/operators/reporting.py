@@ -35,6 +35,12 @@ def papers_per_author(author_lists: DataFrame) -> DataFrame:
     return sizes.filter(F.col("n_papers") < limit.scalar()).groupBy("n_papers").agg(F.count("*").alias("n_authors"))
 
 
+def entity_statistics(lists: DataFrame) -> DataFrame:
+    """(n_entities, n_documents, mean) of entity_documents: how many there are and how many documents they have, in one row."""
+    n = F.size("doc_list")
+    return lists.agg(F.count("*").alias("n_entities"), F.coalesce(F.sum(n), F.lit(0)).alias("n_documents"), F.avg(n).alias("mean"))
+
+
 def list_sizes(df: DataFrame, array: str, by: list[str]) -> DataFrame:
     """(by, n_docs, mean, variance): sizes of an array per document, with the population variance. Null arrays are left out."""
     got = df.filter(F.col(array).isNotNull() & F.col("year").isNotNull()).withColumn("_n", F.size(array))
@@ -73,15 +79,16 @@ def score_distribution(scores: DataFrame) -> DataFrame:
     return kept.groupBy("indicator", "variable").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
-def correlations(scores: DataFrame, per_year: bool = True, log: bool = False) -> DataFrame:
+def correlations(scores: DataFrame, per_year: bool = True, log: bool = False, names: list[str] | None = None) -> DataFrame:
     """([year,] a, b, n, r): Pearson correlations of every two indicators over the documents that have both, joined by document.
 
-    scores: long_scores; invalid values are left out. With log, log(score + 1) of scores above -1. r is null where a side doesn't vary or n < 2.
+    scores: long_scores; names: '<variable>_<indicator>' of all of them, which are looked up in the scores if not given; invalid values are left out. With log, log(score + 1) of scores above -1. r is null where a side doesn't vary or n < 2.
     """
     kept = scores.filter(valid(F.col("score"))).withColumn("_k", F.concat_ws("_", "variable", "indicator"))
     if log:
         kept = kept.filter("score > -1").withColumn("score", F.log1p("score"))
-    names = [r[0] for r in scores.select(F.concat_ws("_", "variable", "indicator").alias("k")).distinct().collect()]  # one per indicator, not per document
+    if names is None:
+        names = [r[0] for r in scores.select(F.concat_ws("_", "variable", "indicator").alias("k")).distinct().collect()]  # one per indicator, not per document
     if len(names) < 2:
         raise ValueError("a correlation needs two indicators")
     wide = kept.groupBy("doc_id", "year").pivot("_k", sorted(names)).agg(F.first("score"))

@@ -66,7 +66,7 @@ with one as (select row_id, any_value(refcitation) as t from reference where ref
 select row_id, cast(generate_subscripts(l, 1) as int) as pos, unnest(l) as val from found where len(l) >= 2
 """
 
-P7_FOUND = r"""
+_P7 = r"""
 with tree as (select rec_id, t.key, t.value, t.type, t.fullkey from (select rec_id, payload from result_records where json_valid(payload)) r, json_tree(r.payload) t),
   mesh as (select rec_id, type, value from tree where key = 'Mesh_year_category' and type in ('ARRAY', 'OBJECT')),
   entries as (
@@ -76,10 +76,23 @@ with tree as (select rec_id, t.key, t.value, t.type, t.fullkey from (select rec_
   codes as (
     select rec_id, pos1, cast(e.key as int) as pos2, case e.type when 'OBJECT' then json_extract_string(e.value, '$.tree') when 'NULL' then null else json_extract_string(e.value, '$') end as item from cats c, json_each(c.c) e where c.kind = 'ARRAY'
     union all select rec_id, pos1, 0, json_extract_string(c, '$') from cats where kind = 'VARCHAR'),
-  outs as (select rec_id, coalesce(try_cast(regexp_extract(fullkey, 'disruptiveness[^\[]*\[([0-9]+)\]', 1) as int), 0) as pos1, try_cast(json_extract_string(value, '$') as double) as x from tree where key = 'DI1' and contains(fullkey, 'disruptiveness') and type <> 'NULL')
+  outs as (select rec_id, coalesce(try_cast(regexp_extract(fullkey, 'disruptiveness[^\[]*\[([0-9]+)\]', 1) as int), 0) as pos1, try_cast(json_extract_string(value, '$') as double) as x from tree where key = 'DI1' and contains(fullkey, 'disruptiveness') and type <> 'NULL')"""
+
+P7_FOUND = f"""{_P7}
 select rec_id, 'category' as branch, pos1, pos2, item from codes where item is not null
 union all
 select rec_id, 'di1', pos1, 0, cast(cast(round(x * 10000) as bigint) as varchar) from outs where x is not null and not isnan(x)
 """
 
-ORACLES |= {"p5_found": P5_FOUND, "p7_found": P7_FOUND}
+_FIRST = "arg_min(json_extract_string(value, '$'), id) filter (where key = '{}' and type not in ('OBJECT', 'ARRAY') and not contains(fullkey, '['))"
+
+ORACLES |= {
+    "p5_found": P5_FOUND,
+    "p7_found": P7_FOUND,
+    "p7_records": f"""with tree as (select rec_id, t.* from (select rec_id, payload from result_records where json_valid(payload)) r, json_tree(r.payload) t),
+      f as (select rec_id, {_FIRST.format('PMID')} as pmid, {_FIRST.format('year')} as record_year from tree group by rec_id)
+      select r.rec_id, case when payload is null or length(trim(payload)) = 0 then 'empty' when json_valid(payload) then 'complete' else 'broken' end as state, f.pmid, f.record_year from result_records r left join f on r.rec_id = f.rec_id""",
+    "p7_entries": f"{_P7} select rec_id, pos1 as entry_no, json_extract_string(entry, '$.descUI') as descui, json_extract_string(entry, '$.year') as entry_year from entries",
+    "p7_categories": f"{_P7} select rec_id, pos1 as entry_no, pos2 as category_no, item as category from codes where item is not null",
+    "p7_di1": f"{_P7} select rec_id, pos1 as output_no, x as di1 from outs where x is not null and not isnan(x)",
+}

@@ -112,6 +112,10 @@ def item_frequency(spark, root):
     return P.item_frequency(items(spark, root), FOCAL - 3, FOCAL)
 
 
+def restricted_items_by_year(spark, root):
+    return P.restricted_items_by_year(items(spark, root), 50)
+
+
 def restricted_items(spark, root):
     return P.restricted_items(item_frequency(spark, root), 50)
 
@@ -188,6 +192,11 @@ def uzzi_atypicality(spark, root):
     return rounded(cooccurrence.atypicality(_focal_items(spark, root), SAMPLES), "conventionality", "novelty")
 
 
+def uzzi_density(spark, root):
+    got = rounded(cooccurrence.atypicality(_focal_items(spark, root), SAMPLES, density=True), "conventionality", "novelty")
+    return got.withColumn("scores", F.transform("scores", lambda x: F.round(x, 6)))
+
+
 # ---- communities
 
 
@@ -201,6 +210,10 @@ def foster_given_partition(spark, root):
     return rounded(cooccurrence.crossing(items(spark, root), FOCAL, _fixed_partition(spark, root)), "novelty")
 
 
+def foster_density(spark, root):
+    return rounded(cooccurrence.crossing(items(spark, root), FOCAL, _fixed_partition(spark, root), density=True), "novelty")
+
+
 def foster_louvain(spark, root):
     past = P.window_sum(cooc(spark, root), FOCAL - WINDOW, FOCAL)
     return rounded(cooccurrence.crossing(items(spark, root), FOCAL, graph.communities(past)), "novelty")
@@ -240,7 +253,7 @@ def ref_embedding_join(spark, root):
     works = refs.select(F.explode("refs").alias("doc_id")).distinct().withColumn("vec_id", F.pmod("doc_id", e.agg(F.count("*")).scalar() * 2))
     known = works.join(e.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")), "vec_id")
     got = embedding.embedded_references(refs, known.select("doc_id", "vec"))
-    return got.select("doc_id", "year", "pos", "ref_id", F.round(F.col("vec")[0], 6).alias("first_number"))
+    return got.select("doc_id", "year", "pos", "ref_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 def _embedded(spark, root, field):
@@ -285,7 +298,7 @@ def author_papers(spark, root):
 
 def author_year_profile(spark, root):
     got = embedding.author_year_profile(authorship(spark, root), vectors(spark, root))
-    return got.select("author_id", "year", "n", F.transform("vecs", lambda v: F.round(v[0], 6)).alias("first_numbers"))
+    return got.select("author_id", "year", "n", F.transform(F.flatten("vecs"), lambda x: F.round(x, 6)).alias("numbers"))
 
 
 def author_intra(spark, root):
@@ -296,6 +309,32 @@ def author_inter(spark, root):
     return _stats(embedding.author_inter(authorship(spark, root), vectors(spark, root), ORDER_FOCAL, ORDER_WINDOW))
 
 
+def _scored(df):
+    return df.select(*[c for c in df.columns if c not in ("mean", "sd", "scores") and not (c[0] == "p" and c[1:].isdigit())], F.transform("scores", lambda x: F.round(x, 6)).alias("scores"))
+
+
+def author_intra_density(spark, root):
+    return _scored(embedding.author_intra(authorship(spark, root), vectors(spark, root), ORDER_FOCAL, ORDER_WINDOW, density=True))
+
+
+def author_inter_density(spark, root):
+    return _scored(embedding.author_inter(authorship(spark, root), vectors(spark, root), ORDER_FOCAL, ORDER_WINDOW, density=True))
+
+
+def author_slice(spark, root):
+    """A portion of the authors in order."""
+    return embedding.entity_slice(author_papers(spark, root), 10, 25)
+
+
+def journal_documents(spark, root):
+    """The documents of every journal."""
+    return embedding.entity_documents(items(spark, root), "item")
+
+
+def journal_statistics(spark, root):
+    return rounded(reporting.entity_statistics(journal_documents(spark, root)), "mean")
+
+
 def author_share_captured(spark, root):
     return rounded(embedding.author_share_captured(authorship(spark, root), vectors(spark, root), ORDER_FOCAL, ORDER_WINDOW), "share")
 
@@ -319,8 +358,27 @@ def keyword_diversity(spark, root):
 
 def mesh_tree_prefix(spark, root):
     each = _mesh(spark, root).select(F.col("id").alias("doc_id"), F.posexplode("mesh_year_category").alias("pos", "t")).filter("t.category is not null")
-    longer = F.transform(F.col("t.category"), lambda x: F.concat(x, F.lit(".001")))
-    return each.select("doc_id", "pos", keywords.tree_prefixes(longer).alias("prefixes"))
+    return each.select("doc_id", "pos", keywords.tree_prefixes(F.col("t.category")).alias("prefixes"))
+
+
+def _descriptors(spark, root):
+    """A list of descriptors from all entries that name one: the earliest year and all category codes."""
+    each = _mesh(spark, root).select(F.explode("mesh_year_category").alias("t")).select("t.*").filter("descui is not null")
+    return each.groupBy("descui").agg(F.min("year").alias("year"), F.array_distinct(F.flatten(F.collect_list("category"))).alias("tree_numbers"))
+
+
+def _keywords(spark, root):
+    terms = _mesh(spark, root).select(F.col("id").alias("doc_id"), F.posexplode("mesh_year_category").alias("pos", "t")).select("doc_id", "pos", "t.descui")
+    return cleaning.parse_keywords(terms, _descriptors(spark, root).filter("descui like 'D%'"))
+
+
+def keyword_parse(spark, root):
+    """Keywords looked up in the list of descriptors; local codes, which begin with another letter, are in no list."""
+    return _keywords(spark, root)
+
+
+def keyword_share_captured(spark, root):
+    return rounded(cleaning.share_captured(_keywords(spark, root)), "share")
 
 
 def _centroid(spark, root, field):
@@ -344,6 +402,10 @@ def reference_parse_pubmed(spark, root):
     return cleaning.parse_pubmed(once(table(spark, root, "reference"), "row_id"), "row_id", "refcitation", "refarticleid")
 
 
+def reference_lists_pubmed(spark, root):
+    return rounded(cleaning.pubmed_lists(once(table(spark, root, "reference"), "row_id").filter("pmid is not null"), "pmid", "row_id", "refcitation", "refarticleid"), "share")
+
+
 def _wos_references(spark, root):
     """Cited references as another export writes them, from the journal entries; without a year only the journal."""
     rows = once(table(spark, root, "ref_journals"), "id").select(F.col("id").alias("doc_id"), F.posexplode("cr_year_category").alias("pos", "e")).filter("e.journal is not null")
@@ -418,6 +480,14 @@ def embedding_trend_abstract(spark, root):
     return _distance_trend(spark, root, "abstract_embedding")
 
 
+def article_embeddings(spark, root):
+    """Title and abstract of every article in one job."""
+    texts = _texts(spark, root)
+    both = texts.select(F.explode(F.array("title", "abstract")).alias("text"))
+    got = embedding.article_embeddings(texts, ("title", "abstract"), word_vectors(both), WORD_DIM)
+    return got.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6)))
+
+
 def scores_long(spark, root):
     """The frame behind distribution plots: one row per document and indicator."""
     return rounded(_scores(spark, root), "score")
@@ -441,16 +511,20 @@ def _scores(spark, root):
     return reporting.long_scores(frames, names)
 
 
+#: The indicators of _scores by variable and name.
+_NAMES = ["journals_commonness", "mesh_kw_diversity", "mesh_kw_novelty"]
+
+
 def score_distribution(spark, root):
     return rounded(reporting.score_distribution(_scores(spark, root)), "mean", "sd", "least", "most")
 
 
 def indicator_correlation(spark, root):
-    return rounded(reporting.correlations(_scores(spark, root), per_year=True), "r")
+    return rounded(reporting.correlations(_scores(spark, root), per_year=True, names=_NAMES), "r")
 
 
 def indicator_correlation_pooled(spark, root):
-    return rounded(reporting.correlations(_scores(spark, root), per_year=False), "r")
+    return rounded(reporting.correlations(_scores(spark, root), per_year=False, names=_NAMES), "r")
 
 
 #: Names of this module that are no queries.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from citeloom.functions.stats import PERCENTILES as _PS
 from citeloom.plans.reference import FOCAL, ORDER_FOCAL, ORDER_WINDOW, SAMPLES, WINDOW, WORD_DIM
 
 _ITEMS = """recs as (select id, min(year) as year, any_value(cr_year_category) as c from ref_journals group by id),
@@ -73,8 +74,6 @@ def _ratio(a: str, b: str) -> str:
 _INDICES = f"""{_DISRUPTION}, idx as (select doc_id, year, {_ratio('(n_i - n_j)', '(n_i + n_j + n_k)')} as di1, {_ratio('(n_i - n_j5)', '(n_i + n_j5 + n_k)')} as di5, {_ratio('(n_i - n_j)', '(n_i + n_j)')} as di1nok,
   {_ratio('(n_i - n_j5)', '(n_i + n_j5)')} as di5nok, {_ratio('shared', '(n_i + n_j)')} as dein, {_ratio('breadth', '(n_i + n_j)')} as breadth, {_ratio('depth', '(n_i + n_j)')} as depth from counts)"""
 
-_PS = (100, 99, 95, 90, 80, 50, 20, 10, 5, 1, 0)
-
 
 def _stats(d: str = "d") -> str:
     """The columns of a distribution; one NaN makes all but n NaN."""
@@ -102,6 +101,12 @@ _METRIC = {
     "euclidean": "sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))",
     "sqeuclidean": "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
     "cityblock": "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] - z[2])))",
+    "minkowski": "sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))",
+    "correlation": _cosine("list_transform(a.vec, lambda x: x - list_avg(a.vec))", "list_transform(b.vec, lambda x: x - list_avg(b.vec))"),
+    "canberra": "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: case when z[1] = 0 and z[2] = 0 then 0 else abs(z[1] - z[2]) / (abs(z[1]) + abs(z[2])) end))",
+    "braycurtis": "case when list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] + z[2]))) = 0 then 'nan'::double else list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] - z[2]))) / list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] + z[2]))) end",
+    "hamming": "list_avg(list_transform(list_zip(a.vec, b.vec), lambda z: case when z[1] <> z[2] then 1.0 else 0.0 end))",
+    "jaccard": "case when len(list_filter(list_zip(a.vec, b.vec), lambda z: z[1] <> 0 or z[2] <> 0)) = 0 then 0 else len(list_filter(list_zip(a.vec, b.vec), lambda z: z[1] <> z[2])) / cast(len(list_filter(list_zip(a.vec, b.vec), lambda z: z[1] <> 0 or z[2] <> 0)) as double) end",
     "chebyshev": "list_max(list_transform(list_zip(a.vec, b.vec), lambda z: abs(z[1] - z[2])))",
 }
 
@@ -173,13 +178,13 @@ ORACLES = {
     "breadth_depth": f"with {_INDICES} select doc_id, year, breadth, depth from idx",
     "ref_embedding_join": f"""with {_NET}, all_ as (select id as doc_id, min(year) as year, flatten(list(coalesce(refs, []) order by chunk_no)) as refs from chunks group by id),
       each as (select doc_id, year, unnest(refs) as ref_id, generate_subscripts(refs, 1) - 1 as pos from all_)
-      select e.doc_id, e.year, cast(e.pos as int) as pos, e.ref_id, round(cast(v.embedding[1] as double), 6) as first_number from each e join embeddings v on v.vec_id = e.ref_id % (2 * (select count(*) from embeddings))""",
+      select e.doc_id, e.year, cast(e.pos as int) as pos, e.ref_id, list_transform(v.embedding, lambda x: round(cast(x as double), 6)) as vec from each e join embeddings v on v.vec_id = e.ref_id % (2 * (select count(*) from embeddings))""",
     "pairwise_distance_percentiles": f"{_distances('title')} union all {_distances('abstract')}",
     "pairwise_distance_metrics": " union all ".join(
         f"select '{m}' as metric, * from (with {_refs('title_embedding')} select a.doc_id, count(*) as n, round(avg({x}), 6) as mean from v a join v b on a.doc_id = b.doc_id and a.pos < b.pos group by a.doc_id)" for m, x in _METRIC.items()
     ),
     "author_papers": f"with {_AUTHORS} select author_id, list_sort(list(distinct doc_id)) as doc_list from auth where author_id <> 0 group by author_id",
-    "author_year_profile": f"with {_AUTHORS} select a.author_id, a.year, count(*) as n, list(round(v.vec[1], 6) order by a.doc_id) as first_numbers from auth a join vec v on a.doc_id = v.doc_id group by a.author_id, a.year",
+    "author_year_profile": f"with {_AUTHORS} select a.author_id, a.year, count(*) as n, flatten(list(list_transform(v.vec, lambda x: round(x, 6)) order by a.doc_id)) as numbers from auth a join vec v on a.doc_id = v.doc_id group by a.author_id, a.year",
     "author_intra": f"""with {_PAST}, p as (select x.author_id, {_cosine('x.vec', 'y.vec')} as d from past x join past y on x.author_id = y.author_id and x.work < y.work), s as (select author_id, {_stats()} from p group by author_id)
       select m.doc_id, m.year, s.* from mine m join s on m.author_id = s.author_id""",
     "author_inter": f"""with {_PAST}, pairs as (select a.doc_id, a.year, a.author_id as author_a, b.author_id as author_b from mine a join mine b on a.doc_id = b.doc_id and a.pos < b.pos),
@@ -189,7 +194,7 @@ ORACLES = {
     "author_share_captured": f"with {_PAST} select a.doc_id, a.year, round(count(w.author_id) / cast(count(*) as double), 6) as share from auth a left join works w on a.author_id = w.author_id where a.year = {ORDER_FOCAL} group by a.doc_id, a.year",
     "keyword_novelty": f"with {_MESH} select doc_id, year, round(novelty_kw, 6) as novelty_kw from ({_KW_NOVELTY})",
     "keyword_diversity": f"with {_MESH} select doc_id, year, round(diversity_kw, 6) as diversity_kw from ({_KW_DIVERSITY})",
-    "mesh_tree_prefix": f"with {_MESH} select doc_id, cast(pos - 1 as int) as pos, list_sort(list_distinct(list_filter(t.category, lambda x: x is not null))) as prefixes from ent where t.category is not null",
+    "mesh_tree_prefix": f"with {_MESH} select doc_id, cast(pos - 1 as int) as pos, list_sort(list_distinct(list_transform(list_filter(t.category, lambda x: x is not null), lambda x: regexp_extract(x, '^[^.]*(?:[.][^.]*)?')))) as prefixes from ent where t.category is not null",
     "text_centroid": f"""with {_TEXTS}, w as (select doc_id, unnest(list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda x: x <> '')) as word from texts where title <> '~'),
       h as (select doc_id, md5(word) as h from w), v as (select doc_id, case when h[1] = '0' then null else [{', '.join(f"cast(('0x' || h[{1 + 2 * k}:{2 + 2 * k}]) as int) / cast(255 as double)" for k in range(WORD_DIM))}] end as v from h)
       select doc_id, count(*) as n_tokens, [{', '.join(f'round(coalesce(sum(v[{k + 1}]), 0) / count(*), 6)' for k in range(WORD_DIM))}] as vec from v group by doc_id""",
@@ -226,3 +231,31 @@ ORACLES |= {
     "text_centroid_abstract": ORACLES["text_centroid"].replace("lower(title)", "lower(abstract)").replace("where title", "where abstract"),
     **{f"{n}_abstract": ORACLES[n].replace("title_embedding", "abstract_embedding") for n in ("pairwise_distance_metrics", "embedding_trend")},
 }
+
+_KEYWORDS = f"""{_MESH}, named as (select t.descui as descui, t.year as year, t.category as category from ent where t.descui like 'D%'),
+  years as (select descui, min(year) as year from named group by descui),
+  codes as (select descui, list_sort(list(distinct regexp_extract(c, '^[^.]*(?:[.][^.]*)?'))) as category from (select descui, unnest(category) as c from named) where c is not null group by descui),
+  parsed as (select e.doc_id, cast(e.pos - 1 as int) as pos, e.t.descui as descui, y.year, case when y.descui is not null then coalesce(c.category, []) end as category, y.descui is not null as known
+    from ent e left join years y on e.t.descui = y.descui left join codes c on e.t.descui = c.descui where e.t.descui is not null)"""
+_INTER = f"""{_PAST}, pairs as (select a.doc_id, a.year, a.author_id as author_a, b.author_id as author_b from mine a join mine b on a.doc_id = b.doc_id and a.pos < b.pos),
+  p as (select q.author_a, q.author_b, {_cosine('x.vec', 'y.vec')} as d from (select distinct author_a, author_b from pairs) q join past x on x.author_id = q.author_a join past y on y.author_id = q.author_b)"""
+
+ORACLES |= {
+    "keyword_parse": f"with {_KEYWORDS} select * from parsed",
+    "keyword_share_captured": f"with {_KEYWORDS} select doc_id, round(sum(known::int) / cast(count(*) as double), 6) as share from parsed group by doc_id",
+    "restricted_items_by_year": f"""with {_ITEMS}, ahead as (select item, year + k as year from items, unnest(range(1, 4)) as t(k)), freq as (select year, item, count(*) as n from ahead group by all),
+      lim as (select year, quantile_cont(n, 0.5) as p from freq group by year) select f.year, f.item from freq f join lim l on f.year = l.year where f.n >= l.p""",
+    "journal_documents": f"with {_ITEMS} select item, list_sort(list(distinct doc_id)) as doc_list from items group by item",
+    "journal_statistics": f"with {_ITEMS}, l as (select item, count(distinct doc_id) as n from items group by item) select count(*) as n_entities, cast(sum(n) as bigint) as n_documents, round(avg(n), 6) as mean from l",
+    "author_slice": f"with {_AUTHORS} select author_id, list_sort(list(distinct doc_id)) as doc_list from auth where author_id <> 0 group by author_id order by author_id limit 25 offset 10",
+    "foster_density": ORACLES["foster_given_partition"].replace("as novelty from x group by", "as novelty, list_sort(flatten(list(list_transform(range(n), lambda k: case when ci <> cj then 1.0::double else 0.0::double end)))) as scores from x group by"),
+    "uzzi_density": ORACLES["uzzi_atypicality"].replace("as novelty from spread", "as novelty, list(round(s, 6) order by s) as scores from spread"),
+    "author_intra_density": f"""with {_PAST}, p as (select x.author_id, {_cosine('x.vec', 'y.vec')} as d from past x join past y on x.author_id = y.author_id and x.work < y.work),
+      s as (select author_id, count(*) as n, list_sort(list(round(d, 6))) as scores from p group by author_id) select m.doc_id, m.year, s.* from mine m join s on m.author_id = s.author_id""",
+    "author_inter_density": f"""with {_INTER}, s as (select author_a, author_b, count(*) as n, list_sort(list(round(d, 6))) as scores from p group by author_a, author_b)
+      select q.doc_id, q.year, s.* from pairs q join s on q.author_a = s.author_a and q.author_b = s.author_b""",
+    "reference_lists_pubmed": """with r as (select row_id, any_value(pmid) as pmid, any_value(refcitation) as c, any_value(refarticleid) as a from reference where pmid is not null group by row_id),
+      e as (select pmid, row_id, coalesce(regexp_matches(c, '^[^.]*[.].[0-9]{4}'), false) as known, try_cast(case when regexp_full_match(trim(a), '[0-9]+') then trim(a) end as bigint) as id from r)
+      select pmid as doc_id, round(sum(known::int) / cast(count(*) as double), 6) as share, coalesce(list(id order by row_id) filter (where id is not null), []) as refs_pmids from e group by pmid""",
+    "article_embeddings": " union all ".join(f"select doc_id, '{f}' as entity, vec from ({ORACLES[q]})" for f, q in (("title", "text_centroid"), ("abstract", "text_centroid_abstract"))),
+}

@@ -44,6 +44,17 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
+def broadcast_if_fits(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """A broadcast hint where the bytes of all rows, counted over a stored frame, are at most `limit`: of texts and arrays as they are, of others 16 each."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        own = F.octet_length(f.name) if kind == "string" else 8 * F.size(f.name) if kind == "array" else F.lit(0)
+        size = size + 16 + F.greatest(F.coalesce(own, F.lit(0)), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """`df` hashed by `keys` into spark.sql.shuffle.partitions parts, none of which AQE joins: for steps whose output is many times their input."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -238,6 +238,76 @@ def test_reference_novelty(spark):
     assert math.isnan(got[9].mean) and got[11].p100 == pytest.approx(0)
 
 
+def test_more_metrics_and_nan(spark):
+    a, b, z = [1.0, 2.0, 0.0, -2.0], [2.0, 0.0, 0.0, -2.0], [0.0] * 4
+    df = spark.createDataFrame([(a, b, z)], "a array<double>, b array<double>, z array<double>")
+    x, y = np.array(a), np.array(b)
+    cx, cy = x - x.mean(), y - y.mean()
+    want = {"minkowski": np.linalg.norm(x - y), "correlation": 1 - cx @ cy / np.linalg.norm(cx) / np.linalg.norm(cy), "canberra": 1 / 3 + 1, "braycurtis": 3 / abs(x + y).sum(), "hamming": 0.5, "jaccard": 2 / 3}
+    for name, value in want.items():
+        assert df.select(vectors.metric(name)(F.col("a"), F.col("b"))).first()[0] == pytest.approx(value), name
+    got = df.select(*[vectors.metric(n)(F.col("z"), F.col("z")).alias(n) for n in want]).first()
+    assert math.isnan(got.correlation) and math.isnan(got.braycurtis) and got.canberra == got.jaccard == got.hamming == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(values=st.lists(st.floats(-5, 5) | st.just(NAN), max_size=8))
+def test_distribution_of_an_array_is_that_of_rows(spark, values):
+    flat = spark.createDataFrame([(v,) for v in values], "d double").agg(*stats.distribution("d")).first().asDict()
+    one = stats.with_distribution(spark.createDataFrame([(values,)], "v array<double>"), "v").drop("v").first().asDict()
+    assert one["n"] == (flat["n"] or None)
+    for k in flat.keys() - {"n"}:
+        assert (one[k] is None and flat[k] is None) or (math.isnan(one[k]) and math.isnan(flat[k])) or one[k] == pytest.approx(flat[k], abs=1e-6), k
+
+
+def test_densities_are_the_cells_behind_the_scores(spark, items):
+    for r in cooccurrence.atypicality(items, 6, density=True).collect():
+        assert len(r.scores) == 3 and (math.isnan(r.novelty) or r.conventionality == pytest.approx(np.median(r.scores)))
+    one = spark.createDataFrame([(x, "c") for x in "ABC"], "item string, community string")
+    assert table(cooccurrence.crossing(items, 3, one, density=True), "doc_id", "scores") == {5: [0.0, 1.0, 1.0], 6: [0.0, 0.0, 0.0]}
+
+
+def test_entities(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "b"), (2, "b"), (3, "a"), (4, None), (5, "none"), (6, "c")], "doc_id long, who string")
+    lists = embedding.entity_documents(df, "who", "none")
+    assert table(lists, "who", "doc_list") == {"a": [3], "b": [1, 2], "c": [6]}
+    assert [r.who for r in embedding.entity_slice(lists, 1, 1).collect()] == ["b"] and embedding.entity_slice(lists, 2).count() == 1
+    assert reporting.entity_statistics(lists).first()[:] == (3, 4, pytest.approx(4 / 3)) and reporting.entity_statistics(lists.limit(0)).first()[0] == 0
+
+
+def test_keyword_cleaning(spark):
+    terms = spark.createDataFrame([(1, 0, "D1"), (1, 1, "D2"), (1, 2, "X"), (2, 0, None)], "doc_id long, pos int, descui string")
+    known = spark.createDataFrame([("D1", 1999, ["B05.051.300", "B05.051.4", "A1"]), ("D2", 2000, None)], "descui string, year int, tree_numbers array<string>")
+    got = cleaning.parse_keywords(terms, known)
+    assert rows(got, "doc_id", "pos", "year", "category", "known") == [(1, 0, 1999, ["A1", "B05.051"], True), (1, 1, 2000, None, True), (1, 2, None, None, False)]
+    assert table(cleaning.share_captured(got), "doc_id", "share") == {1: pytest.approx(2 / 3)}
+    refs = spark.createDataFrame([(1, 2, "J B. 2000;1", "7"), (1, 1, "J A. 1999;1", " 9 "), (1, 3, None, "x"), (2, 1, "no year", None)], "d long, o int, c string, a string")
+    assert rows(cleaning.pubmed_lists(refs, "d", "o", "c", "a"), "doc_id", "share", "refs_pmids") == [(1, pytest.approx(2 / 3), [9, 7]), (2, 0.0, [])]
+
+
+def test_any_embedder_and_large_vocabularies(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "red red blue", None), (2, None, "blue"), (3, "", "...")], "doc_id long, title string, abstract string")
+    got = embedding.article_embeddings(texts, ("title", "abstract"), lambda batch: [[len(t), 1] for t in batch], 2)
+    assert rows(got, "doc_id", "entity", "vec") == [(1, "title", [12.0, 1.0]), (2, "abstract", [4.0, 1.0]), (3, "abstract", [3.0, 1.0]), (3, "title", [0.0, 1.0])]
+    words = spark.createDataFrame([("red", [1.0, 0.0]), ("blue", [0.0, 3.0])], "word string, vec array<double>")
+    small = rows(embedding.article_embeddings(texts, ("title", "abstract"), words, 2), "doc_id", "entity", "vec")
+    assert small == [(1, "title", pytest.approx([2 / 3, 1])), (2, "abstract", [0, 3])]
+    monkeypatch.setattr(embedding, "broadcast_if_fits", lambda df: df)
+    assert rows(embedding.article_embeddings(texts, ("title", "abstract"), words, 2), "doc_id", "entity", "vec") == small
+
+
+def test_authors_with_equal_works(spark):
+    a = spark.createDataFrame([(9, 5, 0, 1), (9, 5, 1, 2), (9, 5, 2, 3)] + [(k, 4, p, x) for k in (1, 2, 3) for p, x in ((0, 1), (1, 2))] + [(4, 4, 0, 3), (5, 4, 0, 3)], "doc_id long, year int, pos int, author_id long")
+    v = spark.createDataFrame([(k, 4, [float(k), 1.0]) for k in range(1, 6)], "doc_id long, year int, vec array<double>")
+    full = {(r.author_a, r.author_b): r for r in embedding.author_inter(a, v, 5, 3, density=True).collect()}
+    once = {(r.author_a, r.author_b): r for r in embedding.author_inter(a, v, 5, 3, density=True, equal_once=True).collect()}
+    assert full[1, 2].n == 9 and once[1, 2].n == 3 and full[1, 3].n == once[1, 3].n == 6
+    assert once[1, 2].scores == pytest.approx(embedding.author_intra(a, v, 5, 3, density=True).filter("author_id = 1").first().scores)
+    own = lambda x, y: float(1 - np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+    again = {(r.author_a, r.author_b): r for r in embedding.author_inter(a, v, 5, 3, own, density=True, equal_once=True).collect()}
+    assert {k: pytest.approx(r.scores, abs=1e-9) for k, r in once.items()} == {k: r.scores for k, r in again.items()}
+
+
 def test_authors(spark):
     # document 100 of year 5: author 2 with works 11, 12, 13 and author 1 with 21 .. 24, of which 11 = 21 = 24 and 13 = 23
     auth = [(100, 5, 0, 2), (100, 5, 1, 1), (100, 5, 2, 7), (101, 5, 0, 1)] + [(k, 4, 0, 2) for k in (11, 12, 13)] + [(k, 3, 0, 1) for k in (21, 22, 23, 24)] + [(50, 1, 0, 7), (60, 5, 0, 2)]

@@ -233,6 +233,14 @@ def test_levels_follow_the_paper(spark):
     assert [(r, v) for r, _, v in got[".Name[].Language[].Country"]] == [(0, "us"), (2, None), (1, None), (1, "gb")]
 
 
+def test_entries_that_are_null_are_no_entries(spark):
+    docs = [(1, '{"m": [null, {"a": 1}, {}, "x", {"a": null}]}'), (2, '{"m": {"a": "y"}}'), (3, '{"k": [{"m": []}, {"m": [null]}]}'), (4, '{"m": null}')]
+    got = nested.entry_rows(spark.createDataFrame(docs, "rec long, payload string"), "rec", "payload", "m", {"a": "a"})
+    assert rows(got.na.fill("-"), "rec", "parent_no", "a") == [(1, 1, "1"), (1, 2, "-"), (1, 4, "-"), (2, 0, "y")]
+    levels = [[(r, d) for r, d, _ in nested.shred(json.loads(t))[".m[].a"]] for t in ('{"m": [null, {"a": 1}]}', '{"m": [{}, {"a": 1}]}')]
+    assert levels == [[(0, 2), (1, 5)], [(0, 3), (1, 5)]]
+
+
 def test_any_depth(spark):
     n = 20_000
     deep = '{"a":' * n + '{"disruptiveness": [{"DI1": 0.5}, {"DI1": 1e305}], "x": [1, "\\u00e9", -2.5e3, true, null, [], {}]}' + "}" * n
