@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.stats import distribution, with_distribution
+from citeloom.functions.stats import distribution
 from citeloom.functions.vectors import prepared
 from citeloom.runtime import broadcast_if_fits, spread, stored
 
@@ -120,7 +120,7 @@ def author_inter(
     """(doc_id, year, author_a, author_b, n, mean, sd, p100 .. p0[, scores]): distances of all past works of one author to all of another, a before b.
 
     All pairs count, also where both have the same works; with equal_once, such authors are compared as within one list, each pair of works once, and
-    a list of one work gives no row. Each pair of authors is computed once per year, in one row from the two lists of vectors. focal None scores all
+    a list of one work gives no row. Each pair of authors is computed once per year, from one row with the two lists of vectors. focal None scores all
     years in one job.
     """
     past = past_works(authorship, vectors, focal, window, ids)
@@ -131,20 +131,20 @@ def author_inter(
     bags = past.withColumn("vec", prepare(F.col("vec"))).groupBy("author_id", "year").agg(F.array_sort(F.collect_list(F.struct("work", "vec"))).alias("bag"))
     named = [bags.select("year", F.col("author_id").alias(f"author_{x}"), F.col("bag").alias(f"bag_{x}")) for x in "ab"]
     keys = ["year", "author_a", "author_b"]
-    each = pairs.select(*keys).distinct().join(named[0], ["year", "author_a"]).join(named[1], ["year", "author_b"])
-    if callable(distance):  # runs in batches of rows, so every two works are one
-        flat = each.select(*keys, F.posexplode("bag_a").alias("k", "x"), "bag_a", "bag_b").select(*keys, "k", "x", "bag_a", "bag_b", F.posexplode("bag_b").alias("l", "y"))
+    each = spread(pairs.select(*keys).distinct().join(named[0], ["year", "author_a"]).join(named[1], ["year", "author_b"]), *keys)
+    if callable(distance):  # called with columns of vectors, so every two works are a row
+        first = each.select(*keys, "bag_a", "bag_b", F.posexplode("bag_a").alias("k", "x"))
         if equal_once:
-            flat = flat.filter("bag_a.work <> bag_b.work or k < l")
-        each = flat.select(*keys, of(F.col("x.vec"), F.col("y.vec")).alias("d")).groupBy(*keys).agg(F.collect_list("d").alias("d"))
+            first = first.withColumn("bag_b", F.when(F.col("bag_a.work") == F.col("bag_b.work"), F.slice("bag_b", F.col("k") + 2, F.size("bag_b"))).otherwise(F.col("bag_b")))
+        flat = first.select(*keys, "x", F.explode("bag_b").alias("y")).select(*keys, of(F.col("x.vec"), F.col("y.vec")).alias("d"))
     else:
         every = F.flatten(F.transform("bag_a", lambda x: F.transform("bag_b", lambda y: of(x["vec"], y["vec"]))))
         if equal_once:
             rest = F.flatten(F.transform("bag_a", lambda x, k: F.transform(F.slice("bag_b", k + 2, F.size("bag_b")), lambda y: of(x["vec"], y["vec"]))))
             every = F.when(F.col("bag_a.work") == F.col("bag_b.work"), rest).otherwise(every)
-        each = each.select(*keys, every.alias("d"))
-    got = with_distribution(each.filter(F.size("d") > 0), "d")
-    got = got.withColumn("scores", F.array_sort("d")).drop("d") if density else got.drop("d")
+        flat = each.select(*keys, F.explode(every).alias("d"))
+    extra = [F.array_sort(F.collect_list("d")).alias("scores")] if density else []
+    got = flat.groupBy(*keys).agg(*distribution("d"), *extra)
     return pairs.join(got, keys)
 
 

@@ -250,16 +250,6 @@ def test_more_metrics_and_nan(spark):
     assert math.isnan(got.correlation) and math.isnan(got.braycurtis) and got.canberra == got.jaccard == got.hamming == 0
 
 
-@settings(max_examples=25, deadline=None)
-@given(values=st.lists(st.floats(-5, 5) | st.just(NAN), max_size=8))
-def test_distribution_of_an_array_is_that_of_rows(spark, values):
-    flat = spark.createDataFrame([(v,) for v in values], "d double").agg(*stats.distribution("d")).first().asDict()
-    one = stats.with_distribution(spark.createDataFrame([(values,)], "v array<double>"), "v").drop("v").first().asDict()
-    assert one["n"] == (flat["n"] or None)
-    for k in flat.keys() - {"n"}:
-        assert (one[k] is None and flat[k] is None) or (math.isnan(one[k]) and math.isnan(flat[k])) or one[k] == pytest.approx(flat[k], abs=1e-6), k
-
-
 def test_densities_are_the_cells_behind_the_scores(spark, items):
     for r in cooccurrence.atypicality(items, 6, density=True).collect():
         assert len(r.scores) == 3 and (math.isnan(r.novelty) or r.conventionality == pytest.approx(np.median(r.scores)))
