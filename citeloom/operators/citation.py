@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import ratio
+from citeloom.operators.ranking import ranked
 
 #: Works whose citers are counted by bits, at most, and citers from which a work is one of them.
 HUBS, HUB_CITERS = 14, 500
@@ -16,6 +17,13 @@ def reverse_index(citations: DataFrame) -> DataFrame:
     return citations.groupBy(F.col("cited").alias("doc_id")).agg(F.array_sort(F.collect_list("citing")).alias("cited_by"))
 
 
+def reverse_chunks(citations: DataFrame, size: int = 10_000) -> DataFrame:
+    """(doc_id, chunk_no, cited_by): reverse_index in rows of at most `size` citing documents, numbered from 0 in their order, so that no work is too
+    large for a row. citations must be distinct."""
+    placed = ranked(citations, ["cited"], ["citing"], "at").withColumn("chunk_no", ((F.col("at") - 1) / size).cast("int"))
+    return placed.groupBy(F.col("cited").alias("doc_id"), "chunk_no").agg(F.array_sort(F.collect_list("citing")).alias("cited_by"))
+
+
 def network(papers: DataFrame, citations: DataFrame) -> DataFrame:
     """(doc_id, year, refs, cited_by): one row per document, empty arrays where there is nothing."""
     refs = citations.groupBy(F.col("citing").alias("doc_id")).agg(F.array_sort(F.collect_list("cited")).alias("refs"))

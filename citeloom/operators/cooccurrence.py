@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.stats import NAN, negative_log, quantile
 from citeloom.model import MIN_ITEMS
 from citeloom.operators import pairs as P
-from citeloom.operators.ranking import ranked
+from citeloom.operators.ranking import ranked, ranked_by_hash
 from citeloom.runtime import broadcast_if_fits, cut, stored
 
 # ---- commonness: observed over expected
@@ -113,10 +113,10 @@ def shuffled_items(items: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     known = items.filter("item_year is not null")
     same = known.groupBy("doc_id", "year", "item", "item_year").agg(F.count("*").alias("m"))
     each = same.select("doc_id", "year", "item", "item_year", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("occ"))
-    slots = ranked(each, ["year", "item_year"], ["doc_id", "item", "occ"], "slot")
+    slots = stored(ranked(each, ["year", "item_year"], ["doc_id", "item", "occ"], "slot"))
     drawn = slots.select("year", "item_year", "item", "slot", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("k"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "k", "slot").cast("binary"))
-    drawn = ranked(drawn.withColumn("key", key), ["k", "year", "item_year"], ["key", "slot"], "place")
+    drawn = ranked_by_hash(drawn.withColumn("key", key), ["k", "year", "item_year"], "key", "slot", "place")
     places = slots.select("doc_id", "year", "item_year", "slot")
     return drawn.select("k", "year", "item_year", "item", F.col("place").alias("slot")).join(places, ["year", "item_year", "slot"]).select("k", "doc_id", "year", "slot", "item_year", "item")
 

@@ -226,6 +226,10 @@ def citation_reverse_index(spark, root):
     return citation.reverse_index(citations(spark, root))
 
 
+def citation_reverse_chunks(spark, root):
+    return citation.reverse_chunks(citations(spark, root), 100)
+
+
 def citation_network(spark, root):
     return citation.network(papers(spark, root), citations(spark, root))
 

@@ -241,6 +241,7 @@ _INTER = f"""{_PAST}, pairs as (select a.doc_id, a.year, a.author_id as author_a
   p as (select q.author_a, q.author_b, {_cosine('x.vec', 'y.vec')} as d from (select distinct author_a, author_b from pairs) q join past x on x.author_id = q.author_a join past y on y.author_id = q.author_b)"""
 
 ORACLES |= {
+    "citation_reverse_chunks": f"with {_NET}, r as (select cited, citing, (row_number() over (partition by cited order by citing) - 1) // 100 as c from edges) select cited as doc_id, cast(c as int) as chunk_no, list_sort(list(citing)) as cited_by from r group by all",
     "keyword_parse": f"with {_KEYWORDS} select * from parsed",
     "keyword_share_captured": f"with {_KEYWORDS} select doc_id, round(sum(known::int) / cast(count(*) as double), 6) as share from parsed group by doc_id",
     "restricted_items_by_year": f"""with {_ITEMS}, ahead as (select item, year + k as year from items, unnest(range(1, 4)) as t(k)), freq as (select year, item, count(*) as n from ahead group by all),

@@ -13,7 +13,7 @@ from citeloom import model
 from citeloom.functions import stats, vectors
 from citeloom.operators import citation, cleaning, cooccurrence, embedding, graph, keywords, reporting
 from citeloom.operators import pairs as P
-from citeloom.operators.ranking import ranked
+from citeloom.operators.ranking import ranked, ranked_by_hash
 from citeloom.sources import collections, sinks
 
 NAN, INF = float("nan"), float("inf")
@@ -187,6 +187,22 @@ def test_network(network):
     assert got[3] == ([1, 2], [4, 5, 6, 9]) and got[1] == ([], [3, 4, 5, 8]) and len(got) == 9
 
 
+def test_reverse_chunks(spark):
+    edges = spark.createDataFrame([(a, 1) for a in range(25, 0, -1)] + [(3, 2)], "citing long, cited long")
+    got = rows(citation.reverse_chunks(edges, 10), "doc_id", "chunk_no", "cited_by")
+    assert got == [(1, 0, [*range(1, 11)]), (1, 1, [*range(11, 21)]), (1, 2, [*range(21, 26)]), (2, 0, [3])]
+
+
+def test_ranks_by_hash(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("g"), F.md5(F.col("id").cast("string").cast("binary")).alias("key"), "id")
+    df = df.unionByName(df.filter("id < 50").withColumn("id", F.col("id") + 5000))
+    got = ranked_by_hash(df, ["g"], "key", "id", "place").collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r.key, r.id)):
+        by.setdefault(r.g, []).append(r.place)
+    assert len(by) == 3 and all(v == [*range(1, len(v) + 1)] for v in by.values())
+
+
 def test_citation_edges(spark):
     df = spark.createDataFrame([(1, [2, 2, 1, None]), (2, None), (3, [])], "id long, refs array<long>")
     assert rows(model.citations(df), "citing", "cited") == [(1, 2)]
