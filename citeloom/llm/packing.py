@@ -28,22 +28,28 @@ PLAN = "container long, slot int, key long, piece int, start long, n_tokens long
 _encoders: dict[tuple, object] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
-    """The tokenizer of a file of ranks, read once a process. Marks of special tokens in a text are ordinary text."""
-    if (vocabulary, pattern) not in _encoders:
+def vocabulary_bytes(path: str = VOCABULARY) -> bytes:
+    """The file of ranks, a few MB, which the driver reads and ships with the job: executors need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(ranks: bytes, pattern: str = PATTERN):
+    """The tokenizer of ranks as in a file, built once a process. Marks of special tokens in a text are ordinary text."""
+    if (ranks, pattern) not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[vocabulary, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[vocabulary, pattern]
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
+        _encoders[ranks, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return _encoders[ranks, pattern]
 
 
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(key, n_tokens) of every row with a text, in whole texts. Null texts give no row, the empty text 0 tokens."""
+    """(key, n_tokens) of every row with a text, in whole texts. Null texts give no row, the empty text 0 tokens. vocabulary: a file the driver can read."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encode = encoder(shared.value, pattern).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "n_tokens": [len(encode(t)) for t in pdf["text"]]})
 

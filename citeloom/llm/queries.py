@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import canonical, frequency, leaks, packing, stuffing, together
-from citeloom.runtime import broadcast_if_small, table
+from citeloom.runtime import broadcast_if_small, stored, table
 
 #: field_name -> (table, array column, value)
 FIELDS = {"journal": ("ref_journals", "cr_year_category", "journal"), "descui": ("mesh_terms", "mesh_year_category", "descui")}
@@ -81,7 +81,7 @@ def p6_terms(spark: SparkSession, root: str) -> DataFrame:
     """Every distinct value with its occurrences, its records and its mark."""
     made = []
     for field in FIELDS:
-        records = values_of(spark, root, field)
+        records = stored(values_of(spark, root, field))  # read for the counts and for their number
         counts = frequency.term_counts(records.select("id", F.explode("vals").alias("val")), "id", "val", grouped=True)
         made.append(frequency.marked(counts, records.agg(F.count("*"))).select(F.lit(field).alias("field_name"), F.col("term").alias("val"), "n_occurrences", "n_records", "mark"))
     return reduce(DataFrame.unionByName, made)
@@ -120,8 +120,8 @@ def p9_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_kept(spark: SparkSession, root: str) -> DataFrame:
-    """The documents that are left when the affected ones are removed."""
-    return leaks.without_leaks(table(spark, root, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id", _leaks(spark, root))
+    """The documents, with their texts, that are left when the affected ones are removed."""
+    return leaks.without_leaks(table(spark, root, "documents"), "doc_id", _leaks(spark, root))
 
 
 def p10_measures(spark: SparkSession, root: str) -> DataFrame:

@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.runtime import broadcast_if_small, cut
+from citeloom.runtime import broadcast_if_fits, stored
 
 #: Records of a block; items of the bit matrix at most (others count as rare: the result is the same); pairs held before they are summed.
 BLOCK, HEAVY, PAIRS = 32_768, 256, 4_000_000
+#: Tasks over which the pairs of one item are spread when counts are joined by item.
+SALTS = 16
 #: An item is frequent if it is in at least this share of the records.
 HEAVY_SHARE = 1 / 400
 
@@ -141,7 +143,8 @@ def pairs_together(records: DataFrame, min_records: int = 1, min_permille: int =
     with a bound of p thousandths there are at most 1000 / p times the mean record's length others, which bounds what is sent to all tasks.
     """
     spark = records.sparkSession
-    counts = cut(item_counts(records))
+    records = stored(records.select("items").filter(F.size("items") > 0))  # read for the counts and for the pairs
+    counts = stored(item_counts(records))
     total = counts.filter("item is null").select("n_records").first()
     n = total[0] if total else 0
     counts = counts.filter("item is not null")
@@ -149,7 +152,6 @@ def pairs_together(records: DataFrame, min_records: int = 1, min_permille: int =
     frequent = counts.filter(F.col("n_records") >= need)
     heavy = [r[0] for r in frequent.filter(F.col("n_records") >= max(2, n * HEAVY_SHARE)).orderBy(F.desc("n_records"), "item").limit(HEAVY).collect()]
     keep = None
-    rows = 1 << 62
     if min_permille > 0:
         rows = frequent.count()
         if rows <= 200_000:
@@ -157,9 +159,13 @@ def pairs_together(records: DataFrame, min_records: int = 1, min_permille: int =
     shared = spark.sparkContext.broadcast((heavy, keep))
     made = records.select("items").filter(F.size("items") > 1).mapInArrow(lambda b: _blocks(b, *shared.value), "item_a string, item_b string, n long")
     both = made.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_both")).filter(F.col("n_both") >= need)
-    small = broadcast_if_small(frequent, rows)
-    out = both.join(small.select(F.col("item").alias("item_a"), F.col("n_records").alias("n_a")), "item_a").join(
-        small.select(F.col("item").alias("item_b"), F.col("n_records").alias("n_b")), "item_b"
+    small = broadcast_if_fits(frequent)
+    if small is frequent:  # an item in pairs with all others is spread over `SALTS` tasks
+        both = both.withColumn("salt", F.pmod(F.xxhash64("item_a", "item_b"), F.lit(SALTS)).cast("int"))
+        small = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = [c for c in small.columns if c == "salt"]
+    out = both.join(small.select(F.col("item").alias("item_a"), F.col("n_records").alias("n_a"), *salt), ["item_a", *salt]).join(
+        small.select(F.col("item").alias("item_b"), F.col("n_records").alias("n_b"), *salt), ["item_b", *salt]
     )
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     out = out.filter(wide("n_both") * n >= wide("n_a") * F.col("n_b") * min_lift)

@@ -80,7 +80,7 @@ def test_pack_edges(spark):
 def test_token_counts(spark):
     texts = [(1, "a plain text"), (2, ""), (3, None), (None, "x"), (4, "<|endoftext|> " * 2000), (5, "ü" * 30_000)]
     got = {r.key: r.n_tokens for r in packing.token_counts(spark.createDataFrame(texts, "id long, t string"), "id", "t").collect()}
-    encode = packing.encoder().encode_ordinary
+    encode = packing.encoder(packing.vocabulary_bytes()).encode_ordinary
     assert got == {k: len(encode(t)) for k, t in texts if k is not None and t is not None}
     assert got[2] == 0
 
@@ -236,4 +236,52 @@ def test_pages(spark):
 
 @pytest.mark.parametrize("name", ["p1_found", "p1_values", "p1_candidates", "p1_unmatched", "p8_plan", "p8_fill", "p9_found", "p9_items", "p9_kept", "p10_found", "p10_measures"])
 def test_queries_run(spark, root, name):
-    queries.queries()[name](spark, root).collect()
+    df = queries.queries()[name](spark, root)
+    got = [tuple(map(str, r)) for r in df.collect()]
+    keys = {"p8_plan": ["container", "slot"], "p8_fill": ["container"], "p9_items": ["item_id"], "p9_kept": ["doc_id"], "p10_found": ["doc_id"], "p10_measures": ["doc_id"], "p1_found": ["id", "pos"], "p1_values": ["value"], "p1_unmatched": ["value"]}
+    places = [df.columns.index(c) for c in keys.get(name, df.columns)]
+    assert got and len({tuple(r[k] for k in places) for r in got}) == len(got)
+
+
+def test_p8_against_the_texts(spark, root):
+    encode = packing.encoder(packing.vocabulary_bytes()).encode_ordinary
+    sizes = {r.doc_id: len(encode(r.text)) for r in spark.read.parquet(f"{root}/documents.parquet").filter("text is not null").collect()}
+    plan = queries.p8_plan(spark, root).collect()
+    got, load, pieces = Counter(), Counter(), Counter()
+    for r in plan:
+        got[r.doc_id] += r.n_tokens
+        load[r.container] += r.n_tokens
+        pieces[r.doc_id] += 1
+    assert dict(got) == sizes and max(load.values()) <= queries.CAPACITY
+    assert all(n == max(1, -(-sizes[d] // queries.CAPACITY)) for d, n in pieces.items())
+
+
+def test_p9_against_every_document(spark, root):
+    """Verbatim runs of 20 words by plain sets; every altered copy that comes out is within the edit rule by the plain table."""
+    items = {r.item_id: text.words(r.text) for r in spark.read.parquet(f"{root}/eval_items.parquet").collect()}
+    docs = {r.doc_id: text.words(r.text) for r in spark.read.parquet(f"{root}/documents.parquet").filter("text is not null").collect()}
+    runs = {}
+    for k, w in items.items():
+        for s in range(len(w) - 19):
+            runs.setdefault(tuple(w[s : s + 20]), set()).add(k)
+    whole = {(d, k) for d, w in docs.items() for s in range(len(w) - 19) for k in runs.get(tuple(w[s : s + 20]), ())}
+    got = {tuple(r) for r in queries.p9_found(spark, root).collect()}
+    assert whole <= got
+    for d, k in got - whole:
+        assert len({*zip(items[k], items[k][1:])} & {*zip(docs[d], docs[d][1:])}) >= 11
+
+
+def test_p1_against_the_plain_table(spark, root):
+    """Every typed value that is mapped is as near to a form of its journal as the walk says, and none is nearer to another's title."""
+    from citeloom.llm import canonical
+
+    listed = queries._listed(spark, root)
+    titles = {j: {canonical.normal(t), canonical.normal(s)} for j, s, t in listed}
+    by_form = {}
+    for j, forms in titles.items():
+        for f in forms:
+            by_form.setdefault(f, set()).add(j)
+    for r in queries.p1_values(spark, root).collect():
+        exact = by_form.get(canonical.normal(r.value), set())
+        if len(exact) == 1:
+            assert (r.jcr_id, r.distance) == (next(iter(exact)), 0)

@@ -144,6 +144,13 @@ def test_pairs_in_small_parts(spark, monkeypatch):
     assert strict == {(x, y) for (x, y), k in brute_pairs(lists).items() if k >= 6 and k * 300 >= 2 * single[x] * single[y]}
 
 
+def test_counts_too_large_to_send(spark, monkeypatch):
+    records = spark.createDataFrame([(["a", "b", "hot"],), (["b", "hot"],), (["c", "hot"],)], "items array<string>")
+    want = sorted(map(tuple, together.pairs_together(records).collect()))
+    monkeypatch.setattr(together, "broadcast_if_fits", lambda df: df)
+    assert sorted(map(tuple, together.pairs_together(records).collect())) == want and len(want) == 4
+
+
 def test_pairs_of_nothing(spark):
     empty = spark.createDataFrame([], "items array<string>")
     assert together.pairs_together(empty).count() == 0
