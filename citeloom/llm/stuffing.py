@@ -13,7 +13,7 @@ import gc
 import re
 from collections import Counter
 from collections.abc import Iterator, Set
-from itertools import compress
+from itertools import chain, compress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -199,17 +199,24 @@ def repeat_coverage(parts: list[list[str]]) -> bytearray:
     return repeated
 
 
-def keyword_coverage(parts: list[list[str]]) -> bytearray:
-    """For each word of a page in segments: whether a keyword covers it."""
+def keyword_coverage(parts: list[list[str]]) -> bytearray | None:
+    """For each word of a page in segments: whether a keyword covers it. None if the page has no keyword."""
+    times = Counter(chain.from_iterable(parts))
+    if not any(n >= KEYWORD_TIMES and t not in FUNCTION_WORDS and not t.isdigit() for t, n in times.items()):
+        return None  # a keyword holds a content word, which is then as frequent
     codes, number = _codes(parts)
-    keyed = bytearray(len(codes))
+    content = [t not in FUNCTION_WORDS and not t.isdigit() for t in number]
     runs, starts = repeated_runs(codes, Counter(codes), KEYWORD_TIMES)
-    if runs:
-        am = Automaton(runs)
-        content = [t not in FUNCTION_WORDS and not t.isdigit() for t in number]
-        size_of = keywords(parts, codes, content, runs, starts, am)
-        if size_of:
-            _mark(keyed, runs, starts, am, size_of)
+    kept = [k for k, run in enumerate(runs) if any(content[c] for c in run)]  # no keyword is, nor occurs, in the others
+    if not kept:
+        return None
+    runs, starts = [runs[k] for k in kept], [starts[k] for k in kept]
+    am = Automaton(runs)
+    size_of = keywords(parts, codes, content, runs, starts, am)
+    if not any(size_of):
+        return None
+    keyed = bytearray(len(codes))
+    _mark(keyed, runs, starts, am, size_of)
     return keyed
 
 
@@ -269,17 +276,16 @@ def measures(text: str) -> tuple[int, float, float, float]:
     if 2 * sum(n for n, c in zip(by_part, clauses) if not c) > total:
         clauses = [a or b for a, b in zip(clauses, sentences(text, parts))]
     keyed = keyword_coverage(parts)
-    has_keywords = 1 in keyed
     bare = stuffed = at = 0
     for p, size, clause in zip(parts, by_part, clauses):
         end = at + len(p)
         if not clause:
             bare += size
             stuffed += size
-        elif has_keywords and sum(compress(sizes[at:end], keyed[at:end])) >= COVERED * size:
+        elif keyed and sum(compress(sizes[at:end], keyed[at:end])) >= COVERED * size:
             stuffed += size
         at = end
-    return total, sum(compress(sizes, keyed)) / total, bare / total, stuffed / total
+    return total, sum(compress(sizes, keyed)) / total if keyed else 0.0, bare / total, stuffed / total
 
 
 def repeated_share(text: str) -> float:
