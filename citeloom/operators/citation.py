@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import ratio
 from citeloom.operators.ranking import ranked
+from citeloom.runtime import stored
 
 #: Works whose citers are counted by bits, at most, and citers from which a work is one of them.
-HUBS, HUB_CITERS = 14, 500
+HUBS, HUB_CITERS = 18, 500
 
 
 def reverse_index(citations: DataFrame) -> DataFrame:
@@ -32,16 +35,14 @@ def network(papers: DataFrame, citations: DataFrame) -> DataFrame:
     return got.select("doc_id", "year", F.coalesce("refs", none).alias("refs"), F.coalesce("cited_by", none).alias("cited_by"))
 
 
-def union_sizes(counts: dict[int, int], bits: int) -> list[int]:
+def union_sizes(counts: dict[int, int], bits: int) -> np.ndarray:
     """For every mask of `bits` bits, how many of the counted masks share a bit with it."""
-    total, none = sum(counts.values()), [0] * (1 << bits)
-    for mask, n in counts.items():
-        none[mask] += n
-    for b in range(bits):  # none[m] becomes the number of masks within m
-        for m in range(1 << bits):
-            if m >> b & 1:
-                none[m] += none[m ^ 1 << b]
-    return [total - none[(1 << bits) - 1 ^ m] for m in range(1 << bits)]
+    within = np.zeros(1 << bits, np.int64)
+    within[list(counts)] = list(counts.values())
+    for b in range(bits):  # becomes the number of masks within each mask
+        halves = within.reshape(-1, 2, 1 << b)
+        halves[:, 1] += halves[:, 0]
+    return sum(counts.values()) - within[::-1]  # the complement of a mask lies at its place from the end
 
 
 def disruption_counts(papers: DataFrame, citations: DataFrame, focal: int, hub_citers: int = HUB_CITERS) -> DataFrame:
@@ -55,6 +56,7 @@ def disruption_counts(papers: DataFrame, citations: DataFrame, focal: int, hub_c
     are counted by the bits they cite (2 ** HUBS numbers), and only citers of the other references are joined, without those counted already.
     """
     spark = citations.sparkSession
+    citations, papers = stored(citations), stored(papers)  # read by many joins below
     degree = citations.groupBy("cited").agg(F.count("*").alias("n")).filter(F.col("n") >= hub_citers)
     hubs = [r[0] for r in degree.orderBy(F.desc("n"), "cited").limit(HUBS).select("cited").collect()]
     bit = F.lit(0)
@@ -84,7 +86,7 @@ def disruption_counts(papers: DataFrame, citations: DataFrame, focal: int, hub_c
         own = masks.withColumnRenamed("c", "f").withColumnRenamed("mask", "own")
         hop = hop.join(masks, "c", "left").join(own, "f", "left").filter((F.coalesce("mask", F.lit(0)).bitwiseAND(F.coalesce("own", F.lit(0)))) == 0)
         counts = {r[0]: r[1] for r in masks.join(late, "c", "left_semi").groupBy("mask").agg(F.count("*")).collect()}  # at most 2 ** HUBS rows
-        sizes = spark.createDataFrame(list(enumerate(union_sizes(counts, len(hubs)))), "own int, n_hub long")
+        sizes = spark.createDataFrame(pd.DataFrame({"own": np.arange(1 << len(hubs), dtype=np.int32), "n_hub": union_sizes(counts, len(hubs))}))
         of_hubs = f.join(own, "f").join(F.broadcast(sizes), "own").select("f", (F.col("n_hub") - 1).alias("n_hub"))  # without the document itself
     else:
         of_hubs = f.select("f", F.lit(0).alias("n_hub"))

@@ -35,7 +35,7 @@ def commonness_pairs(cooc: DataFrame, margin: DataFrame | None = None, total: Da
 
 def commonness(items: DataFrame, min_items: int = MIN_ITEMS, density: bool = False) -> DataFrame:
     """(doc_id, year, novelty[, scores]): -ln of the 10 % quantile of the document's pair scores, for every year at once."""
-    bags = stored(P.item_bags(P.item_counts(items)))  # read for pairs, marginals and weights
+    bags = stored(P.item_bags(P.numbered(P.item_counts(items))))  # read for pairs, marginals and weights
     pairs = P.doc_pairs(None, bags=bags)
     aggs = [quantile("s", 0.1, "n").alias("q")] + ([P.score_array().alias("scores")] if density else [])
     scores = commonness_pairs(P.cooccurrence(pairs), P.marginals(None, bags), P.yearly_weight(None, bags))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.ranking import ranked
-from citeloom.runtime import spread
+from citeloom.runtime import broadcast_if_fits, spread, stored
 
 
 def item_counts(items: DataFrame) -> DataFrame:
@@ -14,6 +14,14 @@ def item_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "year", "item").agg(F.count("*").alias("n"))
 
 
+def numbered(counts: DataFrame) -> DataFrame:
+    """item_counts with a number in place of each item, for scores that don't show their items: pairs of numbers are a fraction of the bytes of pairs of
+    texts, and pairs are by far the most rows. The numbers are stored, so they are the same wherever they are read."""
+    counts = stored(counts)
+    names = stored(counts.select("item").distinct().withColumn("_number", F.monotonically_increasing_id()))
+    return counts.join(broadcast_if_fits(names), "item").select("doc_id", "year", F.col("_number").alias("item"), "n")
+
+
 def item_bags(counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """([extra,] doc_id, year, bag, size): a document's items in order with their multiplicities, and its item occurrences."""
     keys = [*extra, "doc_id", "year"]
