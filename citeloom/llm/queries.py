@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +63,15 @@ def p1_unmatched(spark: SparkSession, root: str) -> DataFrame:
     return p1_values(spark, root).filter("jcr_id = -1").select("value", "tied", "n_entries")
 
 
+def by_field(spark: SparkSession, one: Callable[[str], DataFrame]) -> DataFrame:
+    """The union of what `one` gives for each field; the jobs that it runs for the fields run side by side."""
+    with ThreadPoolExecutor(len(FIELDS)) as pool:
+        made = [pool.submit(inheritable_thread_target(spark)(one), field) for field in FIELDS]
+        return reduce(DataFrame.unionByName, [m.result().select(F.lit(field).alias("field_name"), "*") for field, m in zip(FIELDS, made)])
+
+
 def _pairs(spark: SparkSession, root: str, **bounds) -> DataFrame:
-    made = []
-    for field in FIELDS:
-        records = values_of(spark, root, field).select(F.array_distinct("vals").alias("items"))
-        made.append(together.pairs_together(records, **bounds).select(F.lit(field).alias("field_name"), "*"))
-    return reduce(DataFrame.unionByName, made)
+    return by_field(spark, lambda field: together.pairs_together(values_of(spark, root, field).select(F.array_distinct("vals").alias("items")), **bounds))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -79,12 +85,13 @@ def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_terms(spark: SparkSession, root: str) -> DataFrame:
     """Every distinct value with its occurrences, its records and its mark."""
-    made = []
-    for field in FIELDS:
+
+    def one(field: str) -> DataFrame:
         records = stored(values_of(spark, root, field))  # read for the counts and for their number
         counts = frequency.term_counts(records.select("id", F.explode("vals").alias("val")), "id", "val", grouped=True)
-        made.append(frequency.marked(counts, records.agg(F.count("*"))).select(F.lit(field).alias("field_name"), F.col("term").alias("val"), "n_occurrences", "n_records", "mark"))
-    return reduce(DataFrame.unionByName, made)
+        return frequency.marked(counts, records.agg(F.count("*"))).select(F.col("term").alias("val"), "n_occurrences", "n_records", "mark")
+
+    return by_field(spark, one)
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

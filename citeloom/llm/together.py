@@ -20,6 +20,8 @@ from citeloom.runtime import broadcast_if_fits, stored
 
 #: Records of a block; items of the bit matrix at most (others count as rare: the result is the same); pairs held before they are summed.
 BLOCK, HEAVY, PAIRS = 32_768, 256, 4_000_000
+#: Items that are sent to all tasks so that no pair of others is formed. With more, the same pairs come out of a larger shuffle.
+KEPT = 200_000
 #: Tasks over which the pairs of one item are spread when counts are joined by item.
 SALTS = 16
 #: An item is frequent if it is in at least this share of the records.
@@ -150,16 +152,15 @@ def pairs_together(records: DataFrame, min_records: int = 1, min_permille: int =
     counts = counts.filter("item is not null")
     need = max(min_records, -(-min_permille * n // 1000))
     frequent = counts.filter(F.col("n_records") >= need)
-    heavy = [r[0] for r in frequent.filter(F.col("n_records") >= max(2, n * HEAVY_SHARE)).orderBy(F.desc("n_records"), "item").limit(HEAVY).collect()]
-    keep = None
-    if min_permille > 0:
-        rows = frequent.count()
-        if rows <= 200_000:
-            keep = pa.array([r[0] for r in frequent.select("item").collect()], pa.string())
+    # with a bound in thousandths all of them are few and come at once, the most frequent first; else only those that may be in the matrix
+    some = frequent.orderBy(F.desc("n_records"), "item").limit(KEPT + 1 if min_permille > 0 else HEAVY).collect()
+    heavy = [r[0] for r in some[:HEAVY] if r[1] >= max(2, n * HEAVY_SHARE)]
+    keep = pa.array([r[0] for r in some], pa.string()) if min_permille > 0 and len(some) <= KEPT else None
     shared = spark.sparkContext.broadcast((heavy, keep))
     made = records.select("items").filter(F.size("items") > 1).mapInArrow(lambda b: _blocks(b, *shared.value), "item_a string, item_b string, n long")
     both = made.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_both")).filter(F.col("n_both") >= need)
-    small = broadcast_if_fits(frequent)
+    sent = keep is not None and 16 * len(keep) + keep.nbytes < 32 << 20
+    small = F.broadcast(frequent) if sent else broadcast_if_fits(frequent)
     if small is frequent:  # an item in pairs with all others is spread over `SALTS` tasks
         both = both.withColumn("salt", F.pmod(F.xxhash64("item_a", "item_b"), F.lit(SALTS)).cast("int"))
         small = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
