@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from citeloom.operators.ranking import ranked
 from citeloom.runtime import cut, stored
 
-#: Edges that one task may hold (some 200 MB); more are kept as a table. The result is the same on either side.
-ONE_TASK_EDGES = 2_000_000
+#: Edges that one task may hold (some 400 MB, 18 s); more are kept as a table. The result is the same on either side.
+ONE_TASK_EDGES = 1_000_000
 #: Nodes move in so many turns; after so many turns without a better partition a level has settled; bits of a node's number that turns look at.
 TURNS, PATIENCE, BITS = 4, 8, 20
 

@@ -75,4 +75,7 @@ def widen(df: DataFrame, key: str) -> DataFrame:
         return df
     conf = spark._jsparkSession.sessionState().conf()
     part = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
-    return df.repartition(cores, key) if int(str(plan.stats().sizeInBytes())) < cores * part else df
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < cores * part:  # then the files are few enough to count; each costs as much as a part to open
+        size += part * len(plan.relation().location().inputFiles())
+    return df.repartition(cores, key) if size < cores * part else df
