@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.runtime import stored
+
 
 def _state(df: DataFrame, keys: list[str], sums: dict[str, Column], extremes: dict[str, Column], weight: Column | None, side: str) -> DataFrame:
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
@@ -58,7 +60,8 @@ def eager_join_aggregate(
 
 
 def heavy_keys(per_key: DataFrame, key: str, weight: str, share: float) -> DataFrame:
-    """Rows of a per-key result whose weight is at least `share` of the weight of all keys (share as a fraction, compared exactly in parts per million)."""
+    """(key, weight) of a per-key result whose weight is at least `share` of the weight of all keys (share as a fraction, compared exactly in parts per million)."""
+    per_key = stored(per_key.select(key, weight))  # read for the total and for the keys
     total = per_key.agg(F.sum(weight).alias("t"))
     ppm = round(share * 1_000_000)
     return per_key.filter(F.col(weight).cast("decimal(38,0)") * 1_000_000 >= total.scalar().cast("decimal(30,0)") * ppm)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.operators import nested, orphans, packed, skew
-from citeloom.runtime import table
+from citeloom.runtime import side_by_side, stored, table
 
 
 def _references(spark: SparkSession, root: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _entries(spark: SparkSession, root: str) -> DataFrame:
 
 def _cited_and_years(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(id, citing) of every element of cited_by, and (citing, citing_year) of every known record."""
-    chunks = _chunks(spark, root)
+    chunks = stored(_chunks(spark, root))  # read for either side of the join
     years = chunks.groupBy("id").agg(F.min("year").alias("citing_year")).withColumnRenamed("id", "citing")
     return chunks.select("id", F.explode("cited_by").alias("citing")), years
 
@@ -70,10 +70,16 @@ def p4_journals(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Keys holding at least 2 % of all rows, from the rolled-up counts of the same joins as in p4_articles and p4_journals."""
-    cited = skew.eager_join_aggregate(*_cited_and_years(spark, root), on=["citing"], by=["id"], how="left")
-    by_article = skew.heavy_keys(cited, "id", "n_rows", 0.02).select(F.lit("cited_by").alias("field_name"), F.col("id").cast("string").alias("key_val"))
-    by_journal = skew.heavy_keys(p4_journals(spark, root), "journal", "n_entries", 0.02).select(F.lit("journal").alias("field_name"), F.col("journal").alias("key_val"))
-    return by_article.unionByName(by_journal)
+
+    def by_article() -> DataFrame:
+        cited = skew.eager_join_aggregate(*_cited_and_years(spark, root), on=["citing"], by=["id"], how="left")
+        return skew.heavy_keys(cited, "id", "n_rows", 0.02).select(F.lit("cited_by").alias("field_name"), F.col("id").cast("string").alias("key_val"))
+
+    def by_journal() -> DataFrame:
+        return skew.heavy_keys(p4_journals(spark, root), "journal", "n_entries", 0.02).select(F.lit("journal").alias("field_name"), F.col("journal").alias("key_val"))
+
+    articles, journals = side_by_side(spark, by_article, by_journal)
+    return articles.unionByName(journals)
 
 
 def p5_values(spark: SparkSession, root: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def side_by_side(spark: SparkSession, *functions: Callable[[], DataFrame]) -> list[DataFrame]:
+    """What the functions give, in their order; the jobs that they run meanwhile share the cluster instead of waiting for each other."""
+    with ThreadPoolExecutor(max(1, len(functions))) as pool:
+        return [made.result() for made in [pool.submit(inheritable_thread_target(spark)(f)) for f in functions]]
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """A broadcast hint where the proven number of rows is at most `limit`; otherwise the plain frame, to be shuffled."""
     return F.broadcast(df) if rows <= limit else df
