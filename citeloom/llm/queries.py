@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import canonical, frequency, leaks, packing, stuffing, together
-from citeloom.runtime import broadcast_if_small, stored, table
+from citeloom.runtime import broadcast_if_small, side_by_side, stored, table
 
 #: field_name -> (table, array column, value)
 FIELDS = {"journal": ("ref_journals", "cr_year_category", "journal"), "descui": ("mesh_terms", "mesh_year_category", "descui")}
@@ -65,9 +63,8 @@ def p1_unmatched(spark: SparkSession, root: str) -> DataFrame:
 
 def by_field(spark: SparkSession, one: Callable[[str], DataFrame]) -> DataFrame:
     """The union of what `one` gives for each field; the jobs that it runs for the fields run side by side."""
-    with ThreadPoolExecutor(len(FIELDS)) as pool:
-        made = [pool.submit(inheritable_thread_target(spark)(one), field) for field in FIELDS]
-        return reduce(DataFrame.unionByName, [m.result().select(F.lit(field).alias("field_name"), "*") for field, m in zip(FIELDS, made)])
+    made = side_by_side(spark, *[partial(one, field) for field in FIELDS])
+    return reduce(DataFrame.unionByName, [m.select(F.lit(field).alias("field_name"), "*") for field, m in zip(FIELDS, made)])
 
 
 def _pairs(spark: SparkSession, root: str, **bounds) -> DataFrame:
