@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm import canonical, frequency, leaks, packing, stuffing, together
-from citeloom.runtime import broadcast_if_small, side_by_side, stored, table
+from citeloom.runtime import broadcast_if_fits, broadcast_if_small, side_by_side, stored, table
 
 #: field_name -> (table, array column, value)
 FIELDS = {"journal": ("ref_journals", "cr_year_category", "journal"), "descui": ("mesh_terms", "mesh_year_category", "descui")}
@@ -38,9 +38,9 @@ def _listed(spark: SparkSession, root: str) -> list[tuple[int, str, str]]:
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     listed = _listed(spark, root)
-    stored = table(spark, root, "wos_jcr").select(F.col("title20").alias("value"))
-    typed = _entries(spark, root).join(broadcast_if_small(stored, len(listed)), "value", "left_anti")
-    found = canonical.canonical_values(typed, "value", listed)
+    as_listed = table(spark, root, "wos_jcr").select(F.col("title20").alias("value"))
+    typed = stored(_entries(spark, root).join(broadcast_if_small(as_listed, len(listed)), "value", "left_anti"))  # read for the values and for their places
+    found = broadcast_if_fits(stored(canonical.canonical_values(typed, "value", listed)))
     return typed.join(found, "value").select("id", "pos", F.col("entry").alias("jcr_id"))
 
 
