@@ -85,12 +85,13 @@ def reuse_novelty(
 
     Frequent are items at or above the given percentile of occurrences in the three years before; pairs of others don't count.
     """
-    counts = P.item_counts(items)
+    counts = P.numbered(P.item_counts(items))
     pairs = P.doc_pairs(counts, weighted=False)
     # read by four windows below, so it is written once instead of formed four times
     cooc = cut(P.cooccurrence(pairs.filter(F.col("year") <= focal + window)))
-    frequent = P.restricted_items(P.item_frequency(items, focal - 3, focal), percentile)
-    documents = P.scored_documents(items.filter(F.col("year") == focal), min_items)
+    frequency = counts.filter(F.col("year").between(focal - 3, focal - 1)).groupBy("item").agg(F.sum("n").alias("n"))
+    frequent = P.restricted_items(frequency, percentile)
+    documents = counts.filter(F.col("year") == focal).groupBy("doc_id", "year").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= min_items).select("doc_id", "year")
     scores = difficulty_pairs(cooc, focal, window, times, start, orthogonal_as_zero)
     for end in ("i", "j"):
         scores = scores.join(frequent.select(F.col("item").alias(end)), end, "left_semi")

@@ -98,11 +98,6 @@ def restricted_items_by_year(items: DataFrame, percentile: float = 50, back: int
     return frequency.join(F.broadcast(limit), "year").filter(F.col("n") >= F.col("p")).select("year", "item")  # one row per year
 
 
-def scored_documents(items: DataFrame, min_items: int) -> DataFrame:
-    """(doc_id, year) of documents with enough item occurrences."""
-    return items.groupBy("doc_id", "year").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_items).select("doc_id", "year")
-
-
 def document_scores(pairs: DataFrame, scores: DataFrame, min_items: int, aggregates: list[Column], by_year: bool = True) -> DataFrame:
     """Joins the pairs of every document of `min_items` or more item occurrences to their scores (0 where there is none) and aggregates per document.
 
