@@ -112,22 +112,20 @@ class Automaton:
         self.times = times
 
 
-def repeated_runs(codes: list[int], times: Counter, least: int = 2) -> tuple[list[list[int]], list[int]]:
-    """The runs between which no run of words that occurs `least` times reaches, and where each begins.
+def repeated_runs(codes: list[int], times: Counter) -> tuple[list[list[int]], list[int]]:
+    """The runs between which no repeated run of words reaches, and where each begins.
 
-    A word that occurs less often is in none, and two neighbours that occur as such less often are not in one together;
-    so the automaton of these runs has all runs of the page that occur so often.
+    A word that occurs once is in no repeated run, and two neighbours that occur as such once are not in one together;
+    so the automaton of these runs has all repeated runs of the page.
     """
     many = len(codes)
-    if max(times.values(), default=0) < least:
-        return [], []
     pairs = Counter([a * many + b for a, b in zip(codes, codes[1:])])
     runs, starts, run, before = [], [], [], -1
     for k, c in enumerate(codes):
-        if times[c] < least:
+        if times[c] < 2:
             before = -1
             continue
-        if before < 0 or pairs[before * many + c] < least:
+        if before < 0 or pairs[before * many + c] < 2:
             run = []
             runs.append(run)
             starts.append(k)
@@ -136,6 +134,20 @@ def repeated_runs(codes: list[int], times: Counter, least: int = 2) -> tuple[lis
     return runs, starts
 
 
+def frequent_runs(codes: list[int | None], pairs: Counter, many: int) -> tuple[list[list[int]], list[int]]:
+    """`repeated_runs` for KEYWORD_TIMES, of codes below `many` in which rarer words are None, and the counts of neighbours as a * many + b."""
+    runs, starts, run, before = [], [], [], None
+    for k, c in enumerate(codes):
+        if c is not None:
+            if before is None or pairs[before * many + c] < KEYWORD_TIMES:
+                run = []
+                runs.append(run)
+                starts.append(k)
+            run.append(c)
+        before = c
+    return runs, starts
+
+
 def _mark(covered: bytearray, runs: list[list[int]], starts: list[int], am: Automaton, size_of: list[int]) -> None:
     """Marks for every place the longest suffix run with a size."""
     for start, ends in zip(starts, am.ends):
@@ -201,12 +213,18 @@ def repeat_coverage(parts: list[list[str]]) -> bytearray:
 
 def keyword_coverage(parts: list[list[str]]) -> bytearray | None:
     """For each word of a page in segments: whether a keyword covers it. None if the page has no keyword."""
-    times = Counter(chain.from_iterable(parts))
-    if not any(n >= KEYWORD_TIMES and t not in FUNCTION_WORDS and not t.isdigit() for t, n in times.items()):
-        return None  # a keyword holds a content word, which is then as frequent
-    codes, number = _codes(parts)
+    tokens = list(chain.from_iterable(parts))
+    number: dict[str, int] = {}
+    for t, n in Counter(tokens).items():
+        if n >= KEYWORD_TIMES:
+            number[t] = len(number)
     content = [t not in FUNCTION_WORDS and not t.isdigit() for t in number]
-    runs, starts = repeated_runs(codes, Counter(codes), KEYWORD_TIMES)
+    if not any(content):
+        return None  # a keyword holds a content word, which is then as frequent
+    codes = list(map(number.get, tokens))  # None for all other words
+    many = len(number)
+    pairs = Counter([a * many + b for a, b in zip(codes, codes[1:]) if a is not None and b is not None])
+    runs, starts = frequent_runs(codes, pairs, many)
     kept = [k for k, run in enumerate(runs) if any(content[c] for c in run)]  # no keyword is, nor occurs, in the others
     if not kept:
         return None
