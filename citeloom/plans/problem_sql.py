@@ -96,3 +96,20 @@ ORACLES |= {
     "p7_categories": f"{_P7} select rec_id, pos1 as entry_no, pos2 as category_no, item as category from codes where item is not null",
     "p7_di1": f"{_P7} select rec_id, pos1 as output_no, x as di1 from outs where x is not null and not isnan(x)",
 }
+
+# every value, also of fields that hold one: what separates nothing is hidden first, as these patterns can't look ahead
+_SPAN = '"[^"]*(?:""[^"]*)*"'
+
+P5_VALUES = rf"""
+with one as (select row_id, any_value(refcitation) as t from reference where refcitation is not null group by row_id),
+  marked as (select row_id, regexp_extract_all(t, '{_SPAN}') as spans, string_split_regex(t, '{_SPAN}') as gaps from one),
+  held as (select row_id, spans, list_aggregate(list_transform(range(len(gaps)), lambda i: gaps[i + 1] || case when i < len(gaps) - 1 then chr(57344) || i || chr(57345) else '' end), 'string_agg', '') as s from marked),
+  volumes as (select row_id, spans, regexp_replace(regexp_replace(regexp_replace(s, ';(\s*[0-9]+\s*[(:;])', chr(57346) || '\1', 'g'), ';(\s*[0-9]+\s*[(:;])', chr(57346) || '\1', 'g'), ';([0-9])', chr(57346) || '\1', 'g') as s from held),
+  numbers as (select row_id, spans, regexp_replace(regexp_replace(s, '(^|[\s;|/])(\[[0-9]+\]|\(?[0-9]+\))(\s)', '\1|\3', 'g'), '(^|[\s;|/])(\[[0-9]+\]|\(?[0-9]+\))(\s)', '\1|\3', 'g') as s from volumes),
+  pieces as (select row_id, spans, list_transform(string_split_regex(s, '[|\t\r\n]+|//+|;'), lambda p: regexp_replace(replace(p, chr(57346), ';'), '^[\s\x{{a0}};|]+|[\s\x{{a0}};|]+$', '', 'g')) as ps from numbers),
+  restored as (select row_id, list_filter(list_transform(ps, lambda p: case when regexp_full_match(p, chr(57344) || '[0-9]+' || chr(57345)) then trim(replace(spans[cast(p[2:-2] as int) + 1][2:-2], '""', '"'))
+      else list_reduce(list_prepend(p, list_transform(range(len(spans)), lambda i: chr(57344) || i || chr(57345) || spans[i + 1])), lambda a, b: replace(a, regexp_extract(b, '^' || chr(57344) || '[0-9]+' || chr(57345)), regexp_replace(b, '^' || chr(57344) || '[0-9]+' || chr(57345), ''))) end), lambda v: length(trim(v)) > 0) as l from pieces)
+select row_id, cast(generate_subscripts(l, 1) as int) as pos, unnest(l) as val from restored where len(l) > 0
+"""
+
+ORACLES["p5_values"] = P5_VALUES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from citeloom import model
 from citeloom.functions.vectors import METRICS
 from citeloom.operators import citation, cleaning, cooccurrence, embedding, graph, keywords, reporting
 from citeloom.operators import pairs as P
-from citeloom.runtime import table
+from citeloom.runtime import checkpoint_dir, table
+from citeloom.sources import collections, sinks
 
 #: The focal year of queries that have one, the years of reuse after it, and the samples of a shuffle.
 FOCAL, WINDOW, SAMPLES = 2005, 3, 20
@@ -431,6 +434,49 @@ def journal_list_join(spark, root):
     return cleaning.journal_list(table(spark, root, "wos_jcr").select("jcr_id", "journal_title", "title20"), named)
 
 
+# ---- stores
+
+
+def _folder(spark):
+    return f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+
+
+def collection_years(spark, root):
+    """A collection written by year, some of its years written again, and read back for the years before the focal one."""
+    path = _folder(spark)
+    rows = once(table(spark, root, "ref_journals"), "id").filter("year is not null").select("id", "year", F.size("cr_year_category").alias("n_items"), "cr_year_category.journal")
+    sinks.write_years(rows, path)
+    sinks.write_years(rows.filter(F.col("year") >= FOCAL - 1), path)
+    return collections.parquet_years(spark, path, FOCAL - WINDOW, FOCAL)
+
+
+def collection_year_list(spark, root):
+    """The years of a stored collection."""
+    path = _folder(spark)
+    sinks.write_years(once(table(spark, root, "mesh_terms"), "id").filter("year is not null").select("id", "year"), path)
+    return spark.createDataFrame([(y,) for y in collections.years_of(spark.read.parquet(path))], "year int")
+
+
+def pair_score_store(spark, root):
+    """Scores of pairs stored by year and read for the focal one."""
+    path, key = _folder(spark), sinks.result_key("journals", "commonness")
+    counts = P.item_counts(items(spark, root))
+    scores = cooccurrence.commonness_pairs(P.cooccurrence(P.doc_pairs(counts)), P.marginals(counts), P.yearly_weight(counts))
+    sinks.write_result(scores, path, key)
+    return collections.parquet_years(spark, f"{path}/{key}", FOCAL, FOCAL + 1).withColumn("s", F.round("s", 9))
+
+
+def journal_csv_union(spark, root):
+    """The journal list and two files about its journals as CSV, read and joined."""
+    path, w = _folder(spark), table(spark, root, "wos_jcr")
+    w.select(F.col("journal_title").alias("Title"), F.col("jcr_id").cast("string").alias("jcr_id")).coalesce(1).write.option("header", True).csv(f"{path}/ranking")
+    for name, c in (("a", "issn"), ("b", "web_of_science_categories")):
+        w.select(F.col("journal_title").alias("Journal title"), c).coalesce(1).write.mode("append").option("header", True).csv(f"{path}/collections")
+    rank, union = collections.journal_csvs(spark, f"{path}/ranking", f"{path}/collections/*.csv")
+    got = union.groupBy("Journal title").agg(F.max("issn").alias("issn"), F.max("web_of_science_categories").alias("categories"))
+    return rank.join(got, "Journal title").select("jcr_id", F.col("Journal title").alias("title"), "issn", "categories")
+
+
 # ---- reports
 
 

@@ -241,6 +241,10 @@ _INTER = f"""{_PAST}, pairs as (select a.doc_id, a.year, a.author_id as author_a
   p as (select q.author_a, q.author_b, {_cosine('x.vec', 'y.vec')} as d from (select distinct author_a, author_b from pairs) q join past x on x.author_id = q.author_a join past y on y.author_id = q.author_b)"""
 
 ORACLES |= {
+    "collection_years": f"with r as (select id, min(year) as year, any_value(cr_year_category) as c from ref_journals group by id) select id, year, coalesce(len(c), -1) as n_items, list_transform(c, lambda e: e.journal) as journal from r where year >= {FOCAL - WINDOW} and year < {FOCAL}",
+    "collection_year_list": "select distinct year from mesh_terms where year is not null",
+    "pair_score_store": f"with {_LEE} select year, i, j, w, round(s, 9) as s from score where year = {FOCAL}",
+    "journal_csv_union": "select cast(jcr_id as varchar) as jcr_id, journal_title as title, issn, web_of_science_categories as categories from wos_jcr",
     "citation_reverse_chunks": f"with {_NET}, r as (select cited, citing, (row_number() over (partition by cited order by citing) - 1) // 100 as c from edges) select cited as doc_id, cast(c as int) as chunk_no, list_sort(list(citing)) as cited_by from r group by all",
     "keyword_parse": f"with {_KEYWORDS} select * from parsed",
     "keyword_share_captured": f"with {_KEYWORDS} select doc_id, round(sum(known::int) / cast(count(*) as double), 6) as share from parsed group by doc_id",

@@ -80,7 +80,7 @@ def widen(df: DataFrame, key: str) -> DataFrame:
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.nodeName() in ("Project", "Filter"):
         plan = plan.children().head()
-    if plan.nodeName() != "LogicalRelation":
+    if plan.nodeName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
         return df
     conf = spark._jsparkSession.sessionState().conf()
     part = min(conf.filesMaxPartitionBytes(), conf.filesOpenCostInBytes())
