@@ -109,6 +109,15 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
     return packing.container_fill(p8_plan(spark, root), CAPACITY)
 
 
+def p8_totals(spark: SparkSession, root: str) -> DataFrame:
+    """(n_texts, n_over, n_cut): the texts in the plan, containers above capacity, and texts in more pieces than their tokens need; the last two are 0."""
+    plan = stored(p8_plan(spark, root))
+    over = packing.container_fill(plan.withColumnRenamed("doc_id", "key"), CAPACITY).filter("unused < 0").agg(F.count("*"))
+    texts = plan.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") / CAPACITY))
+    return texts.agg(F.count("*").alias("n_texts"), F.first(over.scalar()).alias("n_over"), F.count_if(F.col("pieces") > needed).alias("n_cut"))
+
+
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     cases = leaks.leaked(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
     return cases.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
@@ -165,4 +174,5 @@ def oracles() -> dict[str, str]:
     found = " union all ".join(_sql_pairs(f, "n_both >= 5 and 1000 * n_both >= n_records and n_both * n_records >= 10 * n_a * n_b", "item_a, item_b") for f in FIELDS)
     pairs = " union all ".join(_sql_pairs(f, "true", "item_a, item_b, n_both, n_a, n_b, round(n_both * n_records / (n_a * cast(n_b as double)), 6) as lift") for f in FIELDS)
     terms = " union all ".join(_sql_terms(f) for f in FIELDS)
-    return {"p3_found": found, "p3_pairs": pairs, "p6_terms": terms, "p6_found": f"select field_name, val, mark from ({terms}) where mark is not null"}
+    totals = "select count(*) as n_texts, cast(0 as bigint) as n_over, cast(0 as bigint) as n_cut from documents where text is not null"
+    return {"p8_totals": totals, "p3_found": found, "p3_pairs": pairs, "p6_terms": terms, "p6_found": f"select field_name, val, mark from ({terms}) where mark is not null"}
