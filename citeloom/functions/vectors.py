@@ -77,9 +77,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(used == 0, F.lit(0.0)).otherwise(F.try_divide(_fold(a, b, lambda x, y: F.when(x != y, 1.0).otherwise(0.0)), used))
 
 
-def unit(a: Column) -> Column:
-    """`a` at length 1; NaN in every place if it is all zero."""
-    return let(norm(a), lambda size: F.transform(a, lambda x: F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(x, size))))
+def sized(a: Column) -> Column:
+    """(vec, size) of `a`, its length NaN if it is all zero."""
+    return let(norm(a), lambda size: F.struct(a.alias("vec"), F.when(size == 0, F.lit(float("nan"))).otherwise(size).alias("size")))
 
 
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
@@ -88,9 +88,11 @@ METRICS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def prepared(of: str | Callable) -> tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]:
-    """(what to do with each vector once, the distance of two vectors so prepared). For the cosine every vector is brought to length 1 once."""
+    """(what to do with each vector once, the distance of two vectors so prepared). For the cosine every vector is measured once.
+
+    The quotient is the one of `cosine` and of the SQL, to the last bit: a distance that is 0 but for rounding keeps the sign that it has there."""
     if of == "cosine":
-        return unit, (lambda a, b: 1 - dot(a, b))
+        return sized, (lambda a, b: 1 - dot(a["vec"], b["vec"]) / (a["size"] * b["size"]))
     return (lambda a: a), metric(of)
 
 

@@ -44,3 +44,23 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["doc_id", "year", "novelty"]
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def signed_scores(spark, tmp_path, name):
+    """Of a density query over orders that share few vectors, and of its SQL: every key's scores by value and sign; equal zeros may come in any order."""
+    con = views(str(tmp_path))
+    con.execute(f"copy (select range as o_orderkey, range % 3 as o_custkey, timestamp '1996-03-01' + to_years(range // 20) as o_orderdate from range(60)) to '{tmp_path}/orders.parquet'")
+    con.execute(f"copy (select range as c_custkey from range(5)) to '{tmp_path}/customer.parquet'")
+    con.execute(f"copy (select range as vec_id, list_transform(range(8), lambda k: sin(range * 8 + k + 1))::float[] as embedding from range(9)) to '{tmp_path}/embeddings.parquet'")
+    con = views(str(tmp_path))
+    cur = con.execute(ORACLES[name])
+    keyed = lambda cols, rows: sorted((sorted((c, repr(v)) for c, v in zip(cols, r) if c != "scores"), sorted(map(repr, r[cols.index("scores")]))) for r in rows)
+    want = keyed([c[0] for c in cur.description], cur.fetchall())
+    df = QUERIES[name](spark, str(tmp_path))
+    assert {"0.0", "-0.0"} <= {s for _, scores in want for s in scores}
+    return keyed(df.columns, [tuple(r) for r in df.collect()]), want
+
+
+def test_author_intra_density_keeps_signs(spark, tmp_path):
+    got, want = signed_scores(spark, tmp_path, "author_intra_density")
+    assert got == want
