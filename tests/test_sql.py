@@ -64,3 +64,8 @@ def signed_scores(spark, tmp_path, name):
 def test_author_intra_density_keeps_signs(spark, tmp_path):
     got, want = signed_scores(spark, tmp_path, "author_intra_density")
     assert got == want
+
+
+def test_author_inter_density_keeps_signs(spark, tmp_path):
+    got, want = signed_scores(spark, tmp_path, "author_inter_density")
+    assert got == want
