@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import NAN, negative_log, quantile
@@ -116,30 +116,50 @@ def shuffled_items(items: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     slots = stored(ranked(each, ["year", "item_year"], ["doc_id", "item", "occ"], "slot"))
     drawn = slots.select("year", "item_year", "item", "slot", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("k"))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), "k", "slot").cast("binary"))
-    drawn = ranked_by_hash(drawn.withColumn("key", key), ["k", "year", "item_year"], "key", "slot", "place")
-    places = slots.select("doc_id", "year", "item_year", "slot")
+    drawn = ranked_by_hash(drawn, ["k", "year", "item_year"], key, "slot", "place")
+    places = slots.select("doc_id", "year", "item_year", "slot").hint("merge")  # estimates don't see how many samples there are
     return drawn.select("k", "year", "item_year", "item", F.col("place").alias("slot")).join(places, ["year", "item_year", "slot"]).select("k", "doc_id", "year", "slot", "item_year", "item")
 
 
-def sample_moments(shuffled: DataFrame, samples: int) -> DataFrame:
-    """(year, i, j, sum_w, sum_w2, mean, sd) over all samples, absent ones counted as 0; sd is the population's and exactly 0 if all are equal."""
-    counts = shuffled.groupBy("k", "doc_id", "year", "item").agg(F.count("*").alias("n"))
-    by_sample = P.cooccurrence(P.doc_pairs(counts, extra=("k",)), extra=("k",))
-    got = by_sample.groupBy("year", "i", "j").agg(F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"))
+def _moments(sampled: DataFrame, samples: int, *more: Column) -> DataFrame:
+    """(year, i, j, sum_w, sum_w2, mean, sd[, more]) of pairs.sampled_pairs."""
+    w = F.when(F.col("k") > 0, F.col("w")).otherwise(F.lit(0))
+    got = sampled.groupBy("part", "year", "i", "j").agg(F.sum(w).alias("sum_w"), F.sum(w * w).alias("sum_w2"), *more).drop("part")
     spread = F.lit(samples) * F.col("sum_w2") - F.col("sum_w") * F.col("sum_w")
     return got.withColumn("mean", F.col("sum_w") / F.lit(float(samples))).withColumn("sd", F.sqrt(spread.cast("double")) / F.lit(float(samples)))
 
 
+def sample_moments(shuffled: DataFrame, samples: int) -> DataFrame:
+    """(year, i, j, sum_w, sum_w2, mean, sd) over all samples, absent ones counted as 0; sd is the population's and exactly 0 if all are equal."""
+    return _moments(P.sampled_pairs(shuffled), samples)
+
+
+def moments(items: DataFrame, samples: int, seed: int = 0) -> DataFrame:
+    """sample_moments of shuffled_items, for which items are numbers until the end."""
+    items, names = P.coded(items)
+    return P.named(sample_moments(shuffled_items(items, samples, seed), samples), names, "i", "j")
+
+
 def atypicality_pairs(cooc: DataFrame, moments: DataFrame) -> DataFrame:
     """(year, i, j, s): the z-score of every observed pair; NaN where the samples don't vary, also where none has the pair."""
-    got = cooc.join(moments.select("year", "i", "j", "mean", "sd"), ["year", "i", "j"], "left")
-    return got.select("year", "i", "j", F.when(F.col("sd") > 0, (F.col("w") - F.col("mean")) / F.col("sd")).otherwise(F.lit(NAN)).alias("s"))
+    got = cooc.join(moments.select("year", "i", "j", "mean", "sd").hint("merge"), ["year", "i", "j"], "left")
+    return got.select("year", "i", "j", _z())
+
+
+def _z() -> Column:
+    return F.when(F.col("sd") > 0, (F.col("w") - F.col("mean")) / F.col("sd")).otherwise(F.lit(NAN)).alias("s")
 
 
 def atypicality(items: DataFrame, samples: int = 20, seed: int = 0, min_items: int = MIN_ITEMS, density: bool = False) -> DataFrame:
-    """(doc_id, year, conventionality, novelty[, scores]): median and 10 % quantile of the document's z-scores; one NaN makes both NaN."""
+    """(doc_id, year, conventionality, novelty[, scores]): median and 10 % quantile of the document's z-scores; one NaN makes both NaN.
+
+    The observed network goes along as sample 0, so that scores are made where the pairs of the samples are summed.
+    """
+    items, _ = P.coded(items)
     pairs = P.doc_pairs(P.item_counts(items))
-    scores = atypicality_pairs(P.cooccurrence(pairs), sample_moments(shuffled_items(items, samples, seed), samples))
+    every = shuffled_items(items, samples, seed).select("k", "doc_id", "year", "item").unionByName(items.select(F.lit(0).alias("k"), "doc_id", "year", "item"))
+    seen = F.sum(F.when(F.col("k") == 0, F.col("w")).otherwise(F.lit(0))).alias("w")
+    scores = _moments(P.sampled_pairs(every), samples, seen).filter("w > 0").select("year", "i", "j", _z())
     aggs = [quantile("s", 0.5, "n").alias("conventionality"), quantile("s", 0.1, "n").alias("novelty")] + ([P.score_array().alias("scores")] if density else [])
     return P.document_scores(pairs, scores, min_items, aggs)
 

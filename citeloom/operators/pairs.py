@@ -22,6 +22,36 @@ def numbered(counts: DataFrame) -> DataFrame:
     return counts.join(broadcast_if_fits(names), "item").select("doc_id", "year", F.col("_number").alias("item"), "n")
 
 
+def coded(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_items with an item's place in byte order instead of its text, the stored table (item, idx) of these numbers); numbers order as their texts do."""
+    items = stored(items)
+    names = stored(item_index(items).withColumn("idx", F.col("idx").cast("int")))
+    return items.join(broadcast_if_fits(names), "item").select("doc_id", "year", F.col("idx").alias("item"), "item_year"), names
+
+
+def named(df: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """`df` with the texts of the numbers of `coded` in the given columns."""
+    order, names = df.columns, broadcast_if_fits(names)
+    for c in columns:
+        df = df.join(names.select(F.col("idx").alias(c), F.col("item").alias("_text")), c).drop(c).withColumnRenamed("_text", c)
+    return df.select(*order)
+
+
+def sampled_pairs(shuffled: DataFrame) -> DataFrame:
+    """(part, k, year, i, j, w): the weighted network of each sample k from one row per item occurrence (k, doc_id, year, item); rows of one `part` are in one task.
+
+    Pairs are by far the most rows, so they are never shuffled: a document's items go to each part that one of them is hashed to, and every part forms
+    the pairs whose first item is its own. What sums by part and further columns afterwards is not shuffled either.
+    """
+    parts = int(shuffled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bags = spread(shuffled, "k", "doc_id").groupBy("k", "doc_id", "year").agg(F.sort_array(F.collect_list("item")).alias("bag")).filter(F.size("bag") > 1)
+    own = lambda item: F.pmod(F.hash(item), F.lit(parts))
+    sent = bags.select("k", "year", "bag", F.explode(F.array_distinct(F.transform(F.expr("slice(bag, 1, size(bag) - 1)"), own))).alias("part")).repartitionById(parts, "part")
+    first = sent.select("part", "k", "year", "bag", F.posexplode("bag").alias("at", "i")).filter(own(F.col("i")) == F.col("part"))
+    pairs = first.select("part", "k", "year", "i", F.explode(F.slice("bag", F.col("at") + 2, F.size("bag"))).alias("j"))
+    return pairs.groupBy("part", "k", "year", "i", "j").agg(F.count("*").alias("w"))
+
+
 def item_bags(counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """([extra,] doc_id, year, bag, size): a document's items in order with their multiplicities, and its item occurrences."""
     keys = [*extra, "doc_id", "year"]

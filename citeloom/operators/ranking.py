@@ -4,31 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.runtime import cut
+from citeloom.runtime import cut, spread
 
 #: Parts of a group that are numbered apart, by the first two digits of the keys.
 DIGITS = 2
 
 
-def ranked_by_hash(df: DataFrame, group: Sequence[str], key: str, tie: str, name: str) -> DataFrame:
-    """`df` with `name`: the 1-based place in its group by `key`, a hash in hexadecimal digits, then by `tie`.
+def ranked_by_hash(df: DataFrame, group: Sequence[str], key: str | Column, tie: str, name: str) -> DataFrame:
+    """`df` with `name`: the 1-based place in its group by `key`, a hash in hexadecimal digits, then by `tie`. A key given as an expression is not shuffled.
 
     Hashes are spread evenly, so the first digits part a group of any size into parts of known order: each part is numbered for itself, and the small
     table of their sizes gives what stands before it. Nothing is written and no group comes into one task. Null group keys form a group.
+    The rows are shuffled once: parts are structs, in which nulls are equal, so the sizes meet them where they were numbered. They are never broadcast,
+    as estimates of their size don't see the explosions that made them.
     """
-    parted = df.withColumn("_part", F.substring(key, 1, DIGITS))
-    keys = [*group, "_part"]
-    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(key, tie)))
-    sizes = parted.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
-    return local.join(offsets, same).withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before", *[f"_g_{k}" for k in keys])
+    made = F.col(key) if isinstance(key, str) else key
+    parted = df.withColumn("_part", F.struct(*group, F.conv(F.substring(made, 1, DIGITS), 16, 10).cast("int").alias("_digits")))
+    dealt = spread(parted.drop(*group), "_part").select("*", *[F.col(f"_part.{g}").alias(g) for g in group]).withColumn("_key", made)
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy("_key", tie))).drop("_key")
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*[f"_part.{g}" for g in group]).orderBy("_part._digits").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return local.join(spread(offsets, "_part").hint("merge"), "_part").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -109,6 +110,19 @@ def test_shuffle_keeps_strata(items):
         assert rows(one.groupBy("doc_id", "item_year").count(), "doc_id", "item_year", "count") == slots
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_are_not_broadcast(items):
+    """Estimates don't see that samples multiply rows, so nothing of that size may be left to them; pairs stay in the task that forms them."""
+    got = cooccurrence.sample_moments(cooccurrence.shuffled_items(items, 20), 20)
+    plan = planned(got)
+    assert "Broadcast" not in plan and not re.search(r"Exchange hashpartitioning\([^)]*\bj#", plan)
+    named = cooccurrence.moments(items, 20)
+    assert rows(named, *got.columns) == rows(got, *got.columns)
+
+
 def test_crossing(spark, items):
     one = spark.createDataFrame([(x, "c") for x in "ABCD"], "item string, community string")
     assert table(cooccurrence.crossing(items, 3, one), "doc_id", "novelty") == {5: 0.0, 6: 0.0}
