@@ -123,6 +123,11 @@ def test_samples_are_not_broadcast(items):
     assert rows(named, *got.columns) == rows(got, *got.columns)
 
 
+def test_atypicality_sums_pairs_where_they_are_formed(items):
+    plan = planned(cooccurrence.atypicality(items, 20))
+    assert "hashpartitioning(k#" in plan and not re.search(r"Exchange hashpartitioning\(k#[^)]*\bj#", plan)
+
+
 def test_crossing(spark, items):
     one = spark.createDataFrame([(x, "c") for x in "ABCD"], "item string, community string")
     assert table(cooccurrence.crossing(items, 3, one), "doc_id", "novelty") == {5: 0.0, 6: 0.0}
