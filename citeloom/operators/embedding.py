@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.stats import distribution
@@ -114,6 +117,78 @@ def author_intra(authorship: DataFrame, vectors: DataFrame, focal: int | None =
     return _listed(_focal(authorship, focal, ids), past).select("doc_id", "year", "author_id").join(stats, ["author_id", "year"])
 
 
+def author_intra_means(authorship: DataFrame, vectors: DataFrame, window: int = 5) -> DataFrame:
+    """(year, n_rows, n_distances, mean): of the rows of author_intra by cosine, for all years in one job: their number, that of their distances and the mean of their means.
+
+    authorship has the column `code` beside doc_id, year, pos, author_id: the document's vector in vectors (code, vec), null for none. No pair is formed: distances among
+    vectors of length 1 sum to (w * w - |sum|^2) / 2 for w works. An author's documents come together once, as codes; the vectors, up to 32 MB by count, go with the
+    job. More of them are joined to the rows, and distances are formed as author_intra does.
+    """
+    known = stored(vectors.filter(embedded(F.col("vec"))).select("code", "vec"))
+    widths = [r[0] for r in known.select(F.size("vec")).distinct().limit(2).collect()]
+    bad = len(widths) > 1 or known.groupBy("code").count().filter("count > 1").limit(1).count() or known.filter(F.exists("vec", lambda x: x.isNull())).limit(1).count()
+    if bad or broadcast_if_fits(known) is known:
+        had = authorship.select("doc_id", "code").distinct().join(known, "code").select("doc_id", "vec")
+        each = author_intra(authorship.drop("code"), had, None, window)
+        return each.groupBy("year").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_distances"), F.avg("mean").alias("mean"))
+    table = known.toPandas()
+    lengths = np.vstack([*table["vec"], np.zeros(widths[0] if widths else 1)])
+    with np.errstate(invalid="ignore"):
+        lengths /= np.sqrt((lengths * lengths).sum(1, keepdims=True))  # NaN where all is zero
+    lengths[-1] = 0  # the place of works without a vector
+    spark = authorship.sparkSession
+    shipped = spark.sparkContext.broadcast((pd.Index(table["code"]), lengths))
+
+    def portions(batch, size=20_000):
+        """The authors of a batch by so many works or one author at a time, as each work takes a row of numbers."""
+        ends = batch.column("works").value_lengths().to_numpy(zero_copy_only=False).cumsum()
+        cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1), batch.num_rows]
+        return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+    def means(batches):
+        codes, units = shipped.value
+        for batch in (part for whole in batches for part in portions(whole)):
+            lists = batch.column("works")
+            at = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            doc, year, code = (pc.struct_field(lists.flatten(), k) for k in ("doc_id", "year", "code"))
+            rows = pd.DataFrame({"at": at, "doc_id": doc.to_numpy(zero_copy_only=False), "year": year.to_numpy(zero_copy_only=False)})
+            rows["vec"] = codes.get_indexer(pd.Index(code.fill_null(-1).to_numpy(zero_copy_only=False)))
+            rows.loc[code.is_null().to_numpy(zero_copy_only=False), "vec"] = -1
+            works = rows.drop_duplicates()
+            works = works[works["vec"] >= 0]
+            if works.empty:
+                continue
+            low = int(rows["year"].min())
+            span = int(rows["year"].max()) - low + 1
+            # sums by (author, year) in order, of which a window takes at most `window`
+            works = works.assign(cell=works["at"] * span + works["year"] - low).sort_values("cell", kind="stable")
+            cells, starts = np.unique(works["cell"].to_numpy(), return_index=True)
+            counts = np.diff([*starts, len(works)])
+            wanted = np.unique((rows["at"] * span + rows["year"] - low).to_numpy())
+            total, w = np.zeros((len(wanted), units.shape[1])), np.zeros(len(wanted), "int64")
+            sums = np.add.reduceat(units[works["vec"].to_numpy()], starts)
+            for back in range(1, min(window, span - 1) + 1):
+                found = np.minimum(np.searchsorted(cells, wanted - back), len(cells) - 1)
+                hit = (cells[found] == wanted - back) & (wanted % span >= back)  # not the years of the author before
+                total[hit] += sums[found[hit]]
+                w[hit] += counts[found[hit]]
+            n = w * (w - 1) // 2
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = (w * w - (total * total).sum(1)) / 2 / n
+            place = np.searchsorted(wanted, (rows["at"] * span + rows["year"] - low).to_numpy())
+            keep = w[place] > 0
+            out = [rows["doc_id"].to_numpy(), rows["year"].to_numpy(), n[place], mean[place]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["doc_id", "year", "n", "mean"])
+
+    lists = authorship.filter("year is not null and author_id is not null and doc_id is not null").groupBy("author_id").agg(F.collect_list(F.struct("doc_id", "year", "code")).alias("works"))
+    each = lists.select("works").mapInArrow(means, "doc_id long, year int, n long, mean double")
+    more = lambda c: F.sum(F.when(F.col("n") > 0, F.col(c)))
+    sums = [F.count("*").alias("a"), F.count(F.when(F.col("n") > 0, 1)).alias("rows"), more("n").alias("n"), more("mean").alias("mean")]
+    own = Window.partitionBy("doc_id")  # a document of two years is judged as one, as author_intra does
+    fit = spread(each, "doc_id").groupBy("doc_id", "year").agg(*sums).withColumn("a", F.sum("a").over(own)).withColumn("any", F.sum("rows").over(own)).filter("a > 1 and any > 0 and rows > 0")
+    return fit.groupBy("year").agg(F.sum("rows").alias("n_rows"), F.sum("n").alias("n_distances"), (F.sum("mean") / F.sum("rows")).alias("mean"))
+
+
 def author_inter(
     authorship: DataFrame, vectors: DataFrame, focal: int | None = None, window: int = 5, distance: str | Callable = "cosine", ids: DataFrame | None = None, density: bool = False, equal_once: bool = False
 ) -> DataFrame:

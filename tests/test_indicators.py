@@ -357,6 +357,22 @@ def test_authors(spark):
     assert profile[2, 4] == [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
 
 
+def test_author_means_without_pairs(spark, root, monkeypatch):
+    from citeloom.plans import reference
+
+    assert "slice(" not in planned(reference.author_intra_all_years(spark, root))
+    # repeated rows, codes that are null or unknown, no year, a document of two years, an author with years far apart; authors of 41 to 44 meet a zero vector
+    auth = [(k, 1990 + k % 7, p, (k * (p + 3)) % 5, k % 4) for k in range(30) for p in (0, 1)] + [(3, 1993, 0, 4, 3), (31, 1996, 0, 1, None), (31, 1996, 1, 2, 77), (32, None, 0, 1, 1), (33, 1995, 0, 1, 1), (33, 1996, 1, 2, 1), (34, 2600, 0, 1, 2)]
+    auth += [(41, 1991, 0, 8, 9), (42, 1992, 0, 8, 1), (43, 1993, 0, 8, 2), (43, 1993, 1, 9, 2), (44, 1993, 0, 9, 2), (40, 1990, 0, 9, 2)]
+    a = spark.createDataFrame(auth, "doc_id long, year int, pos int, author_id long, code long")
+    v = spark.createDataFrame([(k, [math.sin(k + 1), math.cos(3 * k), 0.5]) for k in range(4)] + [(9, [0.0, 0.0, 0.0]), (50, None), (51, [])], "code long, vec array<double>")
+    got = table(embedding.author_intra_means(a, v, 5).select("year", F.struct("n_rows", "n_distances", "mean")), "year", "struct(n_rows, n_distances, mean)")
+    monkeypatch.setattr(embedding, "broadcast_if_fits", lambda df: df)
+    want = table(embedding.author_intra_means(a, v, 5).select("year", F.struct("n_rows", "n_distances", "mean")), "year", "struct(n_rows, n_distances, mean)")
+    assert len(want) > 4 and math.isnan(want[1993][2])
+    assert {k: tuple(r) for k, r in got.items()} == {k: pytest.approx(tuple(r), nan_ok=True) for k, r in want.items()}
+
+
 def test_text_centroid(spark):
     texts = spark.createDataFrame([(1, "Red, red blue!"), (2, "unknown"), (3, None), (4, "..."), (5, "red " * 20_000)], "doc_id long, text string")
     words = spark.createDataFrame([("red", [1.0, 0.0]), ("blue", [0.0, 3.0])], "word string, vec array<double>")
