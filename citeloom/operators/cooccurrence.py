@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,63 @@ def pair_cosine(pairs: DataFrame, network: DataFrame) -> DataFrame:
     return sized.select("i", "j", (F.col("dot") / (F.col("si") * F.col("sj"))).alias("cos"))
 
 
+def pair_cosine_in_parts(pairs: DataFrame, network: DataFrame, cells: int = 2_000_000) -> DataFrame:
+    """pair_cosine where items are numbers (int) and so many pairs are wanted that their rows must not be shuffled.
+
+    Rows of the symmetric network are dealt into parts of about `cells` cells each by item; every two parts meet in one task with the pairs between them. So a cell is
+    sent as often as there are parts, whatever the number of pairs, and a task never holds more than two parts.
+    """
+    both = stored(network.select(F.col("i").alias("a"), F.col("j").alias("k"), "w").unionByName(network.filter("i <> j").select(F.col("j").alias("a"), F.col("i").alias("k"), "w")))
+    spark, parts = network.sparkSession, 1 + both.count() // cells
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(4, tasks))  # sixteen groups keep the cores busy
+    part = lambda c: F.pmod(F.hash(c), F.lit(parts))
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    of = both.select("a", "k", F.col("w").cast("double").alias("w"), part(F.col("a")).alias("own"))
+    as_i = of.select("a", "k", "w", F.col("own").alias("p"), F.explode(every).alias("q"), F.lit(0).alias("side"))
+    as_j = of.select("a", "k", "w", F.explode(every).alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"))
+    rows = as_i.unionByName(as_j)
+    wanted = pairs.select("i", "j", part(F.col("i")).alias("p"), part(F.col("j")).alias("q"))
+
+    def cosines(left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = (left.column(c).to_numpy() for c in "ij")
+        a, k, w, side = (right.column(c).to_numpy() for c in ("a", "k", "w", "side"))
+        found = ([], [], [])
+        if len(i) and len(a):
+            sides = []
+            names, k = np.unique(k, return_inverse=True)
+            for s in (0, 1):
+                mine = np.flatnonzero(side == s)
+                mine = mine[np.argsort(a[mine], kind="stable")]
+                own, start = np.unique(a[mine], return_index=True)
+                sides.append((own, np.append(start, len(mine)), k[mine], w[mine]))
+            (own_i, at_i, k_i, w_i), (own_j, at_j, k_j, w_j) = sides
+            size_i = np.sqrt(np.add.reduceat(w_i * w_i, at_i[:-1])) if len(own_i) else w_i
+            size_j = np.sqrt(np.add.reduceat(w_j * w_j, at_j[:-1])) if len(own_j) else w_j
+            full = np.zeros(len(names))
+            order = np.argsort(i, kind="stable")
+            firsts, starts = np.unique(i[order], return_index=True)
+            for item, b, e in zip(firsts, starts, [*starts[1:], len(i)]):
+                x = np.searchsorted(own_i, item)
+                if x == len(own_i) or own_i[x] != item:
+                    continue
+                others = j[order[b:e]]
+                y = np.searchsorted(own_j, others)
+                known = y < len(own_j)
+                known[known] = own_j[y[known]] == others[known]
+                row = slice(at_i[x], at_i[x + 1])
+                full[k_i[row]] = w_i[row]
+                for y, other in zip(y[known], others[known]):
+                    dot = full[k_j[at_j[y] : at_j[y + 1]]] @ w_j[at_j[y] : at_j[y + 1]]
+                    if dot > 0:
+                        for out, v in zip(found, (item, other, dot / (size_i[x] * size_j[y]))):
+                            out.append(v)
+                full[k_i[row]] = 0
+        return pa.table({"i": pa.array(found[0], pa.int32()), "j": pa.array(found[1], pa.int32()), "cos": pa.array(found[2], pa.float64())})
+
+    return wanted.groupBy("p", "q").cogroup(rows.groupBy("p", "q")).applyInArrow(cosines, "i int, j int, cos double")
+
+
 def difficulty_pairs(cooc: DataFrame, focal: int, window: int, times: int = 1, start: int | None = None, orthogonal_as_zero: bool = True) -> DataFrame:
     """(i, j, s): 1 - cos of the items' neighbourhoods in the `window` years before, for new and reused pairs.
 

@@ -128,6 +128,18 @@ def test_atypicality_sums_pairs_where_they_are_formed(items):
     assert "hashpartitioning(k#" in plan and not re.search(r"Exchange hashpartitioning\(k#[^)]*\bj#", plan)
 
 
+def test_cosine_in_parts(spark, root):
+    from citeloom.plans import reference
+
+    assert "SortMergeJoin [j#" not in planned(reference.wang_difficulty_cosine(spark, root))
+    net = spark.createDataFrame([(i, j, 1 + i * j % 3) for i in range(30) for j in range(i + 1, 30) if (i * 7 + j) % 5 < 2], "i int, j int, w long")
+    wanted = spark.createDataFrame([(i, j) for i in range(0, 34, 3) for j in range(i + 1, 34)], "i int, j int")
+    want = table(cooccurrence.pair_cosine(wanted, net), "i", "j", "cos")
+    for cells in (2_000_000, 60):
+        got = table(cooccurrence.pair_cosine_in_parts(wanted, net, cells), "i", "j", "cos")
+        assert len(want) > 50 and got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_crossing(spark, items):
     one = spark.createDataFrame([(x, "c") for x in "ABCD"], "item string, community string")
     assert table(cooccurrence.crossing(items, 3, one), "doc_id", "novelty") == {5: 0.0, 6: 0.0}
