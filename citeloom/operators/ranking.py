@@ -36,15 +36,14 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str)
 
     The rows are range-partitioned and numbered inside their partition; a small table of rows per (partition, group) gives what
     stands before it. `order` should be unique within a group, otherwise ties take either place. Null group keys form a group.
+    The sizes meet the rows where they were numbered, so neither is broadcast: left to sizes at run time, the rows are what goes through the driver if
+    they are known first.
     """
-    keys = [*group, *order]
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parted = cut(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()))
-    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)))
-    sizes = parted.groupBy("_part", *group).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g_{g}") for g in group], "_before")
-    same = F.col("_part") == F.col("_p")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return local.join(offsets, same).withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_p", "_before", *[f"_g_{g}" for g in group])
+    placed = cut(df.repartitionByRange(parts, *group, *order).withColumn("_at", F.spark_partition_id()))
+    parted = placed.withColumn("_part", F.struct("_at", *group)).drop("_at")
+    local = parted.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*([f"_part.{g}" for g in group] or [F.lit(0)])).orderBy("_part._at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return local.join(offsets.hint("merge"), "_part").withColumn(name, (F.col("_local") + F.col("_before")).cast("long")).drop("_part", "_local", "_before")

@@ -123,6 +123,17 @@ def test_samples_are_not_broadcast(items):
     assert rows(named, *got.columns) == rows(got, *got.columns)
 
 
+def test_ranked_rows_are_not_broadcast(spark):
+    """Neither by estimates nor by sizes at run time; the sizes go to where the rows are numbered, which are shuffled once."""
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"))
+    for group in (["g"], []):
+        got = ranked(df, group, ["o"], "place")
+        got.collect()
+        final = planned(got)
+        assert "isFinalPlan=true" in final and "Broadcast" not in final and "SortMergeJoin [_part#" in final
+        assert len(re.findall(r"Exchange hashpartitioning\(_part#", final.partition("Initial Plan")[0])) == 3  # rows, partial sizes, offsets
+
+
 def test_atypicality_sums_pairs_where_they_are_formed(items):
     plan = planned(cooccurrence.atypicality(items, 20))
     assert "hashpartitioning(k#" in plan and not re.search(r"Exchange hashpartitioning\(k#[^)]*\bj#", plan)
