@@ -69,3 +69,11 @@ def test_author_intra_density_keeps_signs(spark, tmp_path):
 def test_author_inter_density_keeps_signs(spark, tmp_path):
     got, want = signed_scores(spark, tmp_path, "author_inter_density")
     assert got == want
+
+
+def test_author_inter_density_orders_zeros(spark, tmp_path):
+    """Distances that round to zero keep the order that they had: those below 0 come first, in every run, where the SQL leaves it open."""
+    signed_scores(spark, tmp_path, "author_inter_density")  # writes the tables
+    rows = QUERIES["author_inter_density"](spark, str(tmp_path)).collect()
+    signs = ["".join(str(x)[0] for x in r.scores if x == 0) for r in rows]
+    assert any("-0" in s for s in signs) and not any("0-" in s for s in signs)
